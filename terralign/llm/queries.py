@@ -1,9 +1,13 @@
 """Registered queries of the corpus operators and, where SQL can express them, their DuckDB counterparts."""
 
-from terralign.llm import sharding
+from terralign.llm import decontam, linededup, packing, sharding, simhash
 
 QUERIES = {
+    "op2_packing": packing.query,
+    "op3_line_dedup": linededup.query,
+    "op4_decontamination": decontam.query,
     "op7_sharding": sharding.query,
+    "op9_simhash": simhash.query,
 }
 
 ORACLES: dict[str, str] = {}
