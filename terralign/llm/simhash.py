@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,11 @@ def variants(fp: Column, distance: int) -> Column:
     return F.array(*keys)
 
 
+def differing(a: np.ndarray, b) -> np.ndarray:
+    """Bits that differ, counted unsigned: numpy counts those of a signed number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def star(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges that join what is linked between left and right (or within left, if right is left): at most one for each entry.
 
@@ -83,41 +89,83 @@ def star(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int,
         while frontier:
             at = frontier.pop()
             rest = np.flatnonzero(free if same else free & (side != side[at]))
-            near = rest[np.bitwise_count(every[rest] ^ every[at]) <= distance]
+            near = rest[differing(every[rest], every[at]) <= distance]
             free[near] = False
             frontier += near.tolist()
             edges += [(int(every[at]), int(every[x])) for x in near]
     return edges
 
 
+def _bucketed(batches: Iterator[pa.RecordBatch], distance: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Edges within the buckets of rows (key, fp) sorted by key, as (null, a, b); what is in a bucket of more than block rows as (key, fp, null)."""
+
+    def out(key, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b)], names=["key", "a", "b"])
+
+    def complete(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        sizes = np.diff(starts, append=len(key))
+        two = starts[sizes == 2]
+        near = two[differing(fp[two], fp[two + 1]) <= distance]
+        groups = [fp[at : at + n] for at, n in zip(starts, sizes, strict=True) if 2 < n <= block]
+        edges = [e for group in groups for e in star(group, group, distance)]
+        a, b = np.concatenate([np.stack([fp[near], fp[near + 1]], axis=1), np.array(edges, np.int64).reshape(-1, 2)]).T
+        yield out([None] * len(a), a, b)
+        large = np.repeat(sizes > block, sizes)
+        yield out(key[large], fp[large], [None] * int(large.sum()))
+
+    keys, prints = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    large = None
+    for batch in batches:
+        key, fp = (batch.column(k).to_numpy() for k in (0, 1))
+        if large is not None:
+            n = int(np.searchsorted(key, large, side="right"))
+            yield out(key[:n], fp[:n], [None] * n)
+            key, fp = key[n:], fp[n:]
+            if not len(key):
+                continue
+            large = None
+        keys, prints = np.concatenate([keys, key]), np.concatenate([prints, fp])
+        if not len(keys):
+            continue
+        last = int(np.searchsorted(keys, keys[-1], side="left"))  # its bucket may go on
+        yield from complete(keys[:last], prints[:last])
+        keys, prints = keys[last:], prints[last:]
+        if len(keys) > block:
+            large = keys[0]
+            yield out(keys, prints, [None] * len(keys))
+            keys, prints = keys[:0], prints[:0]
+    yield from complete(keys, prints)
+
+
 def linked(fps: DataFrame, distance: int = 4, block: int = 2048) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) at most distance bits apart, enough to join every component.
 
-    Fingerprints meet in the buckets of their variants. A bucket of more than block
-    entries is cut into blocks, and each pair of blocks is a bucket of its own, so
+    Fingerprints meet in the buckets of their variants: sorted by bucket, they are
+    streamed through tasks that keep one bucket of at most block rows. Larger
+    buckets are cut into blocks, and each pair of blocks is a bucket of its own, so
     that none is skipped and none grows with the data. Every edge is verified.
     """
-    keyed = fps.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cut = keyed.join(sizes, "key").withColumn("k", F.ceil(F.col("n") / block).cast("int")).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-    pairs = cut.withColumn("y", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))))
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fps.repartition(n).select(F.explode(variants(F.col("fp"), distance)).alias("key"), "fp")
+    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _bucketed(batches, distance, block), "key long, a long, b long")
+    found = written(found)
+    large = found.where("b is null").select("key", F.col("a").alias("fp"))
+    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    cut = large.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    pairs = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     buckets = pairs.groupBy("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list(F.when(F.col("x") <= F.col("y"), F.col("fp"))).alias("l"), F.collect_list(F.when(F.col("x") > F.col("y"), F.col("fp"))).alias("r"))
 
     def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            left = [np.asarray(x, np.int64) for x in frame["l"]]
-            right = [np.asarray(x, np.int64) for x in frame["r"]]
-            plain = np.array([len(x) == 2 and not len(y) for x, y in zip(left, right, strict=True)], bool)
-            if plain.any():
-                twos = np.stack([left[i] for i in np.flatnonzero(plain)])
-                twos = twos[np.bitwise_count(twos[:, 0] ^ twos[:, 1]) <= distance]
-                yield pd.DataFrame({"a": twos[:, 0], "b": twos[:, 1]})
             edges = []
-            for i in np.flatnonzero(~plain):
-                edges += star(left[i], right[i] if frame["lo"].iloc[i] != frame["hi"].iloc[i] else left[i], distance)
+            for lo, hi, l, r in frame.itertuples(index=False):
+                left, right = np.asarray(l, np.int64), np.asarray(r, np.int64)
+                edges += star(left, left if lo == hi else right, distance)
             yield pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
-    return buckets.select("lo", "hi", "l", "r").mapInPandas(joined, "a long, b long").distinct()
+    blocks = buckets.select("lo", "hi", "l", "r").mapInPandas(joined, "a long, b long")
+    return found.where("b is not null").select("a", "b").unionAll(blocks).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
