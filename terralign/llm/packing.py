@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,42 +30,84 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-class Encoder:
-    """Token ids of whole texts, as little-endian 32-bit bytes, by way of a bounded cache of words.
+#: Latin-1 letters: they are NFC as they stand, and lowering maps each to one letter.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-    The tokenizer never joins text across white space, so a text's ids are those of
-    its words in turn. Texts with the control characters 0x1c-0x1f, which Python but
-    not the tokenizer takes as white space, are encoded whole.
-    """
 
-    def __init__(self, name: str, words: int = 200_000):
-        self.name, self.words = name, words
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Memory:
+    """A bounded memory of strings and their ids: two generations, of which the older is dropped."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, missing: list[str]) -> None:
-        for word, e in zip(missing, _tokenizer(self.name).encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.new[word] = np.asarray(e.ids, "<u4").tobytes()
+    def turn(self) -> None:
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.new[key] = found
+        return found
+
+
+class Encoder:
+    """Token ids of whole texts, as little-endian 32-bit bytes, by way of a bounded memory of words.
+
+    The tokenizer never joins text across white space, so a text's ids are those of
+    its words in turn; and a word's are those of its leading letters and of the
+    rest, as a run of letters is always split off. Texts with the control characters
+    0x1c-0x1f, which Python but not the tokenizer takes as white space, are encoded
+    whole.
+    """
+
+    def __init__(self, name: str, words: int = 300_000):
+        self.name = name
+        self.words, self.parts = Memory(words), Memory(words)
+        self.bytes = _byte_letters()
+
+    def _letters(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            tokens = _tokenizer(self.name).model.tokenize(part.encode().decode("latin-1").translate(self.bytes))
+            found = self.parts.new[part] = np.array([t.id for t in tokens], "<u4").tobytes()
+        return found
+
+    def _any(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            found = self.parts.new[part] = np.array(_tokenizer(self.name).encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
+
+    def _word(self, word: str) -> bytes:
+        lead = LETTERS.match(word)
+        if lead and word.isascii() or lead and max(word) < "\u0100":
+            rest = word[lead.end() :]
+            return self._letters(lead[0].lower()) + (self._any(rest) if rest else b"")
+        return self._any(word)
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.asarray(_tokenizer(self.name).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.new) > self.words:
-            self.new, self.old = {}, self.new
+        self.words.turn()
+        self.parts.turn()
         words = text.split()
-        new = self.new
+        new = self.words.new
         try:
             return b"".join(map(new.__getitem__, words))
         except KeyError:
-            missing = []
-            for w in dict.fromkeys(words):
-                if w not in new:
-                    if (was := self.old.get(w)) is None:
-                        missing.append(w)
-                    else:
-                        new[w] = was
-            if missing:
-                self._learn(missing)
+            for w in words:
+                if w not in new and self.words.get(w) is None:
+                    new[w] = self._word(w)
             return b"".join(map(new.__getitem__, words))
 
 

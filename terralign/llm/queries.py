@@ -1,13 +1,18 @@
 """Registered queries of the corpus operators and, where SQL can express them, their DuckDB counterparts."""
 
-from terralign.llm import decontam, linededup, packing, sharding, simhash
+from terralign.llm import decontam, embeddings, linededup, lm, packing, pii, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_packing": packing.query,
     "op3_line_dedup": linededup.query,
     "op4_decontamination": decontam.query,
+    "op5_pii": pii.query,
+    "op6_quality": quality.query,
     "op7_sharding": sharding.query,
+    "op8_embeddings": embeddings.query,
     "op9_simhash": simhash.query,
+    "op10_language_model": lm.query,
 }
 
 ORACLES: dict[str, str] = {}

@@ -43,13 +43,14 @@ class Words(dict):
     def of(self, words: list[str]) -> np.ndarray:
         """Hashes of words, one row each. The memory is emptied when full; more words than it holds are taken in parts."""
         try:
-            return self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
+            at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         except OverflowError:
             self.clear()
             step = self.LIMIT // 2
-            if len(words) <= step:
-                return self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
-            return np.concatenate([self.of(words[a : a + step]) for a in range(0, len(words), step)])
+            if len(words) > step:
+                return np.concatenate([self.of(words[a : a + step]) for a in range(0, len(words), step)])
+            at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.rows[at]
 
 
 _words = Words()
