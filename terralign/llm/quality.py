@@ -130,6 +130,21 @@ def scored(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     return rows.mapInArrow(run, f"_key {kind}, score double").withColumnRenamed("_key", key)
 
 
+def filtered(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.3) -> DataFrame:
+    """docs without the rows that score below least, in one pass; without a model all stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if shared.value:
+                score = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
+                batch = batch.filter(pa.array(score >= least))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 2048) -> Model | None:
     """Model from at most per_class labelled documents of each class, of those allowed. Without labels there is none."""
     return fit(sample(docs, labels, key, text, label, allowed, {0: per_class, 1: per_class}))

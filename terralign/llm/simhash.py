@@ -176,12 +176,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Equal texts share a fingerprint and are compared once. An empty table gives no
     rows; a null key takes part but is never the smallest; other columns are ignored.
     """
-    rows = written(docs.select(F.col(key).alias("_id"), fingerprint_of(F.col(text), words).alias("fp")))
-    least = rows.groupBy("fp").agg(F.min("_id").alias("_least"))
-    found = components(linked(rows.select("fp").distinct(), distance)).withColumnRenamed("node", "fp")
-    classes = least.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = classes.groupBy("root").agg(F.min("_least").alias("component"))
-    return rows.join(classes.select("fp", "root").join(named, "root").drop("root"), "fp").select(F.col("_id").alias(key), "fp", "component")
+    rows = _printed(docs, key, text, words)
+    classes = _classes(rows, distance)
+    least = classes.join(rows.groupBy("fp").agg(F.min("_id").alias("_least")), "fp").groupBy("root").agg(F.min("_least").alias("component"))
+    return rows.join(classes.join(least, "root").drop("root"), "fp").select(F.col("_id").alias(key), "fp", "component")
+
+
+def _printed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    return written(docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), fingerprint_of(F.col(text), words).alias("fp")))
+
+
+def _classes(rows: DataFrame, distance: int) -> DataFrame:
+    """Each fingerprint and the root of its component."""
+    fps = rows.select("fp").distinct()
+    found = components(linked(fps, distance)).withColumnRenamed("node", "fp")
+    return fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
+    """docs with one row of each component of near_duplicates: the one of smallest key (null first), whole and once.
+
+    Null and empty texts are one component; an empty table stays empty; other
+    columns pass through.
+    """
+    rows = _printed(docs, key, text, words)
+    first = rows.join(_classes(rows, distance), "fp").groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("f"))
+    kept = first.select(F.col("f._id").alias("_id"), F.col("f._h").alias("_kept"))
+    named = docs.withColumn("_h", F.xxhash64(text))
+    return named.join(kept, named[key].eqNullSafe(kept["_id"]) & (named["_h"] == kept["_kept"]), "left_semi").dropDuplicates([key, "_h"]).drop("_h")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralign.llm.common import written
 from terralign.llm.labelled import remainder, sample
 
 BITS = 20
@@ -79,10 +80,10 @@ def features(text: str) -> list[np.ndarray]:
 class Ftrl:
     """FTRL-proximal (McMahan et al. 2013): per-coordinate rates, L1 and L2. Holds z and n for 2^BITS coordinates."""
 
-    alpha: float = 0.1
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
+    l1: float = 5.0
+    l2: float = 0.0
 
     def __post_init__(self):
         self.z, self.n = np.zeros(MASK + 1), np.zeros(MASK + 1)
@@ -99,13 +100,20 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(labelled: DataFrame, shards: int = 4, epochs: int = 3, **options) -> dict[int, float]:
+def fit(labelled: DataFrame, epochs: int = 5, shard_rows: int = 8000) -> dict[int, float]:
     """Sparse weights from a bounded sample (y, _text).
 
-    Each of a fixed number of shards runs FTRL over its documents; the shards'
-    weights are averaged by coordinate. What comes to the driver is at most one row
-    for each of 2^BITS coordinates, and few are not 0.
+    One shard for each shard_rows documents runs FTRL over its own; the shards'
+    weights are averaged by coordinate. The L1 strength is a hundredth of a shard's
+    positive documents, 1 to 5: a feature needs evidence of its own to have any
+    weight, and small samples cannot give as much. What comes to the driver is at
+    most one row for each of 2^BITS coordinates, and few are not 0.
     """
+    n, positive = labelled.agg(F.count("*"), F.sum("y")).first()
+    if not n:
+        return {}
+    shards = -(-n // shard_rows)
+    l1 = min(5.0, max(1.0, (positive or 0) / shards / 100))
     dealt = labelled.select("y", "_text", F.xxhash64("_text").alias("_o"))
     dealt = dealt.withColumn("_s", F.pmod("_o", F.lit(shards))).repartition(shards, "_s")
 
@@ -117,7 +125,7 @@ def fit(labelled: DataFrame, shards: int = 4, epochs: int = 3, **options) -> dic
                 shard.setdefault(s, []).append((o, y, at))
         for docs in shard.values():
             docs.sort(key=lambda d: d[:2])
-            model = Ftrl(**options)
+            model = Ftrl(l1=l1)
             rng = np.random.default_rng(len(docs))
             for _ in range(epochs):
                 for i in rng.permutation(len(docs)):
@@ -155,7 +163,7 @@ def scored(docs: DataFrame, weights: dict[int, float], key: str = "doc_id", text
 
 def trained(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", limits: tuple[int, int] = (16384, 8192)) -> dict[int, float]:
     """Weights from at most limits[y] labelled documents of each class y, of those allowed. Without labels all weights are 0."""
-    return fit(sample(docs, labels, key, text, label, allowed, dict(enumerate(limits))))
+    return fit(written(sample(docs, labels, key, text, label, allowed, dict(enumerate(limits)))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
