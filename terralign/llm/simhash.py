@@ -73,7 +73,13 @@ def differing(a: np.ndarray, b) -> np.ndarray:
 
 
 def star(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges that join what is linked between left and right (or within left, if right is left): at most one for each entry.
+    """Edges, as fingerprints, that join what is linked between left and right (or within left, if right is left)."""
+    every = left if right is left else np.concatenate([left, right])
+    return [(int(every[a]), int(every[b])) for a, b in star_places(left, right, distance)]
+
+
+def star_places(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """The same as places in left followed by right: at most one edge for each entry.
 
     Grows one component after another; an entry already reached is not compared again.
     """
@@ -92,7 +98,7 @@ def star(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int,
             near = rest[differing(every[rest], every[at]) <= distance]
             free[near] = False
             frontier += near.tolist()
-            edges += [(int(every[at]), int(every[x])) for x in near]
+            edges += [(at, int(x)) for x in near]
     return edges
 
 
@@ -193,14 +199,196 @@ def _classes(rows: DataFrame, distance: int) -> DataFrame:
     return fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
-    """docs with one row of each component of near_duplicates: the one of smallest key (null first), whole and once.
+#: Two sets of similarity 0.8 differ in this share of SimHash bits: the angle of cosine 2 x 0.8 / 1.8, over pi.
+SHARE = 0.1514
+BUCKET = 64
+
 
-    Null and empty texts are one component; an empty table stays empty; other
-    columns pass through.
+def plan_segments(rows: int, recall: float = 0.97) -> tuple[int, int]:
+    """(bits of a segment, 64-bit words of a fingerprint) for so many texts.
+
+    Segments are as wide as keeps a bucket to a few dozen texts. There are so many
+    that, at similarity 0.8, one differs by at most one bit with the recall given;
+    more similar texts are found more surely.
     """
-    rows = _printed(docs, key, text, words)
-    first = rows.join(_classes(rows, distance), "fp").groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("f"))
+    width = min(24, max(12, int(np.ceil(np.log2(max(rows, 2)))) - 4))
+    one = (1 - SHARE) ** width + width * SHARE * (1 - SHARE) ** (width - 1)
+    needed = int(np.ceil(np.log(1 - recall) / np.log(1 - one)))
+    return width, -(-needed // (64 // width))
+
+
+def wide_fingerprint(text: str | None, words: int, n: int) -> tuple[list[int], np.ndarray]:
+    """n words of SimHash over the distinct word shingles of a whole text, A-Z lowered, and the shingles' 32-bit hashes in order."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return [0] * n, np.zeros(0, np.int32)
+    joined = b" ".join(tokens)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    if len(tokens) >= words:
+        starts, ends = starts[: len(tokens) - words + 1], ends[words - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8"))
+    shingles, out = np.unique(h.astype(np.uint32)).view(np.int32), []
+    for k in range(n):
+        ones = sum(np.unpackbits(h[a : a + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for a in range(0, len(h), CHUNK))
+        out.append(int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little", signed=True))
+        if k + 1 < n:  # the next word from hashes of the hashes
+            mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h = mixed ^ (mixed >> np.uint64(29))
+    return out, shingles
+
+
+def _prints(docs: DataFrame, key: str, text: str, words: int, n: int) -> DataFrame:
+    """_id, _h (hash of the text), cls (of texts with equal shingles), w (fingerprint), s (shingle hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                made = [wide_fingerprint(t.as_py(), words, n) for t in part.column(2)]
+                cls = [xxhash.xxh64_intdigest(s.tobytes()) for _, s in made]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array([w for w, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.list_(pa.int32()))], names=["_id", "_h", "cls", "w", "s"])
+
+    rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).cast("string").alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"_id {kind}, _h long, cls long, w array<long>, s array<int>")
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes within buckets of rows (key, cls, w) sorted by key, as (null, a, b, null); what is in larger buckets than block as (key, cls, null, w).
+
+    A bucket of at most BUCKET rows gives every pair within distance; a larger one
+    gives edges that join all that is linked there.
+    """
+
+    def out(key, a, b, w) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b, w)], names=["key", "a", "b", "w"])
+
+    def edges(a, b) -> pa.RecordBatch:
+        return out([None] * len(a), a, b, [None] * len(a))
+
+    def complete(key: np.ndarray, cls: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        sizes = np.diff(starts, append=len(key))
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= BUCKET)]):
+            first = starts[sizes == n]
+            i, j = np.triu_indices(n, 1)
+            for at in range(0, len(first), max(1, 500_000 // len(i))):
+                rows = first[at : at + max(1, 500_000 // len(i)), None] + np.arange(n)
+                x = w[rows]
+                k, pair = np.nonzero(np.bitwise_count((x[:, i] ^ x[:, j]).view(np.uint64)) <= distance)
+                c = cls[rows]
+                yield edges(c[k, i[pair]], c[k, j[pair]])
+        for at, n in zip(starts[(sizes > BUCKET) & (sizes <= block)], sizes[(sizes > BUCKET) & (sizes <= block)], strict=True):
+            own, c = w[at : at + n], cls[at : at + n]
+            found = np.array(star_places(own, own, distance), np.int64).reshape(-1, 2)
+            yield edges(c[found[:, 0]], c[found[:, 1]])
+        large = np.repeat(sizes > block, sizes)
+        yield out(key[large], cls[large], [None] * int(large.sum()), w[large])
+
+    held = [np.zeros(0, np.int64)] * 3
+    large = None
+    for batch in batches:
+        new = [batch.column(k).to_numpy() for k in range(3)]
+        if large is not None:
+            n = int(np.searchsorted(new[0], large, side="right"))
+            yield out(new[0][:n], new[1][:n], [None] * n, new[2][:n])
+            new = [x[n:] for x in new]
+            if not len(new[0]):
+                continue
+            large = None
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if not len(held[0]):
+            continue
+        last = int(np.searchsorted(held[0], held[0][-1], side="left"))  # its bucket may go on
+        yield from complete(*(x[:last] for x in held))
+        held = [x[last:] for x in held]
+        if len(held[0]) > block:
+            large = held[0][0]
+            yield out(held[0], held[1], [None] * len(held[0]), held[2])
+            held = [x[:0] for x in held]
+    yield from complete(*held)
+
+
+def similar_pairs(prints: DataFrame, width: int, similarity: float = 0.8, block: int = 2048) -> DataFrame:
+    """Pairs of classes (a, b) of rows of _prints whose shingle sets have the similarity (Jaccard) or more.
+
+    Classes meet where a segment differs by at most one bit; those whose first words
+    differ by more bits than texts of the similarity ever should are left out; the
+    rest is verified on the whole sets.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    share = float(np.arccos(cosine) / np.pi)
+    distance = int(np.ceil(64 * share + 2.7 * np.sqrt(64 * share * (1 - share))))
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = prints.groupBy("cls").agg(F.first("w").alias("w"))
+    per_word = 64 // width
+
+    words = prints.select(F.size("w")).first()
+    count = words[0] if words else 1
+    made = []
+    for word in range(count):
+        for k in range(per_word):
+            part = F.shiftrightunsigned(F.col("w")[word], k * width).bitwiseAND(F.lit((1 << width) - 1))
+            for bit in range(width):
+                number = (word * per_word + k) * width + bit
+                made.append(F.lit(number << 32) + part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))))
+    keyed = classes.repartition(n).select(F.explode(F.array(*made)).alias("key"), "cls", F.col("w")[0].alias("w"))
+    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _candidates(b, distance, block), "key long, a long, b long, w long")
+    met = written(met)
+    large = met.where("b is null").select("key", F.col("a").alias("cls"), "w")
+    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    cut = large.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    pairs = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    entry = F.struct("cls", "w")
+    blocks = pairs.groupBy("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list(F.when(F.col("x") <= F.col("y"), entry)).alias("l"), F.collect_list(F.when(F.col("x") > F.col("y"), entry)).alias("r"))
+
+    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            edges = []
+            for lo, hi, lc, lw, rc, rw in frame.itertuples(index=False):
+                left, right = np.asarray(lw, np.int64), np.asarray(rw, np.int64)
+                c = np.concatenate([np.asarray(lc, np.int64), np.asarray(rc, np.int64)])
+                edges += [(int(c[a]), int(c[b])) for a, b in star_places(left, left if lo == hi else right, distance)]
+            yield pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+    more = blocks.select("lo", "hi", F.col("l.cls").alias("lc"), F.col("l.w").alias("lw"), F.col("r.cls").alias("rc"), F.col("r.w").alias("rw")).mapInPandas(joined, "a long, b long")
+    edges = met.where("b is not null").select("a", "b").unionAll(more)
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = prints.select("cls", "s").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("s").alias("s"))
+    both = edges.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same >= similarity * (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(verified, "a long, b long")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one of smallest key (null first), whole and once.
+
+    Near-duplicates share similarity or more of their word shingles (Jaccard), in
+    one or more steps. 64 bits tell such texts apart too poorly: at 0.8 they differ
+    in about ten of them. So fingerprints have more words here and are cut into
+    segments of which one differs by at most one bit with 97 percent recall at 0.8,
+    and what meets is verified on the whole shingle sets. Texts without words are
+    one group; an empty table stays empty; other columns pass through.
+    """
+    width, n = plan_segments(docs.count())
+    rows = written(_prints(docs, key, text, words, n))
+    found = components(similar_pairs(rows, width, similarity)).withColumnRenamed("node", "cls")
+    first = rows.select("_id", "_h", "cls").join(found, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min(F.struct("_id", "_h")).alias("f"))
     kept = first.select(F.col("f._id").alias("_id"), F.col("f._h").alias("_kept"))
     named = docs.withColumn("_h", F.xxhash64(text))
     return named.join(kept, named[key].eqNullSafe(kept["_id"]) & (named["_h"] == kept["_kept"]), "left_semi").dropDuplicates([key, "_h"]).drop("_h")
