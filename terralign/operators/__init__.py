@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Operators from DataFrame to DataFrame."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Registered queries, their DuckDB statements and stand-in tables."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Binary and text sources, and sinks."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Empty on purpose: the capabilities this library covers are batch only."""
