@@ -1,15 +1,21 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from terralign.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_embeddings_match_sql(spark):
+def test_embeddings_match_sql(spark, tmp_path):
+    """The small tables hold no near copies, so some are added."""
+    base = spark.read.parquet(f"{SF}/embeddings.parquet")
+    near = base.where("vec_id % 9 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    near = near.select((F.col("vec_id") + 1000 * F.col("k")).alias("vec_id"), F.transform("embedding", lambda x, i: (x + 0.04 * F.sin(F.col("vec_id") + i * F.col("k"))).cast("float")).alias("embedding"), "label")
+    base.unionByName(near).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = sorted(con.execute("SELECT vec_id, n_links, component_id, kept FROM (" + queries.ORACLES["op8_embeddings"] + ")").fetchall())
-    got = sorted(tuple(r) for r in queries.QUERIES["op8_embeddings"](spark, SF).select("vec_id", "n_links", "component_id", "kept").collect())
+    got = sorted(tuple(r) for r in queries.QUERIES["op8_embeddings"](spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect())
     assert got == want and any(r[1] for r in got)
 
 
