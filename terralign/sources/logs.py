@@ -66,3 +66,36 @@ def markdown_table(report: DataFrame, limit: int = 200) -> str:
         raise ValueError(f"more than {limit} rows")
     lines = [report.columns, ["-"] * len(report.columns), *([("" if x is None else str(x)) for x in r] for r in rows)]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def load_scene(spark: SparkSession, path: str) -> DataFrame:
+    """A scene table that cache_scene wrote, of any run."""
+    return spark.read.parquet(path)
+
+
+def trace_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A profiler trace exported to Parquet: its ranges (start, stop, text) and its device intervals (kind, start, stop)."""
+    ranges = spark.read.parquet(f"{path}/ranges.parquet").select("start", F.col("end").alias("stop"), "text")
+    kinds = [spark.read.parquet(f"{path}/{k}.parquet").select(F.lit(k).alias("kind"), "start", F.col("end").alias("stop")) for k in ("kernels", "memcpys")]
+    return ranges, kinds[0].unionByName(kinds[1])
+
+
+def raw_dump(spark: SparkSession, path: str, kind: str = "<f4", row: int = 1) -> DataFrame:
+    """Files of bare numbers as rows (file, i, v) of row numbers each; a file that isn't whole rows raises.
+
+    A file is one task's work and is held in memory there: dumps are small by nature.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        size = np.dtype(kind).itemsize * row
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(content) % size:
+                    raise ValueError(f"{name} is not made of rows of {row}")
+                x = np.frombuffer(content, kind).astype(float)
+                n = len(x) // row
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(n)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * row, pa.int32()), pa.array(x))], names=["file", "i", "v"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, i long, v array<double>")

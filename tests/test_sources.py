@@ -105,3 +105,18 @@ def test_encoder(spark):
         encode.checked(df, "v", "array<double>", 2)
     with pytest.raises(Exception, match="must have 3"):
         encode.checked(df, "v", "array<float>", 3).collect()
+
+
+def test_dumps_traces_and_cache(spark, tmp_path):
+    np.arange(6, dtype="<f4").tofile(tmp_path / "a.bin")
+    got = logs.raw_dump(spark, str(tmp_path / "a.bin"), row=3).orderBy("i").collect()
+    assert [r.v for r in got] == [[0.0, 1.0, 2.0], [3.0, 4.0, 5.0]]
+    with pytest.raises(Exception, match="rows of 4"):
+        logs.raw_dump(spark, str(tmp_path / "a.bin"), row=4).collect()
+    for name, cols in (("ranges", "start long, end long, text string"), ("kernels", "start long, end long"), ("memcpys", "start long, end long")):
+        row = (1, 9, "step") if name == "ranges" else (2, 4)
+        spark.createDataFrame([row], cols).write.parquet(f"{tmp_path}/trace/{name}.parquet")
+    spans, device = logs.trace_tables(spark, f"{tmp_path}/trace")
+    assert spans.first().text == "step" and sorted(r.kind for r in device.collect()) == ["kernels", "memcpys"]
+    logs.cache_scene(spark.createDataFrame([("a", 1)], "scene string, n int"), f"{tmp_path}/c", "r")
+    assert logs.load_scene(spark, f"{tmp_path}/c").first().scene == "a"
