@@ -68,8 +68,9 @@ def variants(fp: Column, distance: int) -> Column:
 
 
 def differing(a: np.ndarray, b) -> np.ndarray:
-    """Bits that differ, counted unsigned: numpy counts those of a signed number's absolute value."""
-    return np.bitwise_count((a ^ b).view(np.uint64))
+    """Bits that differ, counted unsigned (numpy counts those of a signed number's absolute value); over all words of a row."""
+    bits = np.bitwise_count((a ^ b).view(np.uint64))
+    return bits if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
 
 
 def star(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -202,6 +203,7 @@ def _classes(rows: DataFrame, distance: int) -> DataFrame:
 #: Two sets of similarity 0.8 differ in this share of SimHash bits: the angle of cosine 2 x 0.8 / 1.8, over pi.
 SHARE = 0.1514
 BUCKET = 64
+CANDIDATE = ["key", "cls", "w0", "w1", "a", "b"]
 
 
 def plan_segments(rows: int, recall: float = 0.97) -> tuple[int, int]:
@@ -214,7 +216,7 @@ def plan_segments(rows: int, recall: float = 0.97) -> tuple[int, int]:
     width = min(24, max(12, int(np.ceil(np.log2(max(rows, 2)))) - 4))
     one = (1 - SHARE) ** width + width * SHARE * (1 - SHARE) ** (width - 1)
     needed = int(np.ceil(np.log(1 - recall) / np.log(1 - one)))
-    return width, -(-needed // (64 // width))
+    return width, max(2, -(-needed // (64 // width)))
 
 
 def wide_fingerprint(text: str | None, words: int, n: int) -> tuple[list[int], np.ndarray]:
@@ -259,44 +261,49 @@ def _prints(docs: DataFrame, key: str, text: str, words: int, n: int) -> DataFra
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes within buckets of rows (key, cls, w) sorted by key, as (null, a, b, null); what is in larger buckets than block as (key, cls, null, w).
+    """Pairs of classes within buckets of rows (key, cls, w0, w1) sorted by key, as (a, b); what is in larger buckets than block as (key, cls, w0, w1).
 
     A bucket of at most BUCKET rows gives every pair within distance; a larger one
     gives edges that join all that is linked there.
     """
 
-    def out(key, a, b, w) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b, w)], names=["key", "a", "b", "w"])
+    def rows(**given) -> pa.RecordBatch:
+        n = len(next(iter(given.values())))
+        return pa.RecordBatch.from_arrays([pa.array(given[k], pa.int64()) if k in given else pa.nulls(n, pa.int64()) for k in CANDIDATE], names=CANDIDATE)
 
-    def edges(a, b) -> pa.RecordBatch:
-        return out([None] * len(a), a, b, [None] * len(a))
+    def kept(key: np.ndarray, cls: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        return rows(key=key, cls=cls, w0=np.ascontiguousarray(w[:, 0]), w1=np.ascontiguousarray(w[:, 1]))
 
     def complete(key: np.ndarray, cls: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
         sizes = np.diff(starts, append=len(key))
-        for n in np.unique(sizes[(sizes > 1) & (sizes <= BUCKET)]):
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= min(BUCKET, block))]):
             first = starts[sizes == n]
             i, j = np.triu_indices(n, 1)
-            for at in range(0, len(first), max(1, 500_000 // len(i))):
-                rows = first[at : at + max(1, 500_000 // len(i)), None] + np.arange(n)
-                x = w[rows]
-                k, pair = np.nonzero(np.bitwise_count((x[:, i] ^ x[:, j]).view(np.uint64)) <= distance)
-                c = cls[rows]
-                yield edges(c[k, i[pair]], c[k, j[pair]])
-        for at, n in zip(starts[(sizes > BUCKET) & (sizes <= block)], sizes[(sizes > BUCKET) & (sizes <= block)], strict=True):
+            step = max(1, 250_000 // len(i))
+            for at in range(0, len(first), step):
+                here = first[at : at + step, None] + np.arange(n)
+                left, right = here[:, i].ravel(), here[:, j].ravel()
+                near = differing(w[left], w[right]) <= distance
+                if near.any():
+                    yield rows(a=cls[left[near]], b=cls[right[near]])
+        middle = (sizes > BUCKET) & (sizes <= block)
+        for at, n in zip(starts[middle], sizes[middle], strict=True):
             own, c = w[at : at + n], cls[at : at + n]
             found = np.array(star_places(own, own, distance), np.int64).reshape(-1, 2)
-            yield edges(c[found[:, 0]], c[found[:, 1]])
+            yield rows(a=c[found[:, 0]], b=c[found[:, 1]])
         large = np.repeat(sizes > block, sizes)
-        yield out(key[large], cls[large], [None] * int(large.sum()), w[large])
+        if large.any():
+            yield kept(key[large], cls[large], w[large])
 
-    held = [np.zeros(0, np.int64)] * 3
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)]
     large = None
     for batch in batches:
-        new = [batch.column(k).to_numpy() for k in range(3)]
+        key, cls, w0, w1 = (batch.column(k).to_numpy() for k in range(4))
+        new = [key, cls, np.stack([w0, w1], axis=1)]
         if large is not None:
-            n = int(np.searchsorted(new[0], large, side="right"))
-            yield out(new[0][:n], new[1][:n], [None] * n, new[2][:n])
+            n = int(np.searchsorted(key, large, side="right"))
+            yield kept(*(x[:n] for x in new))
             new = [x[n:] for x in new]
             if not len(new[0]):
                 continue
@@ -309,54 +316,50 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) ->
         held = [x[last:] for x in held]
         if len(held[0]) > block:
             large = held[0][0]
-            yield out(held[0], held[1], [None] * len(held[0]), held[2])
+            yield kept(*held)
             held = [x[:0] for x in held]
     yield from complete(*held)
 
 
-def similar_pairs(prints: DataFrame, width: int, similarity: float = 0.8, block: int = 2048) -> DataFrame:
+def similar_pairs(prints: DataFrame, width: int, count: int, similarity: float = 0.8, block: int = 2048) -> DataFrame:
     """Pairs of classes (a, b) of rows of _prints whose shingle sets have the similarity (Jaccard) or more.
 
-    Classes meet where a segment differs by at most one bit; those whose first words
-    differ by more bits than texts of the similarity ever should are left out; the
+    Classes meet where a segment differs by at most one bit; those whose first two
+    words of count differ by more bits than texts of the similarity should (three
+    deviations above) are left out; the
     rest is verified on the whole sets.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(cosine) / np.pi)
-    distance = int(np.ceil(64 * share + 2.7 * np.sqrt(64 * share * (1 - share))))
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    distance = int(np.ceil(128 * share + 3 * np.sqrt(128 * share * (1 - share))))
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = prints.groupBy("cls").agg(F.first("w").alias("w"))
-    per_word = 64 // width
-
-    words = prints.select(F.size("w")).first()
-    count = words[0] if words else 1
-    made = []
+    per_word, made = 64 // width, []
     for word in range(count):
         for k in range(per_word):
             part = F.shiftrightunsigned(F.col("w")[word], k * width).bitwiseAND(F.lit((1 << width) - 1))
             for bit in range(width):
                 number = (word * per_word + k) * width + bit
                 made.append(F.lit(number << 32) + part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))))
-    keyed = classes.repartition(n).select(F.explode(F.array(*made)).alias("key"), "cls", F.col("w")[0].alias("w"))
-    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _candidates(b, distance, block), "key long, a long, b long, w long")
-    met = written(met)
-    large = met.where("b is null").select("key", F.col("a").alias("cls"), "w")
+    keyed = classes.repartition(n).select(F.explode(F.array(*made)).alias("key"), "cls", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1"))
+    schema = ", ".join(f"{c} long" for c in CANDIDATE)
+    met = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _candidates(b, distance, block), schema))
+    large = met.where("b is null").select("key", "cls", "w0", "w1")
     sizes = large.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     cut = large.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     pairs = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    entry = F.struct("cls", "w")
+    entry = F.struct("cls", "w0", "w1")
     blocks = pairs.groupBy("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list(F.when(F.col("x") <= F.col("y"), entry)).alias("l"), F.collect_list(F.when(F.col("x") > F.col("y"), entry)).alias("r"))
 
     def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             edges = []
-            for lo, hi, lc, lw, rc, rw in frame.itertuples(index=False):
-                left, right = np.asarray(lw, np.int64), np.asarray(rw, np.int64)
+            for lo, hi, lc, l0, l1, rc, r0, r1 in frame.itertuples(index=False):
+                left, right = (np.stack([np.asarray(x, np.int64), np.asarray(y, np.int64)], axis=1) for x, y in ((l0, l1), (r0, r1)))
                 c = np.concatenate([np.asarray(lc, np.int64), np.asarray(rc, np.int64)])
                 edges += [(int(c[a]), int(c[b])) for a, b in star_places(left, left if lo == hi else right, distance)]
             yield pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
-    more = blocks.select("lo", "hi", F.col("l.cls").alias("lc"), F.col("l.w").alias("lw"), F.col("r.cls").alias("rc"), F.col("r.w").alias("rw")).mapInPandas(joined, "a long, b long")
+    more = blocks.select("lo", "hi", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lr" for c in ("cls", "w0", "w1"))).mapInPandas(joined, "a long, b long")
     edges = met.where("b is not null").select("a", "b").unionAll(more)
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     wanted = edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -387,7 +390,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """
     width, n = plan_segments(docs.count())
     rows = written(_prints(docs, key, text, words, n))
-    found = components(similar_pairs(rows, width, similarity)).withColumnRenamed("node", "cls")
+    found = components(similar_pairs(rows, width, n, similarity)).withColumnRenamed("node", "cls")
     first = rows.select("_id", "_h", "cls").join(found, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min(F.struct("_id", "_h")).alias("f"))
     kept = first.select(F.col("f._id").alias("_id"), F.col("f._h").alias("_kept"))
     named = docs.withColumn("_h", F.xxhash64(text))
