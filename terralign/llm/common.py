@@ -18,11 +18,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, kept when executors are lost."""
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, kept when executors are lost.
+
+    rows: at most so many rows to an Arrow batch, for Python work on wide rows.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/terralign/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if rows:
+        spark.conf.set(setting, str(rows))
+    try:
+        df.write.option("parquet.block.size", str(32 << 20)).parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -41,6 +41,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Longer strings aren't remembered.
+KEPT = 64
+
+
 class Memory:
     """A bounded memory of strings and their ids: two generations, of which the older is dropped."""
 
@@ -53,6 +57,10 @@ class Memory:
         if len(self.new) > self.limit:
             self.new, self.old = {}, self.new
 
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= KEPT:
+            self.new[key] = value
+
     def get(self, key: str) -> bytes | None:
         found = self.new.get(key)
         if found is None and (found := self.old.get(key)) is not None:
@@ -79,13 +87,15 @@ class Encoder:
         found = self.parts.get(part)
         if found is None:
             tokens = _tokenizer(self.name).model.tokenize(part.encode().decode("latin-1").translate(self.bytes))
-            found = self.parts.new[part] = np.array([t.id for t in tokens], "<u4").tobytes()
+            found = np.array([t.id for t in tokens], "<u4").tobytes()
+            self.parts.put(part, found)
         return found
 
     def _any(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            found = self.parts.new[part] = np.array(_tokenizer(self.name).encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            found = np.array(_tokenizer(self.name).encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            self.parts.put(part, found)
         return found
 
     def _word(self, word: str) -> bytes:
@@ -105,10 +115,15 @@ class Encoder:
         try:
             return b"".join(map(new.__getitem__, words))
         except KeyError:
+            out = []
             for w in words:
-                if w not in new and self.words.get(w) is None:
-                    new[w] = self._word(w)
-            return b"".join(map(new.__getitem__, words))
+                found = self.words.get(w)
+                if found is None:
+                    found = self._word(w)
+                    if len(w) <= KEPT:
+                        new[w] = found
+                out.append(found)
+            return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -118,7 +133,7 @@ def _encoder(name: str) -> Encoder:
 
 def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int) -> DataFrame:
     """The tokenized pieces of each document (key, piece, start, length, ids_crc32); a document of one id (0) if the text is null or empty."""
-    schema = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
@@ -135,8 +150,8 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int)
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["_key", "piece", "start", "length", "ids_crc32"])
 
-    kind = schema.schema["_key"].dataType.simpleString()
-    return schema.mapInArrow(cut, f"_key {kind}, piece int, start long, length long, ids_crc32 long")
+    kind = rows.schema["_key"].dataType.simpleString()
+    return rows.mapInArrow(cut, f"_key {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Lengths:

@@ -34,7 +34,9 @@ class Terms(dict):
         case = "A" if len(core) > 1 and core.isupper() else "1" if core.isdigit() else "a"
         at = zlib.crc32(("e" + ending).encode("utf-8", "surrogatepass")) % (DIMS - 256)
         shape = DIMS - 256 + zlib.crc32(f"s{case}{outside}".encode("utf-8", "surrogatepass")) % 255
-        self[word] = value = at * DIMS + shape
+        value = at * DIMS + shape
+        if len(word) <= 64:  # longer ones aren't remembered
+            self[word] = value
         return value
 
 

@@ -27,18 +27,21 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
+        self.used = 0
         self.rows = np.zeros((1024, 3), np.uint32)
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
+        n = self.used
+        if n >= self.LIMIT:
             raise OverflowError
-        n = len(self)
         if n >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         core = (word.strip(AROUND) or word).lower().encode("utf-8", "surrogatepass")
         text = core.decode("utf-8", "surrogatepass")
         self.rows[n] = zlib.crc32(core), zlib.crc32(b"4" + text[:4].encode("utf-8", "surrogatepass")), zlib.crc32(b"6" + text[:6].encode("utf-8", "surrogatepass"))
-        self[word] = n
+        self.used += 1
+        if len(word) <= 64:  # longer ones aren't remembered
+            self[word] = n
         return n
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -47,6 +50,7 @@ class Words(dict):
             at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         except OverflowError:
             self.clear()
+            self.used = 0
             step = self.LIMIT // 2
             if len(words) > step:
                 return np.concatenate([self.of(words[a : a + step]) for a in range(0, len(words), step)])

@@ -73,7 +73,7 @@ def test_word_memory_is_bounded(monkeypatch):
     many = [f"w{i}" for i in range(333)]
     fresh = toxicity.Words()
     one = np.concatenate([fresh.of([w]) for w in many[:40]])
-    assert np.array_equal(words.of(many)[:40], one) and len(words) <= 50
+    assert np.array_equal(words.of(many)[:40], one) and words.used <= 50
 
 
 def test_remainder(spark):
