@@ -78,9 +78,9 @@ class Encoder:
     whole.
     """
 
-    def __init__(self, name: str, words: int = 300_000):
+    def __init__(self, name: str, words: int = 250_000, parts: int = 600_000):
         self.name = name
-        self.words, self.parts = Memory(words), Memory(words)
+        self.words, self.parts = Memory(words), Memory(parts)
         self.bytes = _byte_letters()
 
     def _letters(self, part: str) -> bytes:
