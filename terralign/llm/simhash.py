@@ -202,7 +202,7 @@ def _classes(rows: DataFrame, distance: int) -> DataFrame:
 
 #: Two sets of similarity 0.8 differ in this share of SimHash bits: the angle of cosine 2 x 0.8 / 1.8, over pi.
 SHARE = 0.1514
-BUCKET = 64
+BUCKET = 16
 CANDIDATE = ["key", "cls", "w0", "w1", "a", "b"]
 
 
@@ -260,11 +260,17 @@ def _prints(docs: DataFrame, key: str, text: str, words: int, n: int) -> DataFra
     return rows.mapInArrow(run, f"_id {kind}, _h long, cls long, w array<long>, s array<int>")
 
 
+def _twice(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Edges of star_places within the bits that texts of the similarity differ in on average, and those within distance."""
+    return star_places(left, right, round(128 * SHARE)) + star_places(left, right, distance)
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) -> Iterator[pa.RecordBatch]:
     """Pairs of classes within buckets of rows (key, cls, w0, w1) sorted by key, as (a, b); what is in larger buckets than block as (key, cls, w0, w1).
 
     A bucket of at most BUCKET rows gives every pair within distance; a larger one
-    gives edges that join all that is linked there.
+    gives edges that join all that is linked there, at most two for each row. In
+    order of class, large buckets of one group give mostly the same edges.
     """
 
     def rows(**given) -> pa.RecordBatch:
@@ -290,7 +296,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) ->
         middle = (sizes > BUCKET) & (sizes <= block)
         for at, n in zip(starts[middle], sizes[middle], strict=True):
             own, c = w[at : at + n], cls[at : at + n]
-            found = np.array(star_places(own, own, distance), np.int64).reshape(-1, 2)
+            found = np.array(_twice(own, own, distance), np.int64).reshape(-1, 2)
             yield rows(a=c[found[:, 0]], b=c[found[:, 1]])
         large = np.repeat(sizes > block, sizes)
         if large.any():
@@ -342,7 +348,7 @@ def similar_pairs(prints: DataFrame, width: int, count: int, similarity: float =
                 made.append(F.lit(number << 32) + part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))))
     keyed = classes.repartition(n).select(F.explode(F.array(*made)).alias("key"), "cls", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1"))
     schema = ", ".join(f"{c} long" for c in CANDIDATE)
-    met = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _candidates(b, distance, block), schema))
+    met = written(keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(lambda b: _candidates(b, distance, block), schema))
     large = met.where("b is null").select("key", "cls", "w0", "w1")
     sizes = large.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     cut = large.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
@@ -356,7 +362,7 @@ def similar_pairs(prints: DataFrame, width: int, count: int, similarity: float =
             for lo, hi, lc, l0, l1, rc, r0, r1 in frame.itertuples(index=False):
                 left, right = (np.stack([np.asarray(x, np.int64), np.asarray(y, np.int64)], axis=1) for x, y in ((l0, l1), (r0, r1)))
                 c = np.concatenate([np.asarray(lc, np.int64), np.asarray(rc, np.int64)])
-                edges += [(int(c[a]), int(c[b])) for a, b in star_places(left, left if lo == hi else right, distance)]
+                edges += [(int(c[a]), int(c[b])) for a, b in _twice(left, left if lo == hi else right, distance)]
             yield pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
     more = blocks.select("lo", "hi", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lr" for c in ("cls", "w0", "w1"))).mapInPandas(joined, "a long, b long")
