@@ -1,4 +1,4 @@
-"""Removal of repeated runs of lines by winnowing, in DataFrame operations only."""
+"""Removal of repeated runs of lines by their least windows, in DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -19,67 +19,45 @@ def _measured(text: Column) -> Column:
     return F.filter(every, lambda x: x["w"] > 0)
 
 
-def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """Winnowed fingerprints of documents (_key, _h, lines): _key, _h, p (line), keys.
+def windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """The least windows of documents (_key, _h, lines, n: words): _key, _h, k (hashes of the content), prev, first, last.
 
-    A gram is the fewest lines from a line on that hold half of min_words. In each
-    window, the grams within the fewest lines that hold min_words, the gram with the
-    least hash is selected. A run of min_words that two documents share holds a
-    whole window of both, so it holds the same selected gram. Besides the gram's
-    own hash, keys has the gram with the line before it and the gram with the lines
-    up to min_words after its start, which tell apart places that share only it.
+    A window is the fewest lines that hold min_words from a line on, or up to a line.
+    Every line of a run of min_words lies in such a window inside the run, whatever
+    stands around it: the one from the line on, the one up to it, or the one from the
+    run's first line on. So a line is in a run that stands elsewhere just when one of
+    its windows does. first and last are line numbers of the text, prev that of the
+    line with words before.
     """
-    half = (min_words + 1) // 2
     doc = W.partitionBy("_key", "_h")
-    one = lines.select("_key", "_h", F.posexplode("lines").alias("p", "l")).select("_key", "_h", "p", F.col("l.h").alias("h"), F.col("l.w").cast("long").alias("w"))
-    at = one.withColumn("c", F.sum("w").over(doc.orderBy("p").rowsBetween(W.unboundedPreceding, 0)) - F.col("w"))
-    words = doc.orderBy("c")
-    told = at.select(
-        "*",
-        F.lag("h").over(doc.orderBy("p")).alias("before"),
-        F.xxhash64(F.collect_list("h").over(words.rangeBetween(0, half - 1))).alias("g"),
-        F.xxhash64(F.collect_list("h").over(words.rangeBetween(0, min_words - 1))).alias("t"),
-        (F.sum("w").over(doc.orderBy("p").rowsBetween(0, W.unboundedFollowing))).alias("rest"),
-    )
-    grams = told.withColumn("gram", F.when(F.col("rest") >= half, F.struct("g", "p", "before", F.when(F.col("rest") >= min_words, F.col("t")).alias("t"))))
-    least = grams.withColumn("chosen", F.min("gram").over(words.rangeBetween(0, min_words - half))).where(F.col("rest") >= min_words)
-    own = least.select("_key", "_h", "chosen.*").distinct()
-    keys = F.array("g", F.when(F.col("before").isNotNull(), F.xxhash64(F.lit(1), "g", "before")), F.when(F.col("t").isNotNull(), F.xxhash64(F.lit(2), "g", "t")))
-    return own.select("_key", "_h", "p", keys.alias("keys"))
-
-
-def _runs(own: Column, other: Column, shift: Column, min_words: int) -> Column:
-    """Maximal runs of equal lines along one alignment that hold min_words: (first, last) as line numbers of the text."""
-    lo = F.greatest(F.lit(0), shift)
-    n = F.least(F.size(own), F.size(other) + shift) - lo
-    pairs = F.zip_with(F.slice(own, lo + 1, n), F.slice(other, lo - shift + 1, n), lambda a, b: F.struct(a["i"].alias("i"), a["w"].alias("w"), (a["h"] == b["h"]).alias("e")))
-    start = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("w"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("out"))
-
-    def closed(s: Column) -> Column:
-        return F.when(s["w"] >= min_words, F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"))))).otherwise(s["out"])
-
-    def step(s: Column, x: Column) -> Column:
-        go = F.struct(F.when(s["w"] > 0, s["first"]).otherwise(x["i"]).alias("first"), x["i"].alias("last"), (s["w"] + x["w"]).alias("w"), s["out"].alias("out"))
-        stop = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("w"), closed(s).alias("out"))
-        return F.when(x["e"], go).otherwise(stop)
-
-    return F.aggregate(pairs, start, step, closed)
+    one = lines.select("_key", "_h", "n", F.posexplode("lines").alias("p", "l")).select("_key", "_h", "n", "p", F.col("l.i").alias("i"), F.col("l.h").alias("h"), F.col("l.w").cast("long").alias("w"))
+    by_place = doc.orderBy("p")
+    at = one.withColumn("e", F.sum("w").over(by_place.rowsBetween(W.unboundedPreceding, 0))).withColumn("c", F.col("e") - F.col("w")).withColumn("prev", F.lag("i").over(by_place))
+    onward, back = doc.orderBy("c").rangeBetween(0, min_words - 1), doc.orderBy("e").rangeBetween(1 - min_words, 0)
+    told = at.withColumns({"ahead": F.collect_list("h").over(onward), "last": F.last("i").over(onward)})
+    told = told.withColumns({"behind": F.collect_list("h").over(back), "first": F.first("i").over(back), "prev0": F.first("prev").over(back)})
+
+    def window(number: int, held: str, prev: str, first: str, last: str) -> Column:
+        k = F.struct(F.xxhash64(F.lit(number), held).alias("x"), F.hash(F.lit(number), held).alias("y"))
+        return F.struct(k.alias("k"), F.col(prev).alias("prev"), F.col(first).alias("first"), F.col(last).alias("last"))
+
+    both = F.array(F.when(F.col("n") - F.col("c") >= min_words, window(0, "ahead", "prev", "i", "last")), F.when(F.col("e") >= min_words, window(1, "behind", "prev0", "first", "i")))
+    return told.select("_key", "_h", F.explode(both).alias("m")).where("m is not null").select("_key", "_h", "m.k.x", "m.k.y", "m.prev", "m.first", "m.last")
 
 
 def repeats(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """Runs of lines to delete: _key, _h (hash of the text), runs. Documents without any are left out."""
-    lines = written(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), _measured(F.col(text)).alias("lines")))
-    marks = fingerprints(lines.distinct(), min_words).select("_key", "_h", "p", F.explode("keys").alias("k")).where("k is not null")
-    marks = written(marks)
-    first = marks.groupBy("k").agg(F.min(F.struct("_key", "_h", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = marks.join(first, "k").where(~F.struct("_key", "_h", "p").eqNullSafe(F.col("f")))
-    pairs = later.select("_key", "_h", F.col("f._key").alias("_key0"), F.col("f._h").alias("_h0"), (F.col("p") - F.col("f.p")).alias("shift")).distinct()
-    unique = lines.distinct()
-    a = unique.select(F.col("_key").alias("_ka"), F.col("_h").alias("_ha"), F.col("lines").alias("own"))
-    b = unique.select(F.col("_key").alias("_kb"), F.col("_h").alias("_hb"), F.col("lines").alias("other"))
-    both = pairs.join(a, F.col("_key").eqNullSafe(F.col("_ka")) & (F.col("_h") == F.col("_ha"))).join(b, F.col("_key0").eqNullSafe(F.col("_kb")) & (F.col("_h0") == F.col("_hb")))
-    runs = both.select("_key", "_h", _runs(F.col("own"), F.col("other"), F.col("shift"), min_words).alias("runs")).where(F.size("runs") > 0)
-    return runs.groupBy("_key", "_h").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    lines = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), _measured(F.col(text)).alias("lines"))
+    lines = lines.withColumn("n", F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["w"])).where(F.col("n") >= min_words).dropDuplicates(["_key", "_h"])
+    marks = written(windows(lines, min_words))
+    first = marks.groupBy("x", "y").agg(F.min(F.struct("_key", "_h", "first")).alias("f"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    later = marks.join(first, ["x", "y"]).where(~F.struct("_key", "_h", "first").eqNullSafe(F.col("f"))).select("_key", "_h", "prev", "first", "last").distinct()
+    doc = W.partitionBy("_key", "_h").orderBy("first", "last")
+    reached = F.max("last").over(doc.rowsBetween(W.unboundedPreceding, -1))
+    goes_on = F.coalesce(F.col("prev") <= reached, F.lit(False)) | F.coalesce(F.col("first") <= reached, F.lit(False))
+    runs = later.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(doc.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("_key", "_h", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("_key", "_h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
@@ -87,8 +65,8 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
 
     A run of whole lines with min_words words or more (lines compared trimmed, blank
     ones skipped) goes where the same run stands earlier, by key and then by place;
-    its first place keeps it. Runs are found by winnowed fingerprints (see
-    fingerprints), each compared with its first place and extended both ways. Shorter
+    its first place keeps it. Runs are found exactly, by windows (see there) of which
+    each stands at its first place or goes. Blank lines inside what goes, go. Shorter
     repeats stay. Null keys come first; a null text has no lines and stays null; an
     empty text stays; rows equal in key and text are one document, with one result
     for each; an empty table gives no rows; other columns pass through.

@@ -84,3 +84,25 @@ def test_odd_rows(spark):
     assert by[2][0][:2] == ("", 0) and by[3][0][:2] == (None, 0) and by[4][0][:2] == ("\n\n", 0) and by[5][0][:2] == ("short\nshort", 0)
     assert by[6][0][:2] == ("", 3)
     assert linededup.deduped(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_variants_against_brute_force(spark, seed):
+    """Families whose earliest place shares too little, or less than a later one: exactly the lines of brute force go."""
+    rng = random.Random(seed)
+    docs = []
+    for _ in range(8):
+        family = passage(rng, 8, 12)
+        docs.append(passage(rng, 1, 12) + family[:4] + passage(rng, 2, 12))  # 48 words only
+        for n in (5, 5, 6, 8, 8):
+            a = rng.randint(0, 8 - n)
+            docs.append(passage(rng, 1, 9) + family[a : a + n] + [" "] + passage(rng, 2, 12))
+    docs.append(["x " * 20] * 5)
+    first = [f"L{i} " * 12 for i in range(5)]
+    docs += [first[:4] + ["other " * 12], ["a " * 12, *first, "b " * 12], ["c " * 12, *first, "d " * 12]]
+    docs = [(i, "\n".join(d)) for i, d in enumerate(docs)]
+    got = {r.doc_id: r.text for r in linededup.deduped(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = brute_earlier(docs, 50)
+    for d, t in docs:
+        want = [x for i, x in enumerate(t.split("\n")) if (d, i) not in gone and x.strip()]
+        assert [x for x in got[d].split("\n") if x.strip()] == want
