@@ -202,7 +202,10 @@ def _classes(rows: DataFrame, distance: int) -> DataFrame:
 
 #: Two sets of similarity 0.8 differ in this share of SimHash bits: the angle of cosine 2 x 0.8 / 1.8, over pi.
 SHARE = 0.1514
-BUCKET = 16
+#: A text with so many candidates in one bucket is crowded there.
+BUCKET = 8
+#: Buckets up to so many rows are compared many at once.
+WIDE = 256
 CANDIDATE = ["key", "cls", "w0", "w1", "a", "b"]
 
 
@@ -265,12 +268,37 @@ def _twice(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int
     return star_places(left, right, round(128 * SHARE)) + star_places(left, right, distance)
 
 
+def _apart(w: np.ndarray, cls: np.ndarray, root: np.ndarray, left: int, same: bool, distance: int, limit: int) -> list[tuple[int, int]]:
+    """Pairs of classes within distance whose roots differ, between the first left rows and the rest (or within all, if same).
+
+    A pair belongs to its end of the root with fewer rows here. Each row gives its
+    limit nearest pairs; one that has more also gives (cls, cls).
+    """
+    if (root == root[0]).all():
+        return []
+    _, of, counts = np.unique(root, return_inverse=True, return_counts=True)
+    rank = np.empty(len(cls), np.int64)
+    rank[np.lexsort((cls, counts[of]))] = np.arange(len(cls))
+    side, out = np.arange(len(cls)) >= left, []
+    for at in range(len(cls)):
+        rest = np.flatnonzero((root != root[at]) & (rank > rank[at]) & (same | (side != side[at])))
+        bits = differing(w[rest], w[at])
+        near, bits = rest[bits <= distance], bits[bits <= distance]
+        if len(near) > limit:
+            near = near[np.argsort(bits, kind="stable")[:limit]]
+            out.append((int(cls[at]), int(cls[at])))
+        out += [(int(cls[at]), int(cls[x])) for x in near]
+    return out
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes within buckets of rows (key, cls, w0, w1) sorted by key, as (a, b); what is in larger buckets than block as (key, cls, w0, w1).
+    """Pairs of classes within buckets of rows (key, cls, w0, w1) sorted by key, as (a, b); what isn't complete by that as (key, cls, w0, w1).
 
-    A bucket of at most BUCKET rows gives every pair within distance; a larger one
-    gives edges that join all that is linked there, at most two for each row. In
-    order of class, large buckets of one group give mostly the same edges.
+    A bucket gives every pair within distance. If a text has BUCKET of them or more
+    there, the bucket gives edges that join all that is linked, at most two for each
+    row, and its linked rows for further rounds. In order of class, crowded buckets
+    of one group give mostly the same edges. Buckets of more than block rows come
+    out as rows alone.
     """
 
     def rows(**given) -> pa.RecordBatch:
@@ -281,23 +309,43 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) ->
         return rows(key=key, cls=cls, w0=np.ascontiguousarray(w[:, 0]), w1=np.ascontiguousarray(w[:, 1]))
 
     def complete(key: np.ndarray, cls: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def given(left: np.ndarray, right: np.ndarray, bucket: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+            """The pairs left, right of places, each in one of n buckets."""
+            ends, degree = np.unique(np.concatenate([left, right]), return_counts=True)
+            crowded = np.zeros(n, bool)
+            crowded[bucket[(degree[np.searchsorted(ends, left)] >= BUCKET) | (degree[np.searchsorted(ends, right)] >= BUCKET)]] = True
+            apart = ~crowded[bucket]
+            if apart.any():
+                yield rows(a=cls[left[apart]], b=cls[right[apart]])
+            for b in np.flatnonzero(crowded):
+                own = np.unique(np.concatenate([left[bucket == b], right[bucket == b]]))
+                prints = w[own]
+                found = own[np.array(_twice(prints, prints, distance), np.int64).reshape(-1, 2)]
+                yield rows(a=cls[found[:, 0]], b=cls[found[:, 1]])
+                yield kept(key[own], cls[own], w[own])
+
         starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
         sizes = np.diff(starts, append=len(key))
-        for n in np.unique(sizes[(sizes > 1) & (sizes <= min(BUCKET, block))]):
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= min(WIDE, block))]):
             first = starts[sizes == n]
             i, j = np.triu_indices(n, 1)
-            step = max(1, 250_000 // len(i))
+            step = max(1, 100_000 // len(i))
             for at in range(0, len(first), step):
                 here = first[at : at + step, None] + np.arange(n)
-                left, right = here[:, i].ravel(), here[:, j].ravel()
-                near = differing(w[left], w[right]) <= distance
-                if near.any():
-                    yield rows(a=cls[left[near]], b=cls[right[near]])
-        middle = (sizes > BUCKET) & (sizes <= block)
-        for at, n in zip(starts[middle], sizes[middle], strict=True):
-            own, c = w[at : at + n], cls[at : at + n]
-            found = np.array(_twice(own, own, distance), np.int64).reshape(-1, 2)
-            yield rows(a=c[found[:, 0]], b=c[found[:, 1]])
+                bits = np.zeros((len(here), len(i)), np.uint8)
+                for k in range(2):
+                    word = w[here, k]
+                    bits += np.bitwise_count((word[:, i] ^ word[:, j]).view(np.uint64))
+                bucket, pair = np.nonzero(bits <= distance)
+                if len(bucket):
+                    yield from given(here[bucket, i[pair]], here[bucket, j[pair]], bucket, len(here))
+        for at, n in zip(starts[(sizes > WIDE) & (sizes <= block)], sizes[(sizes > WIDE) & (sizes <= block)], strict=True):
+            own = w[at : at + n]
+            near = [np.flatnonzero(differing(own[k + 1 :], own[k]) <= distance) + k + 1 for k in range(n - 1)]
+            right = np.concatenate(near)
+            if len(right):
+                left = np.repeat(np.arange(n - 1), [len(x) for x in near])
+                yield from given(at + left, at + right, np.zeros(len(right), np.int64), 1)
         large = np.repeat(sizes > block, sizes)
         if large.any():
             yield kept(key[large], cls[large], w[large])
@@ -332,8 +380,11 @@ def similar_pairs(prints: DataFrame, width: int, count: int, similarity: float =
 
     Classes meet where a segment differs by at most one bit; those whose first two
     words of count differ by more bits than texts of the similarity should (three
-    deviations above) are left out; the
-    rest is verified on the whole sets.
+    deviations above) are left out; the rest is verified on the whole sets. Pairs
+    already joined by verified ones aren't needed. Crowded buckets give few edges at
+    first; then, in rounds, each text is verified against its nearest of other
+    components there, four times as many each round, until none has more. So an
+    edge that fails costs no text its other candidates.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     distance = int(np.ceil(128 * share + 3 * np.sqrt(128 * share * (1 - share))))
@@ -349,29 +400,29 @@ def similar_pairs(prints: DataFrame, width: int, count: int, similarity: float =
     keyed = classes.repartition(n).select(F.explode(F.array(*made)).alias("key"), "cls", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1"))
     schema = ", ".join(f"{c} long" for c in CANDIDATE)
     met = written(keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(lambda b: _candidates(b, distance, block), schema))
-    large = met.where("b is null").select("key", "cls", "w0", "w1")
-    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
-    cut = large.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
-    pairs = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    entry = F.struct("cls", "w0", "w1")
-    blocks = pairs.groupBy("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list(F.when(F.col("x") <= F.col("y"), entry)).alias("l"), F.collect_list(F.when(F.col("x") > F.col("y"), entry)).alias("r"))
-
-    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    open_rows = met.where("b is null").select("key", "cls", "w0", "w1")
+    sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+
+    def blocks(labelled: DataFrame) -> DataFrame:
+        """Pairs of blocks of the buckets of rows (key, k, cls, w0, w1, root), each side as lists."""
+        cut = labelled.withColumn("x", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+        pairs = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        entry = F.struct("cls", "w0", "w1", "root")
+        both = pairs.groupBy("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list(F.when(F.col("x") <= F.col("y"), entry)).alias("l"), F.collect_list(F.when(F.col("x") > F.col("y"), entry)).alias("r"))
+        return both.select("lo", "hi", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lr" for c in ("cls", "w0", "w1", "root")))
+
+    def joined(frames: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
         for frame in frames:
             edges = []
-            for lo, hi, lc, l0, l1, rc, r0, r1 in frame.itertuples(index=False):
+            for lo, hi, lc, l0, l1, lr, rc, r0, r1, rr in frame.itertuples(index=False):
                 left, right = (np.stack([np.asarray(x, np.int64), np.asarray(y, np.int64)], axis=1) for x, y in ((l0, l1), (r0, r1)))
-                c = np.concatenate([np.asarray(lc, np.int64), np.asarray(rc, np.int64)])
-                edges += [(int(c[a]), int(c[b])) for a, b in _twice(left, left if lo == hi else right, distance)]
+                c, root = (np.concatenate([np.asarray(x, np.int64), np.asarray(y, np.int64)]) for x, y in ((lc, rc), (lr, rr)))
+                if limit:
+                    edges += _apart(np.concatenate([left, right]), c, root, len(left), lo == hi, distance, limit)
+                else:
+                    edges += [(int(c[a]), int(c[b])) for a, b in _twice(left, left if lo == hi else right, distance)]
             yield pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
-    more = blocks.select("lo", "hi", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lr" for c in ("cls", "w0", "w1"))).mapInPandas(joined, "a long, b long")
-    edges = met.where("b is not null").select("a", "b").unionAll(more)
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = prints.select("cls", "s").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("s").alias("s"))
-    both = edges.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -381,7 +432,28 @@ def similar_pairs(prints: DataFrame, width: int, count: int, similarity: float =
                 keep.append(same >= similarity * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(verified, "a long, b long")
+    def checked(edges: DataFrame) -> DataFrame:
+        wanted = edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        sets = prints.select("cls", "s").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("s").alias("s"))
+        both = edges.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+        return both.select("a", "b", "sa", "sb").mapInArrow(verified, "a long, b long")
+
+    def ordered(edges: DataFrame) -> DataFrame:
+        return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+    more = blocks(open_rows.join(sizes.where("k > 1"), "key").withColumn("root", F.col("cls"))).mapInPandas(lambda f: joined(f, 0), "a long, b long")
+    tested = written(ordered(met.where("b is not null").select("a", "b").unionAll(more)))
+    if open_rows.isEmpty():
+        return written(checked(tested), rows=500)
+    found, limit, whole = written(checked(tested), rows=500), 4, False
+    while not whole:
+        roots = components(found).withColumnRenamed("node", "cls")
+        labelled = open_rows.join(sizes, "key").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        offered = written(blocks(labelled).mapInPandas(lambda f, n=limit: joined(f, n), "a long, b long"), rows=500)
+        new = written(ordered(offered).join(tested, ["a", "b"], "left_anti"))
+        found, tested = found.unionAll(written(checked(new), rows=500)), tested.unionAll(new)
+        whole, limit = offered.where("a = b").isEmpty(), 4 * limit
+    return found
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -55,6 +55,39 @@ def test_representatives_against_brute_force(spark, monkeypatch, block):
     assert simhash.representatives(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [64, 2048])
+def test_true_pairs_among_near_misses(spark, monkeypatch, block):
+    """A family just below the similarity, with a few pairs above it: no text is lost behind an edge that fails."""
+    pairs = simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda *a, **k: pairs(*a, **k, block=block))
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, texts = [word() for _ in range(200)], []
+
+    def edited(words):
+        out = list(words)
+        for k in range(4):
+            out[50 * k + rng.randrange(5, 45)] = word()
+        return out
+
+    for _ in range(300):
+        texts.append(edited(base))
+    for k in range(0, 300, 10):
+        texts.append(edited(texts[k]))
+    every = [sets(" ".join(t)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(every[i] & every[j]) >= 0.8 * len(every[i] | every[j]):
+                x, y = label[i], label[j]
+                label = [min(x, y) if z in (x, y) else z for z in label]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id for r in simhash.representatives(df).collect()}
+    assert 20 < len(set(label)) < len(texts) - 10
+    assert set(label) <= got and len(got) <= len(set(label)) + 1  # recall is 97 percent at 0.8
+
+
 def test_stages_on_a_small_corpus(spark, tmp_path):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice(["ta", "ri", "no", "mel", "su", "ko"]) for _ in range(rng.randint(1, 4)))
