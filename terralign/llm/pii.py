@@ -7,13 +7,31 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Length of an IBAN by country.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _of_length(n: int, countries: str) -> str:
+    groups, rest = divmod(n - 4, 4)
+    tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}"
+
+
+#: A country code of the telephone: of one digit, of three, or else of two.
+THREE = "(?:2[1-69]|3[578]|42|5[09]|6[789]|8[0578]|9[679])[0-9]"
+CALLED = rf"\+(?:[17]|{THREE}|(?!{THREE}|[17])[0-9]{{2}})"
+
 #: What is looked for, in this order. Formats only; VALID below decides.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])(?:(?:" + "|".join(_of_length(*x) for x in IBANS.items()) + r")(?![\p{L}\p{N}])|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]))",
     "card": r"(?<![\p{L}\p{N}.-])(?:[0-9]{13,19}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])",
-    "abroad": r"(?<![\p{L}\p{N}])\+[0-9]{2}(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])",
+    "abroad": rf"(?<![\p{{L}}\p{{N}}])(?:{CALLED}(?:(?:[ .-]?[0-9]{{2,4}}){{2,4}}|[ .-]?[0-9](?:[ .-]?[0-9]{{2,4}}){{2,5}})|\+[0-9]{{2}}(?:[ .-]?[0-9]{{2,4}}){{2,4}})(?![\p{{L}}\p{{N}}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "ip": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])",
     "date": r"(?<![\p{L}\p{N}/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\p{L}\p{N}/-])",
@@ -108,7 +126,10 @@ def _phone(hit: Column, key: Column) -> Column:
 
 
 def _abroad(hit: Column, key: Column) -> Column:
-    return F.concat(F.substring(hit, 1, 3), _into(F.substring(hit, F.lit(4), F.length(hit)), _letters(_digits(F.substring(hit, F.lit(4), F.length(hit))), key, F.concat(F.lit("abroad"), F.substring(hit, 1, 3)))))
+    """The country code stays."""
+    code = F.regexp_extract(hit, f"^{CALLED}", 0)
+    rest = F.substring(hit, F.length(code) + 1, F.length(hit))
+    return F.concat(code, _into(rest, _letters(_digits(rest), key, F.concat(F.lit("abroad"), code))))
 
 
 def _ssn(hit: Column, key: Column) -> Column:

@@ -65,3 +65,18 @@ def test_permutation(spark, kind):
 
 def test_empty(spark):
     assert pii.pseudonymized(spark.createDataFrame([], "doc_id int, text string"), "k").count() == 0
+
+
+def test_text_behind_ibans_and_country_codes(spark):
+    ibans = ["AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "LU280019400644750000", "NO93 8601 1117 947"]
+    words = ["BIC", "EUR", "SWFT", "A", "FOR", "IBAN"]
+    got = changed(spark, [f"pay {i} {w} now" for i, w in zip(ibans, words, strict=True)])
+    for iban, word, text in zip(ibans, words, got, strict=True):
+        assert iban not in text and text.endswith(f" {word} now")
+        new = text[4 : 4 + len(iban)]
+        plain = new.replace(" ", "")
+        assert [c == " " for c in new] == [c == " " for c in iban] and new[:2] == iban[:2]
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    numbers = {"+353 1 234 5678": "+353 ", "+358 40 1234567": "+358 ", "+7 495 123-45-67": "+7 ", "+33 1 23 45 67 89": "+33 ", "+49 30 1234 5678": "+49 "}
+    for (number, code), text in zip(numbers.items(), changed(spark, [f"call {n}, or write" for n in numbers]), strict=True):
+        assert number not in text and text.startswith(f"call {code}") and re.sub(r"\d", "0", text) == re.sub(r"\d", "0", f"call {number}, or write")
