@@ -126,17 +126,17 @@ class Encoder:
             return b"".join(out)
 
 
-@lru_cache(maxsize=2)
-def _encoder(name: str) -> Encoder:
-    return Encoder(name)
+@lru_cache(maxsize=1)
+def _encoder(name: str, words: int) -> Encoder:
+    return Encoder(name, words, words * 12 // 5)
 
 
-def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, remembered: int) -> DataFrame:
     """The tokenized pieces of each document (key, piece, start, length, ids_crc32); a document of one id (0) if the text is null or empty."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        encode = _encoder(tokenizer, remembered)
         for batch in batches:
             at, number, start, length, crc = [], [], [], [], []
             for row, value in enumerate(batch.column(1)):
@@ -222,7 +222,8 @@ def reduce_by_dominance(left: Lengths, capacity: int) -> list[tuple[tuple[int, .
                 elif best == room or one or pair and best >= sum(pair):
                     fix((a, best), times)
                 elif pair and sum(pair) == room:
-                    fix((a, *pair), 1)
+                    items = (a, *pair)
+                    fix(items, min(left.n[x] // items.count(x) for x in set(items)))
                 else:
                     break
                 changed = True
@@ -301,7 +302,7 @@ def slots(plan_: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, tokenizer: str = "word_bpe_49k.json", remembered: int = 250_000) -> DataFrame:
     """Every piece of every document with its sequence_id and its offset there, gapless from 0.
 
     Only the number of pieces of each length goes to the driver: at most capacity

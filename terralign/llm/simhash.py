@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralign.llm.common import components, written
+from terralign.llm.common import components, spare, written
 
 BITS = 64
 CHUNK = 1 << 16
@@ -171,7 +171,7 @@ def linked(fps: DataFrame, distance: int = 4, block: int = 2048) -> DataFrame:
                 edges += star(left, left if lo == hi else right, distance)
             yield pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
-    blocks = buckets.select("lo", "hi", "l", "r").mapInPandas(joined, "a long, b long")
+    blocks = written(buckets.select("lo", "hi", "l", "r").mapInPandas(joined, "a long, b long"), rows=64)
     return found.where("b is not null").select("a", "b").unionAll(blocks).distinct()
 
 
@@ -200,26 +200,43 @@ def _classes(rows: DataFrame, distance: int) -> DataFrame:
     return fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-#: Two sets of similarity 0.8 differ in this share of SimHash bits: the angle of cosine 2 x 0.8 / 1.8, over pi.
-SHARE = 0.1514
 #: A text with so many candidates in one bucket is crowded there.
 BUCKET = 8
-#: Buckets up to so many rows are compared many at once.
-WIDE = 256
+#: Buckets up to so many rows are compared many at once, larger ones in strips of rows.
+WIDE, STRIP = 48, 64
+#: Comparisons that cost as much as one more row of the index.
+ROW_COST = 400
+#: Rows of an outsized bucket that all others are compared with first.
+HUBS = 8
 CANDIDATE = ["key", "cls", "w0", "w1", "a", "b"]
 
 
-def plan_segments(rows: int, recall: float = 0.97) -> tuple[int, int]:
-    """(bits of a segment, 64-bit words of a fingerprint) for so many texts.
+def share_of(similarity: float) -> float:
+    """Share of SimHash bits in which two sets of the similarity (Jaccard) differ at most: the angle of cosine 2 s / (1 + s), over pi."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
-    Segments are as wide as keeps a bucket to a few dozen texts. There are so many
-    that, at similarity 0.8, one differs by at most one bit with the recall given;
-    more similar texts are found more surely.
+
+def plan_segments(rows: int, similarity: float = 0.8, recall: float = 0.97) -> tuple[int, int]:
+    """(bits of a segment, number of segments) for so many texts.
+
+    There are so many segments that, at the similarity, one differs by at most one
+    bit with the recall given; more similar texts are found more surely. Of the
+    widths the cheapest is taken: narrow segments need fewer keys a text, wide ones
+    fewer comparisons a key. Nothing bounds the width but the word.
     """
-    width = min(24, max(12, int(np.ceil(np.log2(max(rows, 2)))) - 4))
-    one = (1 - SHARE) ** width + width * SHARE * (1 - SHARE) ** (width - 1)
-    needed = int(np.ceil(np.log(1 - recall) / np.log(1 - one)))
-    return width, max(2, -(-needed // (64 // width)))
+    share, best = share_of(similarity), None
+    for width in range(6, 33):
+        one = (1 - share) ** width + width * share * (1 - share) ** (width - 1)
+        segments = int(np.ceil(np.log(1 - recall) / np.log(1 - one)))
+        cost = segments * width * (ROW_COST + rows / 2**width)
+        if best is None or cost < best[0]:
+            best = cost, width, segments
+    return best[1:]
+
+
+def words_of(width: int, segments: int) -> int:
+    """64-bit words that hold the segments; two at least, for the comparison of 128 bits."""
+    return max(2, -(-segments // (64 // width)))
 
 
 def wide_fingerprint(text: str | None, words: int, n: int) -> tuple[list[int], np.ndarray]:
@@ -263,9 +280,9 @@ def _prints(docs: DataFrame, key: str, text: str, words: int, n: int) -> DataFra
     return rows.mapInArrow(run, f"_id {kind}, _h long, cls long, w array<long>, s array<int>")
 
 
-def _twice(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of star_places within the bits that texts of the similarity differ in on average, and those within distance."""
-    return star_places(left, right, round(128 * SHARE)) + star_places(left, right, distance)
+def _twice(own: np.ndarray, near: int, distance: int) -> list[tuple[int, int]]:
+    """Edges of star_places within near bits (what texts of the similarity differ in on average), and those within distance."""
+    return star_places(own, own, near) + star_places(own, own, distance)
 
 
 def _apart(w: np.ndarray, cls: np.ndarray, root: np.ndarray, left: int, same: bool, distance: int, limit: int) -> list[tuple[int, int]]:
@@ -291,14 +308,27 @@ def _apart(w: np.ndarray, cls: np.ndarray, root: np.ndarray, left: int, same: bo
     return out
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes within buckets of rows (key, cls, w0, w1) sorted by key, as (a, b); what isn't complete by that as (key, cls, w0, w1).
+def _close(w0: np.ndarray, w1: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within distance among rows of two words, the smaller first; compared in strips."""
+    left, right = [], []
+    for at in range(0, len(w0), STRIP):
+        bits = np.bitwise_count(w0[at : at + STRIP, None] ^ w0[at:]) + np.bitwise_count(w1[at : at + STRIP, None] ^ w1[at:])
+        x, y = np.nonzero(bits <= distance)
+        later = x < y
+        left.append(x[later] + at)
+        right.append(y[later] + at)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], near: int, distance: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes within buckets of rows (key, cls, w0, w1) sorted by key, as (a, b); what isn't complete by that as (key, cls, w0, w1, a).
 
     A bucket gives every pair within distance. If a text has BUCKET of them or more
     there, the bucket gives edges that join all that is linked, at most two for each
     row, and its linked rows for further rounds. In order of class, crowded buckets
-    of one group give mostly the same edges. Buckets of more than block rows come
-    out as rows alone.
+    of one group give mostly the same edges. Of buckets of more than block rows all
+    rows come out for further rounds, each with its nearest leader within distance
+    as a (null if there is none). Up to HUBS rows that had none are leaders.
     """
 
     def rows(**given) -> pa.RecordBatch:
@@ -308,6 +338,26 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) ->
     def kept(key: np.ndarray, cls: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
         return rows(key=key, cls=cls, w0=np.ascontiguousarray(w[:, 0]), w1=np.ascontiguousarray(w[:, 1]))
 
+    def outsized(key: np.ndarray, cls: np.ndarray, w: np.ndarray, leaders: list[int], prints: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The rows of a part of one bucket with their leaders; leaders (classes) and prints grow."""
+        least, nearest = np.full(len(cls), 129, np.int64), np.zeros(len(cls), np.int64)
+
+        def compared(leader: int) -> None:
+            bits = differing(w, prints[leader])
+            closer = bits < least
+            least[closer], nearest[closer] = bits[closer], leaders[leader]
+
+        for n in range(len(leaders)):
+            compared(n)
+        while len(leaders) < HUBS and (far := np.flatnonzero(least > distance)).size:
+            leaders.append(int(cls[far[0]]))
+            prints.append(w[far[0]])
+            compared(len(leaders) - 1)
+        for led in (least <= distance, least > distance):
+            if led.any():
+                part = kept(key[led], cls[led], w[led])
+                yield part if (least[led] > distance).any() else pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(nearest[led]), part.column(5)], names=CANDIDATE)
+
     def complete(key: np.ndarray, cls: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
         def given(left: np.ndarray, right: np.ndarray, bucket: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
             """The pairs left, right of places, each in one of n buckets."""
@@ -320,7 +370,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) ->
             for b in np.flatnonzero(crowded):
                 own = np.unique(np.concatenate([left[bucket == b], right[bucket == b]]))
                 prints = w[own]
-                found = own[np.array(_twice(prints, prints, distance), np.int64).reshape(-1, 2)]
+                found = own[np.array(_twice(prints, near, distance), np.int64).reshape(-1, 2)]
                 yield rows(a=cls[found[:, 0]], b=cls[found[:, 1]])
                 yield kept(key[own], cls[own], w[own])
 
@@ -340,24 +390,20 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) ->
                 if len(bucket):
                     yield from given(here[bucket, i[pair]], here[bucket, j[pair]], bucket, len(here))
         for at, n in zip(starts[(sizes > WIDE) & (sizes <= block)], sizes[(sizes > WIDE) & (sizes <= block)], strict=True):
-            own = w[at : at + n]
-            near = [np.flatnonzero(differing(own[k + 1 :], own[k]) <= distance) + k + 1 for k in range(n - 1)]
-            right = np.concatenate(near)
+            left, right = _close(*np.ascontiguousarray(w[at : at + n].T).view(np.uint64), distance)
             if len(right):
-                left = np.repeat(np.arange(n - 1), [len(x) for x in near])
                 yield from given(at + left, at + right, np.zeros(len(right), np.int64), 1)
-        large = np.repeat(sizes > block, sizes)
-        if large.any():
-            yield kept(key[large], cls[large], w[large])
+        for at, n in zip(starts[sizes > block], sizes[sizes > block], strict=True):
+            yield from outsized(key[at : at + n], cls[at : at + n], w[at : at + n], [], [])
 
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)]
-    large = None
+    large, leaders, prints = None, [], []
     for batch in batches:
         key, cls, w0, w1 = (batch.column(k).to_numpy() for k in range(4))
         new = [key, cls, np.stack([w0, w1], axis=1)]
         if large is not None:
             n = int(np.searchsorted(key, large, side="right"))
-            yield kept(*(x[:n] for x in new))
+            yield from outsized(*(x[:n] for x in new), leaders, prints)
             new = [x[n:] for x in new]
             if not len(new[0]):
                 continue
@@ -369,59 +415,62 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int, block: int) ->
         yield from complete(*(x[:last] for x in held))
         held = [x[last:] for x in held]
         if len(held[0]) > block:
-            large = held[0][0]
-            yield kept(*held)
+            large, leaders, prints = held[0][0], [], []
+            yield from outsized(*held, leaders, prints)
             held = [x[:0] for x in held]
     yield from complete(*held)
 
 
-def similar_pairs(prints: DataFrame, width: int, count: int, similarity: float = 0.8, block: int = 2048) -> DataFrame:
+def similar_pairs(prints: DataFrame, width: int, segments: int, similarity: float = 0.8, block: int = 2048) -> DataFrame:
     """Pairs of classes (a, b) of rows of _prints whose shingle sets have the similarity (Jaccard) or more.
 
     Classes meet where a segment differs by at most one bit; those whose first two
-    words of count differ by more bits than texts of the similarity should (three
-    deviations above) are left out; the rest is verified on the whole sets. Pairs
-    already joined by verified ones aren't needed. Crowded buckets give few edges at
-    first; then, in rounds, each text is verified against its nearest of other
-    components there, four times as many each round, until none has more. So an
-    edge that fails costs no text its other candidates.
+    words differ by more bits than texts of the similarity should (three deviations
+    above: one in 700 at exactly the similarity) are left out; the rest is verified
+    on the whole sets. Pairs already joined by verified ones aren't needed. Crowded
+    buckets give few edges at first; then, in rounds, each text is verified against
+    its nearest of other components there, eight times as many each round, until
+    none has more. So an edge that fails costs no text its other candidates.
+
+    What is left of a bucket by then is mostly one component. Rows outside it are
+    cut into blocks and meet all others; rows of it don't meet each other, so a
+    group that holds a third of all rows costs a pass and not its square.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    distance = int(np.ceil(128 * share + 3 * np.sqrt(128 * share * (1 - share))))
+    share = share_of(similarity)
+    near, distance = round(128 * share), int(np.ceil(128 * share + 3 * np.sqrt(128 * share * (1 - share))))
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = prints.groupBy("cls").agg(F.first("w").alias("w"))
     per_word, made = 64 // width, []
-    for word in range(count):
-        for k in range(per_word):
-            part = F.shiftrightunsigned(F.col("w")[word], k * width).bitwiseAND(F.lit((1 << width) - 1))
-            for bit in range(width):
-                number = (word * per_word + k) * width + bit
-                made.append(F.lit(number << 32) + part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))))
+    for segment in range(segments):
+        part = F.shiftrightunsigned(F.col("w")[segment // per_word], segment % per_word * width).bitwiseAND(F.lit((1 << width) - 1))
+        made += [F.lit((segment * width + bit) << 32) + part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))) for bit in range(width)]
     keyed = classes.repartition(n).select(F.explode(F.array(*made)).alias("key"), "cls", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1"))
     schema = ", ".join(f"{c} long" for c in CANDIDATE)
-    met = written(keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(lambda b: _candidates(b, distance, block), schema))
-    open_rows = met.where("b is null").select("key", "cls", "w0", "w1")
-    sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    met = written(keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(lambda b: _candidates(b, near, distance, block), schema))
+    open_rows = met.where("key is not null").select("key", "cls", "w0", "w1")
 
     def blocks(labelled: DataFrame) -> DataFrame:
-        """Pairs of blocks of the buckets of rows (key, k, cls, w0, w1, root), each side as lists."""
-        cut = labelled.withColumn("x", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
-        pairs = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        """Pairs of blocks of the buckets of rows (key, cls, w0, w1, root) that hold several roots, each side as lists."""
+        by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
+        most = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+        few, rare = F.col("n") <= block, F.col("root") != F.col("top.root")
+        cut = labelled.join(most, "key").withColumn("k", F.ceil((F.col("n") - F.col("top.c")) / block).cast("int")).withColumn("m", F.ceil(F.col("top.c") / block).cast("int"))
+        deal = lambda parts: F.pmod(F.xxhash64("cls"), F.col(parts)).cast("int")
+        cut = cut.withColumn("x", F.when(few, 0).when(rare, deal("k")).otherwise(F.col("k") + deal("m")))
+        meets = F.when(few, F.array(F.lit(0))).when(rare, F.sequence(F.lit(0), F.col("k") + F.col("m") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
+        pairs = cut.withColumn("y", F.explode(meets))
         entry = F.struct("cls", "w0", "w1", "root")
         both = pairs.groupBy("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list(F.when(F.col("x") <= F.col("y"), entry)).alias("l"), F.collect_list(F.when(F.col("x") > F.col("y"), entry)).alias("r"))
         return both.select("lo", "hi", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lr" for c in ("cls", "w0", "w1", "root")))
 
-    def joined(frames: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            edges = []
-            for lo, hi, lc, l0, l1, lr, rc, r0, r1, rr in frame.itertuples(index=False):
-                left, right = (np.stack([np.asarray(x, np.int64), np.asarray(y, np.int64)], axis=1) for x, y in ((l0, l1), (r0, r1)))
-                c, root = (np.concatenate([np.asarray(x, np.int64), np.asarray(y, np.int64)]) for x, y in ((lc, rc), (lr, rr)))
-                if limit:
-                    edges += _apart(np.concatenate([left, right]), c, root, len(left), lo == hi, distance, limit)
-                else:
-                    edges += [(int(c[a]), int(c[b])) for a, b in _twice(left, left if lo == hi else right, distance)]
-            yield pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+    def joined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lo, hi = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                l, r = ([batch.column(side + k)[row].values.to_numpy(zero_copy_only=False) for k in range(4)] for side in (2, 6))
+                cls, w0, w1, root = (np.concatenate(x) for x in zip(l, r, strict=True))
+                edges = np.array(_apart(np.stack([w0, w1], axis=1), cls, root, len(l[0]), lo == hi, distance, limit), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -441,18 +490,16 @@ def similar_pairs(prints: DataFrame, width: int, count: int, similarity: float =
     def ordered(edges: DataFrame) -> DataFrame:
         return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
-    more = blocks(open_rows.join(sizes.where("k > 1"), "key").withColumn("root", F.col("cls"))).mapInPandas(lambda f: joined(f, 0), "a long, b long")
-    tested = written(ordered(met.where("b is not null").select("a", "b").unionAll(more)))
-    if open_rows.isEmpty():
-        return written(checked(tested), rows=500)
-    found, limit, whole = written(checked(tested), rows=500), 4, False
+    tested = written(ordered(met.where("a is not null").select("a", F.coalesce("b", "cls").alias("b"))))
+    found = written(checked(tested), rows=200)
+    limit, whole = 8, open_rows.isEmpty()
     while not whole:
         roots = components(found).withColumnRenamed("node", "cls")
-        labelled = open_rows.join(sizes, "key").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        offered = written(blocks(labelled).mapInPandas(lambda f, n=limit: joined(f, n), "a long, b long"), rows=500)
+        labelled = open_rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        offered = written(blocks(labelled).mapInArrow(lambda b, n=limit: joined(b, n), "a long, b long"), rows=32)
         new = written(ordered(offered).join(tested, ["a", "b"], "left_anti"))
-        found, tested = found.unionAll(written(checked(new), rows=500)), tested.unionAll(new)
-        whole, limit = offered.where("a = b").isEmpty(), 4 * limit
+        found, tested = found.unionAll(written(checked(new), rows=200)), tested.unionAll(new)
+        whole, limit = offered.where("a = b").isEmpty(), 8 * limit
     return found
 
 
@@ -463,16 +510,18 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     one or more steps. 64 bits tell such texts apart too poorly: at 0.8 they differ
     in about ten of them. So fingerprints have more words here and are cut into
     segments of which one differs by at most one bit with 97 percent recall at 0.8,
-    and what meets is verified on the whole shingle sets. Texts without words are
-    one group; an empty table stays empty; other columns pass through.
+    and what meets is verified on the whole shingle sets. Null and empty texts and
+    those without words are one group; of rows equal in key and text one stays; an
+    empty table stays empty; other columns pass through, whatever their names.
     """
-    width, n = plan_segments(docs.count())
-    rows = written(_prints(docs, key, text, words, n))
-    found = components(similar_pairs(rows, width, n, similarity)).withColumnRenamed("node", "cls")
+    width, segments = plan_segments(docs.count(), similarity)
+    rows = written(_prints(docs, key, text, words, words_of(width, segments)))
+    found = components(similar_pairs(rows, width, segments, similarity)).withColumnRenamed("node", "cls")
     first = rows.select("_id", "_h", "cls").join(found, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min(F.struct("_id", "_h")).alias("f"))
     kept = first.select(F.col("f._id").alias("_id"), F.col("f._h").alias("_kept"))
-    named = docs.withColumn("_h", F.xxhash64(text))
-    return named.join(kept, named[key].eqNullSafe(kept["_id"]) & (named["_h"] == kept["_kept"]), "left_semi").dropDuplicates([key, "_h"]).drop("_h")
+    print_ = spare(docs, "_h")
+    named = docs.withColumn(print_, F.xxhash64(text))
+    return named.join(kept, named[key].eqNullSafe(kept["_id"]) & (named[print_] == kept["_kept"]), "left_semi").dropDuplicates([key, print_]).drop(print_)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
