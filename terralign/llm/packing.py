@@ -131,7 +131,7 @@ def _encoder(name: str, words: int) -> Encoder:
     return Encoder(name, words, words * 12 // 5)
 
 
-def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, remembered: int) -> DataFrame:
+def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, remembered: int = 250_000) -> DataFrame:
     """The tokenized pieces of each document (key, piece, start, length, ids_crc32); a document of one id (0) if the text is null or empty."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
 
