@@ -1,4 +1,4 @@
-"""Removal of repeated runs of lines by their least windows, in DataFrame operations only."""
+"""Removal of repeated runs of lines by winnowing over line hashes, in DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terralign.llm.common import written
+from terralign.llm.common import spare, written
 
 
 def _lines(text: Column) -> Column:
@@ -20,14 +20,16 @@ def _measured(text: Column) -> Column:
 
 
 def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """The least windows of documents (_key, _h, lines, n: words): _key, _h, k (hashes of the content), prev, first, last.
+    """The windows of documents (_key, _h, lines, n: words): _key, _h, x and y (hashes of the content), fp, place, prev, first, last.
 
     A window is the fewest lines that hold min_words from a line on, or up to a line.
     Every line of a run of min_words lies in such a window inside the run, whatever
     stands around it: the one from the line on, the one up to it, or the one from the
     run's first line on. So a line is in a run that stands elsewhere just when one of
-    its windows does. first and last are line numbers of the text, prev that of the
-    line with words before.
+    its windows does. fp is the window's fingerprint, its least line hash, and place
+    a hash of where that line stands: whatever repeats a window repeats fp with it.
+    first and last are line numbers of the text, prev that of the line with words
+    before.
     """
     doc = W.partitionBy("_key", "_h")
     one = lines.select("_key", "_h", "n", F.posexplode("lines").alias("p", "l")).select("_key", "_h", "n", "p", F.col("l.i").alias("i"), F.col("l.h").alias("h"), F.col("l.w").cast("long").alias("w"))
@@ -37,19 +39,28 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
     told = at.withColumns({"ahead": F.collect_list("h").over(onward), "last": F.last("i").over(onward)})
     told = told.withColumns({"behind": F.collect_list("h").over(back), "first": F.first("i").over(back), "prev0": F.first("prev").over(back)})
 
-    def window(number: int, held: str, prev: str, first: str, last: str) -> Column:
-        k = F.struct(F.xxhash64(F.lit(number), held).alias("x"), F.hash(F.lit(number), held).alias("y"))
-        return F.struct(k.alias("k"), F.col(prev).alias("prev"), F.col(first).alias("first"), F.col(last).alias("last"))
+    def window(number: int, held: str, start: Column, prev: str, first: str, last: str) -> Column:
+        least = F.array_min(held)
+        place = F.xxhash64("_key", "_h", start + F.array_position(held, least))
+        return F.struct(F.xxhash64(F.lit(number), held).alias("x"), F.hash(F.lit(number), held).alias("y"), least.alias("fp"), place.alias("place"), F.col(prev).alias("prev"), F.col(first).alias("first"), F.col(last).alias("last"))
 
-    both = F.array(F.when(F.col("n") - F.col("c") >= min_words, window(0, "ahead", "prev", "i", "last")), F.when(F.col("e") >= min_words, window(1, "behind", "prev0", "first", "i")))
-    return told.select("_key", "_h", F.explode(both).alias("m")).where("m is not null").select("_key", "_h", "m.k.x", "m.k.y", "m.prev", "m.first", "m.last")
+    onward, back = window(0, "ahead", F.col("p"), "prev", "i", "last"), window(1, "behind", F.col("p") + 1 - F.size("behind"), "prev0", "first", "i")
+    both = F.array(F.when(F.col("n") - F.col("c") >= min_words, onward), F.when(F.col("e") >= min_words, back))
+    return told.select("_key", "_h", F.explode(both).alias("m")).where("m is not null").select("_key", "_h", "m.*")
 
 
 def repeats(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """Runs of lines to delete: _key, _h (hash of the text), runs. Documents without any are left out."""
+    """Runs of lines to delete: _key, _h (hash of the text), runs. Documents without any are left out.
+
+    Winnowing: every window selects its least line hash as a fingerprint. Places that
+    share a fingerprint are joined; each match is extended both ways to its whole
+    window, and windows whose content stands earlier are joined to runs.
+    """
     lines = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), _measured(F.col(text)).alias("lines"))
     lines = lines.withColumn("n", F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["w"])).where(F.col("n") >= min_words).dropDuplicates(["_key", "_h"])
     marks = written(windows(lines, min_words))
+    shared = marks.groupBy("fp").agg(F.min("place").alias("_a"), F.max("place").alias("_b")).where("_a <> _b").select("fp")
+    marks = marks.join(shared, "fp", "left_semi")
     first = marks.groupBy("x", "y").agg(F.min(F.struct("_key", "_h", "first")).alias("f"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = marks.join(first, ["x", "y"]).where(~F.struct("_key", "_h", "first").eqNullSafe(F.col("f"))).select("_key", "_h", "prev", "first", "last").distinct()
     doc = W.partitionBy("_key", "_h").orderBy("first", "last")
@@ -65,21 +76,23 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
 
     A run of whole lines with min_words words or more (lines compared trimmed, blank
     ones skipped) goes where the same run stands earlier, by key and then by place;
-    its first place keeps it. Runs are found exactly, by windows (see there) of which
-    each stands at its first place or goes. Blank lines inside what goes, go. Shorter
+    its first place keeps it. Runs are found exactly, by fingerprints that no repeated
+    run is without, and windows (see there) of which each stands at its first place or goes. Blank lines inside what goes, go. Shorter
     repeats stay. Null keys come first; a null text has no lines and stays null; an
-    empty text stays; rows equal in key and text are one document, with one result
-    for each; an empty table gives no rows; other columns pass through.
+    empty text stays; very long texts are whole; rows equal in key and text are one document, with one result
+    for each; an empty table gives no rows; other columns pass through,
+    those named n_lines or n_removed as _own_n_lines and _own_n_removed.
     """
-    cut = repeats(docs, key, text, min_words).select(F.col("_key").alias("_k"), F.col("_h").alias("_x"), F.col("runs").alias("_runs"))
-    named = docs.withColumnsRenamed({c: f"_own_{c}" for c in ("n_lines", "n_removed", "_k", "_x", "_runs") if c in docs.columns})
-    held = named.join(cut, named[key].eqNullSafe(cut["_k"]) & (F.xxhash64(named[text]) == cut["_x"]), "left")
+    id_, hash_, runs, left = (spare(docs, c) for c in ("_k", "_x", "_runs", "_left"))
+    cut = repeats(docs, key, text, min_words).toDF(id_, hash_, runs)
+    named = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c.lower() in ("n_lines", "n_removed")})
+    held = named.join(cut, named[key].eqNullSafe(cut[id_]) & (F.xxhash64(named[text]) == cut[hash_]), "left")
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
-    out = held.withColumn("_left", F.when(F.col("_runs").isNotNull(), kept))
-    counts = {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)), "n_removed": F.when(F.col("_runs").isNull(), 0).otherwise(F.size(lines) - F.size("_left"))}
-    out = out.withColumns(counts).withColumn(text, F.coalesce(F.array_join("_left", "\n"), F.col(text)))
-    return out.drop("_k", "_x", "_runs", "_left")
+    kept = F.filter(lines, lambda _, i: ~F.exists(runs, lambda r: (r["first"] <= i) & (i <= r["last"])))
+    out = held.withColumn(left, F.when(F.col(runs).isNotNull(), kept))
+    counts = {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)), "n_removed": F.when(F.col(runs).isNull(), 0).otherwise(F.size(lines) - F.size(left))}
+    out = out.withColumns(counts).withColumn(text, F.coalesce(F.array_join(left, "\n"), F.col(text)))
+    return out.drop(id_, hash_, runs, left)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -74,8 +74,9 @@ def test_planted_passages(spark, seed):
 def test_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(60))
     rows = [(None, long), (1, long), (2, ""), (3, None), (4, "\n\n"), (1, long), (5, "short\nshort"), (6, "\n".join([long] * 3))]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as n_lines", "7 as _runs")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as n_lines", "7 as _runs", "8 as _left", "9 as _K")
     got = linededup.deduped(df).collect()
+    assert all((r._runs, r._left, r._K) == (7, 8, 9) for r in got)
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append((r.text, r.n_removed, r._own_n_lines))
@@ -106,3 +107,10 @@ def test_variants_against_brute_force(spark, seed):
     for d, t in docs:
         want = [x for i, x in enumerate(t.split("\n")) if (d, i) not in gone and x.strip()]
         assert [x for x in got[d].split("\n") if x.strip()] == want
+
+
+def test_very_long_text(spark):
+    lines = [f"line {i} of a very long text that has ten words" for i in range(20_000)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(["own words"] + lines[7000:7010] + ["others"])), (3, "y" * 500_000)]
+    got = {r.doc_id: r for r in linededup.deduped(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and got[2].text == "own words\nothers" and got[3].n_removed == 0
