@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 from terralign.llm.labelled import remainder, sample
 
-DIMS = 2048
+#: Hashed terms: whole words, then endings, then shapes, and one for repeats.
+WHOLE, ENDINGS, DIMS = 2048, 1792, 4096
 REPEAT = DIMS - 1
 EDGE = re.compile(r"[^\W_]+", re.UNICODE)
 
 
 class Terms(dict):
-    """Word -> its two hashed terms, as one number: its ending (whole if short), and what stands around its letters, with its case."""
+    """Word -> its three hashed terms, as one number: itself in small letters, its ending, and what stands around its letters, with its case."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -32,9 +33,10 @@ class Terms(dict):
         ending = low if len(low) <= 4 else "~" + low[-3:]
         outside = EDGE.sub("a", word[-4:])
         case = "A" if len(core) > 1 and core.isupper() else "1" if core.isdigit() else "a"
-        at = zlib.crc32(("e" + ending).encode("utf-8", "surrogatepass")) % (DIMS - 256)
-        shape = DIMS - 256 + zlib.crc32(f"s{case}{outside}".encode("utf-8", "surrogatepass")) % 255
-        value = at * DIMS + shape
+        hashed = lambda kind, x: zlib.crc32((kind + x).encode("utf-8", "surrogatepass"))
+        whole, end = hashed("w", low) % WHOLE, WHOLE + hashed("e", ending) % ENDINGS
+        shape = WHOLE + ENDINGS + hashed("s", case + outside) % (REPEAT - WHOLE - ENDINGS)
+        value = (whole * DIMS + end) * DIMS + shape
         if len(word) <= 64:  # longer ones aren't remembered
             self[word] = value
         return value
@@ -44,15 +46,14 @@ _terms = Terms()
 
 
 def counts(texts: list[str]) -> np.ndarray:
-    """Term counts of whole texts, one row each: endings, shapes, and words equal to the one before."""
+    """Term counts of whole texts, one row each: words, endings, shapes, and words equal to the one before."""
     out = np.zeros((len(texts), DIMS), np.float32)
     for row, text in zip(out, texts, strict=True):
         words = text.split()
         if words:
-            pair = np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
-            row += np.bincount(pair // DIMS, minlength=DIMS)
-            row += np.bincount(pair % DIMS, minlength=DIMS)
-            row[REPEAT] = np.count_nonzero(pair[1:] == pair[:-1])
+            three = np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
+            row += np.bincount(np.concatenate([three // DIMS**2, three // DIMS % DIMS, three % DIMS]), minlength=DIMS)
+            row[REPEAT] = np.count_nonzero(three[1:] == three[:-1])
     return out
 
 
@@ -73,20 +74,25 @@ class Model:
         return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
 
     def score(self, texts: list[str], block: int = 256) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, weighted by cosine; the mean label if no cosine is above 0."""
+        """Share of label 1 among the nearest labelled vectors, weighted by the fourth power of the cosine; the mean label if no cosine is above 0.
+
+        All vectors as near as the last of the nearest vote, so ties decide nothing.
+        """
         out = np.empty(len(texts))
         for at in range(0, len(texts), block):
             cosines = self.embed(counts(texts[at : at + block])) @ self.vectors.T
-            near = np.argpartition(-cosines, self.neighbours - 1, axis=1)[:, : self.neighbours]
-            weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(float) ** 4
-            total = weight.sum(axis=1)
-            out[at : at + block] = np.where(total > 0, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300), self.labels.mean())
+            last = np.partition(cosines, -self.neighbours, axis=1)[:, -self.neighbours]
+            row, near = np.nonzero(cosines >= np.maximum(last, 0)[:, None])
+            weight = cosines[row, near].astype(float) ** 4
+            total, good = (np.bincount(row, x, len(cosines)) for x in (weight, weight * self.labels[near]))
+            out[at : at + block] = np.where(total > 0, good / np.maximum(total, 1e-300), self.labels.mean())
         return out
 
 
-def fit(labelled: DataFrame, rank: int = 48, neighbours: int = 15, seed: int = 7) -> Model | None:
+def fit(labelled: DataFrame, rank: int = 48, neighbours: int = 15, seed: int = 7, whole: float = 0.5) -> Model | None:
     """Latent-semantic model of a bounded sample (y, _text); None if it is empty.
 
+    whole: weight of whole words against endings and shapes.
     Tasks turn the texts into counts of DIMS terms, so what comes to the driver is
     bounded by the sample's rows, however long the texts are.
     """
@@ -95,26 +101,36 @@ def fit(labelled: DataFrame, rank: int = 48, neighbours: int = 15, seed: int = 7
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = counts(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in np.minimum(rows, 65535).astype(np.uint16)], pa.binary())], names=["y", "x"])
+                found = [(np.flatnonzero(row), row) for row in counts(part.column(1).to_pylist())]
+                packed = [on.astype("<u2").tobytes() + row[on].astype("<f4").tobytes() for on, row in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["y", "x"])
 
     got = sorted((r["y"], bytes(r["x"])) for r in labelled.mapInArrow(counted, "y int, x binary").toLocalIterator())
     if not got:
         return None
-    y = np.array([g[0] for g in got])
-    rows = np.stack([np.frombuffer(g[1], np.uint16) for g in got]).astype(np.float32)
-    idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.log1p(rows) * idf
+    y, x = np.array([g[0] for g in got]), np.zeros((len(got), DIMS), np.float32)
+    for row, (_, packed) in zip(x, got, strict=True):
+        n = len(packed) // 6
+        row[np.frombuffer(packed, "<u2", n)] = np.frombuffer(packed, "<f4", n, 2 * n)
+    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    idf[:WHOLE] *= whole
+    np.log1p(x, out=x)
+    x *= idf
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+    terms = directions(x, rank, seed)
+    vectors = x @ terms
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-12
+    return Model(idf, terms, vectors, y.astype(float), min(neighbours, len(y)))
+
+
+def directions(x: np.ndarray, rank: int, seed: int) -> np.ndarray:
+    """The leading right singular vectors of x, each divided by the root of its singular value; by subspace iteration."""
     rng = np.random.default_rng(seed)
-    basis = np.linalg.qr(x.T @ rng.standard_normal((len(x), min(rank + 8, len(x)))).astype(np.float32))[0]
+    basis = np.linalg.qr(x.T @ rng.standard_normal((len(x), min(rank + 8, *x.shape))).astype(np.float32))[0]
     for _ in range(4):
         basis = np.linalg.qr(x.T @ (x @ basis))[0]
     _, sizes, right = np.linalg.svd(x @ basis, full_matrices=False)
-    terms = (basis @ right[:rank].T) / np.sqrt(np.maximum(sizes[:rank], 1e-6))
-    model = Model(idf, terms.astype(np.float32), np.zeros((0, rank), np.float32), y.astype(float), min(neighbours, len(y)))
-    model.vectors = model.embed(rows)
-    return model
+    return ((basis @ right[:rank].T) / np.sqrt(np.maximum(sizes[:rank], 1e-6))).astype(np.float32)
 
 
 def scored(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
