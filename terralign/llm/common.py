@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -77,16 +78,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return spark.createDataFrame([], "node long, root long").unionAll(star).unionAll(roots)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, buckets: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, bucket: Column | None = None, buckets: int = 1024) -> DataFrame:
     """df (a written table) with name: a gapless rank from 0 within keys.
 
     Rows of one key are dealt into buckets, ranked inside each, and shifted by the
     sizes of the buckets before; so no key, however hot, is ranked in one task. Only
-    the sizes (at most distinct keys x buckets rows) are gathered by key.
+    the sizes (at most distinct keys x buckets rows) are gathered by key. bucket: a
+    number that grows with order, for ranks in that order; a hash if none is given.
     """
-    from pyspark.sql import Window as W
-
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)) if bucket is None else bucket)
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sizes = dealt.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = W.partitionBy(*keys, "_b").orderBy(*order)

@@ -99,3 +99,22 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op3: every document with its repeated passages of 50 words or more cut."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return deduped(docs.select("doc_id", "text"))
+
+
+#: The same rows in DuckDB's SQL, on whole lines instead of hashes.
+ORACLE = r"""WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
+m AS (SELECT doc_id, i, trim(line) AS x, len(regexp_extract_all(line, '[^\x09-\x0d ]+')) AS w FROM l),
+s AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS e, sum(w) OVER (PARTITION BY doc_id) AS n, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM m WHERE w > 0),
+k AS (SELECT *, e - w AS c FROM s),
+a AS (SELECT *, list(x) OVER ahead AS on_x, last(i) OVER ahead AS on_last, list(x) OVER behind AS up_x, first(i) OVER behind AS up_first, first(prev) OVER behind AS up_prev FROM k
+WINDOW ahead AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING), behind AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+v AS (SELECT doc_id, 0 AS kind, on_x AS x, prev, i AS f, on_last AS t FROM a WHERE n - c >= 50 UNION ALL SELECT doc_id, 1, up_x, up_prev, up_first, i FROM a WHERE e >= 50),
+later AS (SELECT DISTINCT doc_id, prev, f, t FROM (SELECT *, row_number() OVER (PARTITION BY kind, x ORDER BY doc_id, f) AS r FROM v) WHERE r > 1),
+g AS (SELECT *, max(t) OVER (PARTITION BY doc_id ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM later),
+o AS (SELECT *, sum(CASE WHEN prev <= reached OR f <= reached THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS run FROM g),
+runs AS (SELECT doc_id, min(f) AS f, max(t) AS t FROM o GROUP BY doc_id, run),
+gone AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN runs ON l.doc_id = runs.doc_id AND l.i BETWEEN runs.f AND runs.t),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS text, count(gone.i) AS n FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(ls) END AS INTEGER) AS n_lines, CAST(n AS INTEGER) AS n_removed
+FROM d JOIN kept ON d.doc_id = kept.doc_id"""

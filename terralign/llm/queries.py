@@ -16,6 +16,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": linededup.ORACLE,
+    "op7_sharding": sharding.ORACLE,
     "op8_embeddings": """WITH RECURSIVE u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
 WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.9),

@@ -1,4 +1,7 @@
+import random
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from terralign.llm import queries
@@ -19,5 +22,36 @@ def test_embeddings_match_sql(spark, tmp_path):
     assert got == want and any(r[1] for r in got)
 
 
+def against_sql(spark, name, folder, table):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, str(folder))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM (" + queries.ORACLES[name] + ")").fetchall()
+    order = lambda rows: sorted(rows, key=str)
+    got = [tuple(r) for r in df.collect()]
+    assert order(got) == order(want) and got
+    return got
+
+
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op7_sharding"])
+def test_documents_match_sql(spark, name):
+    against_sql(spark, name, SF, "documents")
+
+
+def test_line_dedup_matches_sql_on_planted_runs(spark, tmp_path):
+    rng = random.Random(1)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 30)))
+    shared = [[line() for _ in range(6)] for _ in range(5)]
+    docs = [(0, None), (1, ""), (2, "\n \n")]
+    for d in range(3, 80):
+        body = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(shared)
+            body += [line(), *part[: rng.randint(1, 6)], rng.choice(["", "  ", line()])]
+        docs.append((d, "\n".join(body)))
+    spark.createDataFrame(docs, "doc_id long, text string").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    assert sum(r[3] > 0 for r in against_sql(spark, "op3_line_dedup", tmp_path, "documents")) > 20
+
+
 def test_ten_operators_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))

@@ -34,6 +34,12 @@ def test_rows_slots_and_growth(spark, tmp_path):
     assert sorted(zip(got.doc_id.fillna(-1).astype(int), got["size"], got.text_crc32)) == want
 
 
+def test_the_type_of_the_key_does_not_matter(spark):
+    rows = spark.range(200).selectExpr("id as l", "cast(id as int) as i", "cast(id as string) as s")
+    by = [{str(r[0]): (r.shard, r.grown_shard) for r in sharding.sharded(rows, k).collect()} for k in ("l", "i", "s")]
+    assert by[0] == by[1] == by[2] and len({x[0] for x in by[0].values()}) == 16
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sharding.query(spark, str(tmp_path)).count() == 0
