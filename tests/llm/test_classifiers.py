@@ -79,3 +79,81 @@ def test_word_memory_is_bounded(monkeypatch):
 def test_remainder(spark):
     df = spark.createDataFrame([(1,), (None,)], "k long").select(labelled.remainder(F.col("k"), 7).alias("r"))
     assert [x.r for x in df.collect()] == [zlib.crc32(b"1") % 7, -1]
+
+
+def test_ftrl_against_a_plain_loop():
+    """Per-coordinate FTRL-proximal as published, one number at a time."""
+    rng = np.random.default_rng(5)
+    model, z, n = toxicity.Ftrl(alpha=0.7, beta=0.9, l1=0.4, l2=0.1), {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= 0.4:
+            return 0.0
+        return -(z[i] - 0.4 * np.sign(z[i])) / ((0.9 + np.sqrt(n[i])) / 0.7 + 0.1)
+
+    for _ in range(200):
+        at = np.unique(rng.integers(0, 40, 6))
+        y = int(at[0] % 3 == 0)
+        p = 1 / (1 + np.exp(-sum(weight(i) for i in at)))
+        before = {i: weight(i) for i in at}
+        for i in at:
+            g = p - y
+            rate = (np.sqrt(n.get(i, 0.0) + g * g) - np.sqrt(n.get(i, 0.0))) / 0.7
+            z[i] = z.get(i, 0.0) + g - rate * before[i]
+            n[i] = n.get(i, 0.0) + g * g
+        model.learn(at, y)
+    assert np.allclose(model.weights(np.arange(40)), [weight(i) for i in range(40)]) and np.count_nonzero(model.weights()) > 10
+
+
+def test_features_against_a_plain_list():
+    """Words, two beginnings, bigrams and two skip-grams: as many features as a plain reading has, equal where it is equal."""
+    text = "The cat, the CAT sat; insulting insults " * 3
+    words = [w.strip(toxicity.AROUND).lower() for w in text.split()]
+    plain = [("w", w) for w in words] + [("4", w[:4]) for w in words] + [("6", w[:6]) for w in words]
+    plain += [(gap, a, b) for gap in (1, 2, 3) for a, b in zip(words, words[gap:], strict=False)]
+    got = np.concatenate(toxicity.features(text)).tolist()
+    assert len(got) == len(plain) and len({*zip(got, plain, strict=True)}) == len(set(plain)) == len(set(got))
+    assert toxicity.features("") == [] == toxicity.features(" \n")
+
+
+def test_directions_against_dense_svd():
+    rng = np.random.default_rng(3)
+    left, right = (np.linalg.qr(rng.standard_normal((k, 8)))[0] for k in (80, 50))
+    x = (left * np.array([40, 30, 20, 12, 8, 5, 3, 2.0]) @ right.T + 0.001 * rng.standard_normal((80, 50))).astype(np.float32)
+    u, sizes, v = np.linalg.svd(x)
+    got = quality.directions(x, 5, 1)
+    for k in range(5):
+        want = v[k] / np.sqrt(sizes[k])
+        assert min(np.abs(got[:, k] - want).max(), np.abs(got[:, k] + want).max()) < 1e-3
+
+
+def test_votes_against_brute_force():
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((40, 6)).astype(np.float32)
+    vectors[10:20] = vectors[10]  # ties
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = (np.arange(40) % 2).astype(float)
+    model = quality.Model(np.ones(quality.DIMS, np.float32), rng.standard_normal((quality.DIMS, 6)).astype(np.float32), vectors, labels, 7)
+    texts = [" ".join(f"t{k}" for k in rng.integers(0, 90, 12)) for _ in range(30)] + [""]
+    for text, score in zip(texts, model.score(texts, block=4), strict=True):
+        cosines = (model.embed(quality.counts([text])) @ vectors.T)[0]
+        last = sorted(cosines)[-7]
+        votes = [(float(c) ** 4, y) for c, y in zip(cosines, labels, strict=True) if c >= last and c > 0]
+        want = sum(w * y for w, y in votes) / sum(w for w, _ in votes) if sum(w for w, _ in votes) > 0 else labels.mean()
+        assert abs(score - want) < 1e-6
+
+
+def test_the_sample_is_bounded_whatever_is_repeated(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 500 + [(1, "a c"), (2, "d"), (3, None)], "doc_id long, text string").selectExpr("*", "0 as y", "'k' as _key")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 1)] * 3, "doc_id long, quality int")
+    got = labelled.sample(docs, labels, "doc_id", "text", "quality", F.lit(True), {0: 5, 1: 5}).collect()
+    assert sorted((r.y, r._text) for r in got) == [(0, "d"), (1, ""), (1, "a b")]
+
+
+def test_very_long_text(spark):
+    docs, labels = made(80)
+    text = " ".join(f"word{k % 50_000}" for k in range(200_000)) + " zidiot"
+    df = spark.createDataFrame([(d, t) for d, t, _ in docs] + [(900, text), (901, "x" * 1_000_000)], "doc_id long, text string")
+    ids = spark.createDataFrame([*labels, (900, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.scored(df, quality.trained(df, ids, F.lit(True))).count() == len(docs) + 2
+    assert toxicity.scored(df, toxicity.trained(df, ids, F.lit(True))).count() == len(docs) + 2
