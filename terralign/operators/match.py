@@ -21,10 +21,11 @@ def penalized_score(weight: float, radius: int) -> Score:
     return lambda cosine, distance: cosine - F.lit(weight) * distance / F.lit(float(radius))
 
 
-def candidates(points: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
+def candidates(points: DataFrame, pixels: DataFrame, radius: int, own: bool = True) -> DataFrame:
     """Pairs of a point (id, scene, row, col, v) and a pixel (scene, row, col, v) of its window, v normalized: id, row, col, cosine, distance.
 
-    The window is the square of radius pixels each way, cut at the grid. Both sides
+    The window is the square of radius pixels each way, cut at the grid; without own,
+    the point's own pixel is left out. Both sides
     meet in tiles of the window's size, so a point is sent to at most four tiles
     instead of to each of its (2 radius + 1)^2 pixels, and vectors move as rarely.
     """
@@ -34,13 +35,15 @@ def candidates(points: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
     p = p.withColumn("ptr", F.explode(F.sequence(tile("pr", -radius), tile("pr", radius)))).withColumn("ptc", F.explode(F.sequence(tile("pc", -radius), tile("pc", radius))))
     q = pixels.select("scene", "row", "col", "v").withColumn("tr", tile("row", 0)).withColumn("tc", tile("col", 0))
     inside = (F.abs(p["pr"] - q["row"]) <= radius) & (F.abs(p["pc"] - q["col"]) <= radius)
+    if not own:
+        inside = inside & ((p["pr"] != q["row"]) | (p["pc"] != q["col"]))
     met = p.join(q, (p["ps"] == q["scene"]) & (p["ptr"] == q["tr"]) & (p["ptc"] == q["tc"]) & inside)
     cosine = F.aggregate(F.zip_with("pv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     distance = F.sqrt(((F.col("row") - F.col("pr")) ** 2 + (F.col("col") - F.col("pc")) ** 2).cast("double"))
     return met.select("id", "row", "col", cosine.alias("cosine"), distance.alias("distance"))
 
 
-def window_match(points: DataFrame, pixels: DataFrame, radius: int, scores: dict[str, Score]) -> DataFrame:
+def window_match(points: DataFrame, pixels: DataFrame, radius: int, scores: dict[str, Score], own: bool = True) -> DataFrame:
     """For each point and each named score the best pixel: id, and a struct (row, col, cosine, displacement, score) of that name.
 
     Of equal scores the first in row-major order wins; scores that aren't finite
@@ -48,7 +51,7 @@ def window_match(points: DataFrame, pixels: DataFrame, radius: int, scores: dict
     candidates, and a maximum of structs keeps one row per point and task, so the
     shuffle after the join carries no candidate lists.
     """
-    made = candidates(points, pixels, radius)
+    made = candidates(points, pixels, radius, own)
     best = []
     for name, score in scores.items():
         s = score(F.col("cosine"), F.col("distance"))
@@ -59,9 +62,9 @@ def window_match(points: DataFrame, pixels: DataFrame, radius: int, scores: dict
     return told.select("id", *shown)
 
 
-def match_margin(points: DataFrame, pixels: DataFrame, radius: int, score: Score = cosine_score) -> DataFrame:
+def match_margin(points: DataFrame, pixels: DataFrame, radius: int, score: Score = cosine_score, own: bool = True) -> DataFrame:
     """Best and second score and their margin, null with fewer than two candidates. The window bounds the list that is sorted."""
-    made = candidates(points, pixels, radius).withColumn("s", score(F.col("cosine"), F.col("distance"))).where(is_finite(F.col("s")))
+    made = candidates(points, pixels, radius, own).withColumn("s", score(F.col("cosine"), F.col("distance"))).where(is_finite(F.col("s")))
     two = made.groupBy("id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("s"))), 1, 2).alias("t"))
     told = points.select("id").join(two, "id", "left")
     return told.select("id", F.get("t", F.lit(0)).alias("top1"), F.get("t", F.lit(1)).alias("top2"), (F.get("t", F.lit(0)) - F.get("t", F.lit(1))).alias("margin"))

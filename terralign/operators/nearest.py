@@ -10,18 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terralign.operators.lineage import cut
+
 
 def bounding_box(points: DataFrame) -> DataFrame:
     return points.agg(*(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))))
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, per_cell: int | None = None) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, per_cell: int | None = None, last: bool = False) -> DataFrame:
     """The k nearest of points (id, x, y, z) to each of queries (id, ...), itself aside: id, rank from 1, nbr, d2, dx, dy, dz.
 
-    Ordered by (d2, nbr). The query is left out by its id, so duplicates stay. Points
-    lie in cubic cells; a query looks at all cells within r of its own and is done
-    when its k-th distance is no more than r cells, else it looks again with r
-    doubled. Each round is one equi-join on the cell, and keeps k rows a query.
+    Ordered by (d2, nbr), or with last by d2 and nbr from the largest. The query is
+    left out by its id, so duplicates stay. Points lie in cubic cells; a query looks
+    at its own cell and the 26 around it, and is done when its k-th distance is no
+    more than a cell's side, else it looks again among cells twice as wide. So a far
+    outlier makes 27 rows a round and not all cells on its way. Each round is one
+    equi-join on the cell, and keeps k rows a query.
     """
     box = bounding_box(points.where("x is not null and y is not null and z is not null")).first()
     n = points.count()
@@ -29,31 +33,34 @@ def knn(queries: DataFrame, points: DataFrame, k: int, per_cell: int | None = No
     spark = points.sparkSession
     if not n or box["min_x"] is None:
         return spark.createDataFrame([], schema)
+    span = queries.agg(*(f(c).alias(f"{m}_{c}") for c in "xyz" for m, f in (("min", F.min), ("max", F.max)))).first()
     spans = [max(box[f"max_{c}"] - box[f"min_{c}"], 1e-9) for c in "xyz"]
+    reach = max(max(box[f"max_{c}"], span[f"max_{c}"] or 0) - min(box[f"min_{c}"], span[f"min_{c}"] or 0) for c in "xyz")
     used = [s for s in spans if s > 1e-6 * max(spans)]
     side = max((math.prod(used) * (per_cell or k) / n) ** (1 / len(used)), 1e-9)
-    far = max(math.ceil(s / side) for s in spans) + 1
-    cell = lambda c: F.floor((F.col(c) - box[f"min_{c}"]) / side).cast("long")
-    held = points.select(F.col("id").alias("nbr"), *(F.col(c).alias(f"p{c}") for c in "xyz"), *(cell(c).alias(f"c{c}") for c in "xyz"))
-    left = queries.select("id", "x", "y", "z")
-    done, r = [], 1
+    order = ["d2", F.desc("nbr") if last else F.asc("nbr")]
+    left, done = queries.select("id", "x", "y", "z"), []
     while True:
+        whole = side > reach
+        cell = lambda c, d=0, w=side: (F.floor((F.col(c) - box[f"min_{c}"]) / w) + d).cast("long")
+        held = points.select(F.col("id").alias("nbr"), *(F.col(c).alias(f"p{c}") for c in "xyz"), *(cell(c).alias(f"c{c}") for c in "xyz"))
         around = left
         for c in "xyz":
-            around = around.withColumn(f"c{c}", F.explode(F.sequence(F.greatest(cell(c) - r, F.lit(0).cast("long")), F.least(cell(c) + r, F.lit(far).cast("long")))))
+            around = around.withColumn(f"c{c}", F.explode(F.sequence(cell(c, -1), cell(c, 1))))
         met = around.join(held, ["cx", "cy", "cz"]).where("id <> nbr").select("id", "nbr", *((F.col(f"p{c}") - F.col(c)).alias(f"d{c}") for c in "xyz"))
         met = met.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
-        ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d2", "nbr"))).where(F.col("rank") <= k)
-        if r >= far:
+        ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("rank") <= k)
+        if whole:
             done.append(ranked)
             break
-        ranked = ranked.withColumn("_n", F.count("*").over(W.partitionBy("id"))).withColumn("_d", F.max("d2").over(W.partitionBy("id")))
-        sure = ranked.where((F.col("_n") == k) & (F.sqrt("_d") <= r * side)).drop("_n", "_d").persist()
+        of = W.partitionBy("id")
+        ranked = ranked.withColumn("_n", F.count("*").over(of)).withColumn("_d", F.max("d2").over(of))
+        sure = cut(ranked.where((F.col("_n") == k) & (F.sqrt("_d") <= side)).drop("_n", "_d"))
         done.append(sure)
-        left = left.join(sure.select("id").distinct(), "id", "left_anti").persist()
+        left = cut(left.join(sure.select("id").distinct(), "id", "left_anti"))
         if left.isEmpty():
             break
-        r *= 2
+        side *= 2
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -73,11 +80,30 @@ def neighbour_offsets(queries: DataFrame, points: DataFrame, k: int) -> DataFram
     return told.select("id", F.transform(F.sequence(F.lit(1), F.lit(k)), at).alias("offsets"))
 
 
-def tie_census(neighbours: DataFrame, k: int) -> DataFrame:
-    """From knn() with k + 1 neighbours: queries, those with equal distances among the first k, and those with one at the cut."""
+def tie_census(neighbours: DataFrame, k: int, other: DataFrame | None = None) -> DataFrame:
+    """From knn() with k + 1 neighbours: how many queries there are, and how many have ties.
+
+    n_inside: equal distances among the query itself and its first k; n_at_last: the
+    last two of them; n_at_cut: the k-th and the one after. Against other (from
+    knn() too): n_set_changed and n_order_changed, queries of which the first k are
+    others, or stand in another order.
+    """
     w = W.partitionBy("id").orderBy("rank")
-    flags = neighbours.withColumn("t", F.lead("d2").over(w) == F.col("d2")).groupBy("id").agg(F.coalesce(F.bool_or(F.when(F.col("rank") < k, F.col("t"))), F.lit(False)).alias("inside"), F.coalesce(F.bool_or(F.when(F.col("rank") == k, F.col("t"))), F.lit(False)).alias("cut"))
-    return flags.agg(F.count("*").alias("n_queries"), F.count_if("inside").alias("n_inside"), F.count_if("cut").alias("n_at_cut"))
+    same = neighbours.withColumn("t", F.lead("d2").over(w) == F.col("d2"))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    rank, tie = F.col("rank"), F.col("t")
+    flags = same.groupBy("id").agg(
+        any_(F.coalesce(F.when(rank < k, tie), F.lit(False)) | ((rank == 1) & (F.col("d2") == 0))).alias("inside"),
+        any_(F.when(rank == k - 1, tie)).alias("last"), any_(F.when(rank == k, tie)).alias("cut"),
+        F.array_sort(F.collect_list(F.when(rank <= k, F.struct("rank", "nbr")))).alias("a"),
+    )
+    counts = [F.count("*").alias("n_queries"), *(F.count_if(c).alias(n) for c, n in (("inside", "n_inside"), ("last", "n_at_last"), ("cut", "n_at_cut")))]
+    if other is None:
+        return flags.agg(*counts)
+    listed = other.where(rank <= k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr"))).alias("b"))
+    both = flags.join(listed, "id", "left").select("*", F.col("a.nbr").alias("x"), F.col("b.nbr").alias("y"))
+    changed = lambda f: F.count_if(~f(F.col("x")).eqNullSafe(f(F.col("y"))))
+    return both.agg(*counts, changed(F.array_sort).alias("n_set_changed"), changed(lambda c: c).alias("n_order_changed"))
 
 
 def all_pairs_top(queries: DataFrame, base: DataFrame, k: int, block: int = 2048, metric: str = "dot") -> DataFrame:

@@ -10,7 +10,7 @@ LONG = """, long AS (SELECT id, "row", col, b AS band, v[b + 1] AS x FROM px, ra
 stats AS (SELECT band, avg(x) AS mean, stddev_pop(x) AS std FROM long GROUP BY band)"""
 POINTS = """pts AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y, CAST(p_partkey % 97 AS DOUBLE) AS z FROM part),
 loc AS (SELECT *, CAST(floor((y - 8.5) * 2.5 / (2.5 * 0.075)) AS INT) AS "row", CAST(floor(x * 0.075 / (2.5 * 0.075)) AS INT) AS col FROM pts)"""
-QUERYPTS = """, q AS (SELECT * FROM pts ORDER BY md5('20260617:' || id), id LIMIT 300),
+QUERYPTS = """, q AS (SELECT * FROM pts WHERE id % 20 = 0),
 d AS (SELECT q.id, p.id AS nbr, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz FROM q JOIN pts p ON p.id <> q.id),
 k AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2, row_number() OVER (PARTITION BY id ORDER BY dx * dx + dy * dy + dz * dz, nbr) AS rank FROM d)"""
 TELE = """s AS (SELECT event_id AS id, epoch_us(ts) / 1e6 AS s, value AS power, CAST(user_id AS DOUBLE) AS util, event_type AS kind, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS day FROM events),
@@ -21,11 +21,11 @@ TOTALS = TIMES + ", tot AS (SELECT stage, rep, sum(ms) AS t FROM t GROUP BY stag
 
 def _match(pixels: str, radius: int) -> str:
     return f""", c AS (SELECT p.id, q."row", q.col, list_dot_product(p.w, q.w) AS cosine, sqrt(CAST((q."row" - p."row") ** 2 + (q.col - p.col) ** 2 AS DOUBLE)) AS dist
-FROM u p JOIN u q ON abs(p."row" - q."row") <= {radius} AND abs(p.col - q.col) <= {radius} WHERE p.id % 2 = 1 AND q.id % 2 = 0 AND {pixels}),
+FROM u p JOIN u q ON abs(p."row" - q."row") <= {radius} AND abs(p.col - q.col) <= {radius} WHERE p.id <> q.id AND {pixels}),
 s AS (SELECT *, cosine - 0.2 * dist / 5 AS spatial FROM c),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, "row", col) AS n FROM s) WHERE n = 1),
 best2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY spatial DESC, "row", col) AS n FROM s) WHERE n = 1),
-odd AS (SELECT id FROM px WHERE id % 2 = 1)"""
+odd AS (SELECT id FROM px)"""
 
 
 VALID = "q.id IN (SELECT id FROM valid)"
@@ -76,10 +76,13 @@ SELECT count(*) AS n, count(*) FILTER (near) AS n_near, CAST(coalesce(bool_and(n
     "knn_canonical": f"WITH {POINTS}{QUERYPTS} SELECT id, CAST(rank AS INT) AS rank, nbr, {z('d2')} AS d2 FROM k WHERE rank <= 15",
     "knn_offsets": f"WITH {POINTS}{QUERYPTS} SELECT id, CAST(rank - 1 AS INT) AS k, {z('dx')} AS dx, {z('dy')} AS dy, {z('dz')} AS dz FROM k WHERE rank <= 15",
     "knn_ties": f"""WITH {POINTS}{QUERYPTS}, n AS (SELECT id, rank, d2, lead(d2) OVER (PARTITION BY id ORDER BY rank) AS e FROM k WHERE rank <= 16),
-f AS (SELECT id, coalesce(bool_or(d2 = e) FILTER (rank < 15), false) AS a, coalesce(bool_or(d2 = e) FILTER (rank = 15), false) AS b FROM n GROUP BY id)
-SELECT count(*) AS n_queries, count(*) FILTER (a) AS n_inside, count(*) FILTER (b) AS n_at_cut FROM f""",
+f AS (SELECT id, coalesce(bool_or(d2 = e) FILTER (rank < 15), false) OR coalesce(bool_or(d2 = 0) FILTER (rank = 1), false) AS a, coalesce(bool_or(d2 = e) FILTER (rank = 14), false) AS l, coalesce(bool_or(d2 = e) FILTER (rank = 15), false) AS b FROM n GROUP BY id),
+o AS (SELECT id, nbr, d2, row_number() OVER (PARTITION BY id ORDER BY d2, nbr DESC) AS rank FROM k),
+x AS (SELECT id, list(nbr ORDER BY rank) AS l, list(nbr ORDER BY nbr) AS s FROM k WHERE rank <= 15 GROUP BY id),
+y AS (SELECT id, list(nbr ORDER BY rank) AS l, list(nbr ORDER BY nbr) AS s FROM o WHERE rank <= 15 GROUP BY id)
+SELECT count(*) AS n_queries, count(*) FILTER (a) AS n_inside, count(*) FILTER (f.l) AS n_at_last, count(*) FILTER (b) AS n_at_cut, count(*) FILTER (x.s <> y.s) AS n_set_changed, count(*) FILTER (x.l <> y.l) AS n_order_changed FROM f JOIN x USING (id) JOIN y USING (id)""",
     "bbox": f"WITH {POINTS} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM pts",
-    "nearest_linf": f"""WITH {PX}, l AS (SELECT p.id, q.id AS other, list_max(list_transform(range(1, 65), lambda i: abs(p.v[i] - q.v[i]))) AS d FROM px p JOIN px q ON p.id % 2 = 1 AND q.id % 2 = 0)
+    "nearest_linf": f"""WITH {PX}, l AS (SELECT p.id, q.id AS other, list_max(list_transform(range(1, 65), lambda i: abs(p.v[i] - q.v[i]))) AS d FROM px p JOIN px q ON p.id % 20 = 0 AND p.id <> q.id)
 SELECT id, other, {z('d')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS n FROM l) WHERE n = 1""",
     "accuracy_report": f"""WITH {PX}, t AS (SELECT v, list_transform(v, lambda x: round(x, 2)) AS w FROM px),
 e AS (SELECT list_dot_product(v, w) / ((sqrt(list_dot_product(v, v)) + 1e-12) * (sqrt(list_dot_product(w, w)) + 1e-12)) AS c, list_transform(range(1, 65), lambda i: abs(v[i] - w[i])) AS d, list_dot_product(v, v) AS r2 FROM t)
