@@ -4,17 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; without it there is nowhere safe to write."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder
+from terralign.operators.lineage import checkpoint_folder
+from terralign.operators.lineage import cut as checkpointed
 
 
 def spare(df: DataFrame, name: str) -> str:
@@ -31,7 +26,7 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     rows: at most so many rows to an Arrow batch, for Python work on wide rows.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/terralign/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/terralign/{uuid.uuid4().hex}"
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     if rows:
@@ -43,12 +38,6 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, cleaned up by Spark once it is no longer referenced."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node, root), root the smallest node.
 
