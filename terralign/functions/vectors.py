@@ -45,3 +45,15 @@ def same_members(a: Column, b: Column) -> Column:
 
 def is_finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
+def l2_normalized_above(v: Column, least: float = 1e-12) -> Column:
+    """v divided by its norm, or by least where the norm is smaller; unlike l2_normalized nothing is added to the norm."""
+    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(least))
+    return F.transform(v, lambda x: x / norm)
+
+
+def within(a: Column, b: Column, tolerance: float) -> Column:
+    """Whether two vectors have the same length and differ by no more than tolerance anywhere; false where either is null or holds NaN."""
+    gap = max_abs_difference(a, b)
+    return F.coalesce((F.size(a) == F.size(b)) & ~F.isnan(gap) & (gap <= tolerance), F.lit(False))

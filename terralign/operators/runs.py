@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terralign.operators.quantiles import quantiles
+
 
 def latency_stats(timings: DataFrame, by: Sequence[str], ms: str = "ms", batch: int = 1) -> DataFrame:
     """Mean, exact p50, p95 and p99 (linear between ranks), and items a second, by group."""
-    told = timings.groupBy(*by).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean"), F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
-    return told.select(*by, "n", "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), F.when(F.col("mean") > 0, batch * 1000 / F.col("mean")).alias("per_second"))
+    told = quantiles(timings, by, ms, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, {"n": F.count(ms), "mean": F.avg(ms)})
+    return told.withColumn("per_second", F.when(F.col("mean") > 0, batch * 1000 / F.col("mean")))
 
 
 def stage_medians(timings: DataFrame, by: Sequence[str], stage: str = "stage", ms: str = "ms") -> DataFrame:
-    return timings.groupBy(*by, stage).agg(F.median(ms).alias("median"), F.min(ms).alias("least"))
+    return quantiles(timings, [*by, stage], ms, {"median": 0.5}, {"least": F.min(ms)}).select(*by, stage, "median", "least")
 
 
 def sum_of_medians(timings: DataFrame, by: Sequence[str], io_stages: Sequence[str], stage: str = "stage", ms: str = "ms") -> DataFrame:
@@ -30,15 +32,15 @@ def median_of_sums(timings: DataFrame, by: Sequence[str], run: str = "rep", ms:
     return totals.groupBy(*by).agg(F.median("_t").alias("median"), F.count("*").alias("n_runs"))
 
 
-def sampled_in(samples: DataFrame, phases: DataFrame, before: float, after: float, slot: float = 3600.0) -> DataFrame:
+def sampled_in(samples: DataFrame, phases: DataFrame, before: float, after: float, slot: float = 3600.0, closed: bool = True) -> DataFrame:
     """Samples (s seconds, ...) joined to the phases (name, start, stop seconds) with start + before <= s <= stop - after.
 
-    Negative margins widen the phase. A phase is sent to every slot of time that it
+    Negative margins widen the phase; if it isn't closed, its end is not in it. A phase is sent to every slot of time that it
     touches and a sample to one, so this is an equi-join and not a comparison of all.
     """
     bounds = phases.withColumn("_lo", F.col("start") + before).withColumn("_hi", F.col("stop") - after).where("_lo <= _hi")
     spread = bounds.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_lo") / slot), F.floor(F.col("_hi") / slot))))
-    return samples.withColumn("_slot", F.floor(F.col("s") / slot)).join(spread, "_slot").where("s >= _lo and s <= _hi").drop("_slot", "_lo", "_hi")
+    return samples.withColumn("_slot", F.floor(F.col("s") / slot)).join(spread, "_slot").where("s >= _lo and s <= _hi" if closed else "s >= _lo and s < _hi").drop("_slot", "_lo", "_hi")
 
 
 def energy(samples: DataFrame, phases: DataFrame, idle: str = "idle", trim: float = 1.0) -> DataFrame:
@@ -105,8 +107,7 @@ def pairwise(rows: DataFrame, by: Sequence[str], key: str, value: str) -> DataFr
 
 def overhead(wall: DataFrame, device: DataFrame, by: Sequence[str], least_share: float = 0.1) -> DataFrame:
     """Median wall time less median device time by group, its share, and whether that share is worth work."""
-    a = wall.groupBy(*by).agg(F.median("ms").alias("wall"))
-    b = device.groupBy(*by).agg(F.median("ms").alias("device"))
+    a, b = quantiles(wall, by, "ms", {"wall": 0.5}), quantiles(device, by, "ms", {"device": 0.5})
     both = a.join(b, list(by)).withColumn("overhead", F.col("wall") - F.col("device"))
     share = F.when(F.col("wall") > 0, F.col("overhead") / F.col("wall"))
     return both.withColumn("share", share).withColumn("recommended", F.coalesce(share > least_share, F.lit(False)))
@@ -123,3 +124,37 @@ def unified_layout(rows: DataFrame, variants: Sequence[str]) -> DataFrame:
     """Results kept as lists by ordinal (key, vals) turned into rows by variant name (key, variant, value)."""
     names = rows.sparkSession.createDataFrame(list(enumerate(variants)), "pos int, variant string")
     return rows.select("key", F.posexplode("vals").alias("pos", "value")).join(F.broadcast(names), "pos").select("key", "variant", "value")
+
+
+def idle_power(samples: DataFrame, starts: DataFrame, seconds: float = 5.0) -> DataFrame:
+    """Mean power and number of samples in [start, start + seconds) of each of starts (name, start)."""
+    met = sampled_in(samples, starts.select("name", "start", (F.col("start") + seconds).alias("stop")), 0.0, 0.0, closed=False)
+    return met.groupBy("name", "start").agg(F.count("*").alias("n"), F.avg("power").alias("mean_power"))
+
+
+def all_rounds_agree(rounds: DataFrame, by: Sequence[str], within: Sequence[str], value: str, most: float) -> DataFrame:
+    """rounds_agree() of every (by, within), summed up by group: how many, how many agree, and whether all do."""
+    each = rounds_agree(rounds, [*by, *within], value, most)
+    return each.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("agrees").alias("n_agree"), F.bool_and("agrees").alias("all_agree"))
+
+
+def ratio_to_config(rounds: DataFrame, by: Sequence[str], config: str, base: str, value: str) -> DataFrame:
+    """Each configuration's mean over the rounds' means (column round), and base's divided by it, by group."""
+    per_round = rounds.groupBy(*by, config, "round").agg(F.avg(value).alias("_v"))
+    means = per_round.groupBy(*by, config).agg(F.avg("_v").alias("mean"))
+    ref = means.where(F.col(config) == base).select(*by, F.col("mean").alias("_base"))
+    joined = means.join(ref, list(by), "left") if by else means.crossJoin(F.broadcast(ref))  # one row
+    return joined.withColumn("ratio", F.try_divide("_base", "mean")).drop("_base")
+
+
+def overhead_against(wall: DataFrame, benchmark: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Wall time an item (by, ms, n_items: median of ms / n_items, in microseconds) against the benchmark's row (by, us): overhead and ratio; null without a row."""
+    each = wall.withColumn("_us", 1000 * F.col("ms") / F.col("n_items"))
+    told = quantiles(each, by, "_us", {"wall_us": 0.5})
+    return told.join(benchmark, list(by), "left").withColumn("overhead_us", F.col("wall_us") - F.col("us")).withColumn("ratio", F.try_divide("wall_us", "us"))
+
+
+def cold_start(rows: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
+    """Median, least, most and number of start-up times by group, and all of them in order (a few a configuration)."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
+    return quantiles(rows, by, value, {"median": 0.5}, {"least": F.min(value), "most": F.max(value), "n": F.count("*"), "all": listed})

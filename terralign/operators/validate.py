@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralign.functions.vectors import cosine, dot, max_abs_difference, sum_abs_difference
+from terralign.functions.vectors import cosine, dot, is_finite, max_abs_difference, sum_abs_difference
 from terralign.operators.nearest import all_pairs_top
+from terralign.operators.quantiles import quantiles
 
 
 def accuracy_report(ref: DataFrame, test: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def rank_agreement(ref: DataFrame, test: DataFrame, k: int) -> DataFrame:
 def margins(ref: DataFrame) -> DataFrame:
     """Best less second-best similarity to the other rows: mean, median, tenth percentile, least."""
     two = all_pairs_top(ref, ref, 2).groupBy("id").agg((F.max("score") - F.min("score")).alias("m"), F.count("*").alias("n")).where("n = 2")
-    return two.agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.median("m").alias("median"), F.percentile("m", F.lit(0.1)).alias("p10"), F.min("m").alias("least"))
+    return quantiles(two, [], "m", {"median": 0.5, "p10": 0.1}, {"n": F.count("*"), "mean": F.avg("m"), "least": F.min("m")}).select("n", "mean", "median", "p10", "least")
 
 
 def equality(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -62,3 +63,35 @@ def guarded_ratio(rows: DataFrame, a: str, b: str, boundary_a: str, boundary_b:
     """rows with ratio a / b, an error where the two were not measured between the same declared points."""
     same = F.col(boundary_a).isNotNull() & (F.col(boundary_a) == F.col(boundary_b))
     return rows.withColumn("ratio", F.when(same, F.try_divide(F.col(a), F.col(b))).otherwise(F.raise_error(F.lit("undeclared timing boundary")).cast("double")))
+
+
+def rank_agreements(ref: DataFrame, test: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """For each k of ks, as top_k: the share of rows whose nearest other row in ref is among the k nearest in test."""
+    first = all_pairs_top(ref, ref, 1).select("id", F.col("other").alias("want"))
+    near = all_pairs_top(test, test, max(ks)).select("id", F.col("other").alias("want"), "rank")
+    hit = first.join(near, ["id", "want"], "left")
+    return hit.agg(*(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")).alias(f"top_{k}") for k in ks))
+
+
+def full_accuracy_report(ref: DataFrame, test: DataFrame, ks: Sequence[int] = (1, 5)) -> DataFrame:
+    """accuracy_report() and rank_agreements() of two runs of normalized vectors in one row."""
+    return accuracy_report(ref, test).crossJoin(F.broadcast(rank_agreements(ref, test, ks)))  # a row each
+
+
+def pairwise_max_abs(builds: DataFrame) -> DataFrame:
+    """For each two builds of builds (build, id, v), the first the smaller: rows in both, and the largest difference of a component."""
+    a, b = builds.select(F.col("build").alias("a"), "id", "v"), builds.select(F.col("build").alias("b"), "id", F.col("v").alias("w"))
+    both = a.join(b, "id").where("a < b")
+    return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(max_abs_difference(F.col("v"), F.col("w"))).alias("max_abs"))
+
+
+def unknown_names(requested: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
+    """The distinct requested names that aren't known; a null name is unknown."""
+    asked = requested.select(name).distinct()
+    return asked.join(known.select(F.col(name).alias("_known")).distinct(), F.col(name) == F.col("_known"), "left_anti")
+
+
+def finite_summary(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Count, mean and exact median of the finite values of a column by group; nulls, NaN and infinities are left out."""
+    ok = F.when(is_finite(F.col(value)), F.col(value))
+    return quantiles(rows.withColumn(value, ok), by, value, {"median": 0.5}, {"n": F.count(value), "mean": F.avg(value)})

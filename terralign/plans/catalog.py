@@ -192,7 +192,8 @@ def match_agreement(spark, sf_dir) -> DataFrame:
     found = match.window_match(points, pixels, D.RADIUS, BOTH, own=False)
     same = (F.col("plain.row") == F.col("spatial.row")) & (F.col("plain.col") == F.col("spatial.col"))
     gap = F.col("plain.displacement") - F.col("spatial.displacement")
-    return found.agg(F.count("*").alias("n"), r(F.avg(same.cast("int"))).alias("agreement"), r(F.avg(gap)).alias("mean_gap"), r(F.median(gap)).alias("median_gap"))
+    t = validate.finite_summary(found.select(gap.alias("gap"), same.cast("int").alias("same")), [], "gap")
+    return found.agg(F.count("*").alias("n"), r(F.avg(same.cast("int"))).alias("agreement")).crossJoin(t.select(r("mean").alias("mean_gap"), r("median").alias("median_gap")))  # a row each
 
 
 @query
@@ -202,7 +203,7 @@ def spectrum_error(spark, sf_dir) -> DataFrame:
     own = found.join(px.select("id", F.col("spectrum").alias("truth")), "id")
     error = V.max_abs_difference(F.col("truth"), F.col("spectrum"))
     each = own.join(px.select("row", "col", "spectrum"), ["row", "col"]).select(error.alias("e"))
-    return each.agg(F.count("*").alias("n"), r(F.avg("e")).alias("mean"), r(F.median("e")).alias("median"))
+    return validate.finite_summary(each, [], "e").select("n", r("mean").alias("mean"), r("median").alias("median"))
 
 
 @query
@@ -394,8 +395,8 @@ def temperature_max(spark, sf_dir) -> DataFrame:
 
 @query
 def cold_start(spark, sf_dir) -> DataFrame:
-    t = D.timings(spark, sf_dir).groupBy("stage", "rep").agg(F.sum("ms").alias("t"))
-    return t.groupBy("stage").agg(r(F.median("t")).alias("median"), r(F.min("t")).alias("least"), r(F.max("t")).alias("most"), F.count("*").alias("n"))
+    t = runs.cold_start(_totals(spark, sf_dir), ["stage"], "rep", "t")
+    return t.select("stage", r("median").alias("median"), r("least").alias("least"), r("most").alias("most"), "n", r(F.col("all")[0]).alias("first"), r(F.element_at("all", -1)).alias("last"))
 
 
 @query
@@ -464,3 +465,82 @@ def deterministic_runs(spark, sf_dir) -> DataFrame:
     """Whether every repetition of a stage took part and took the same number of calls."""
     t = D.timings(spark, sf_dir).groupBy("stage", "rep").agg(F.count("*").alias("n"))
     return t.groupBy("stage").agg(F.countDistinct("n").alias("n_counts"), F.bool_and(F.col("n") > 100).cast("int").alias("all_busy"), (F.countDistinct("n") == 1).cast("int").alias("same"))
+
+
+# Reports in full
+
+
+@query
+def accuracy_report_full(spark, sf_dir) -> DataFrame:
+    ref, test = (d.select("id", V.l2_normalized(F.col("v")).alias("v")) for d in _two_runs(spark, sf_dir))
+    t = validate.full_accuracy_report(ref, test)
+    return t.select("n", *(r(c).alias(c) for c in t.columns[1:]))
+
+
+@query
+def build_max_abs(spark, sf_dir) -> DataFrame:
+    px = D.raster(spark, sf_dir)
+    builds = [px.select(F.lit(d).alias("build"), "id", F.transform("spectrum", _rounder(d)).alias("v")) for d in (1, 2, 3)]
+    return validate.pairwise_max_abs(builds[0].unionAll(builds[1]).unionAll(builds[2])).select("a", "b", "n", r("max_abs").alias("max_abs"))
+
+
+@query
+def unknown_names(spark, sf_dir) -> DataFrame:
+    asked = D.table(spark, sf_dir, "events").select(F.concat_ws("_", "event_type", (F.col("user_id") % 7).cast("string")).alias("name"))
+    known = asked.where("name not like '%_3' and name not like 'view%'")
+    return validate.unknown_names(asked, known)
+
+
+@query
+def patch_verdict(spark, sf_dir) -> DataFrame:
+    px = D.raster(spark, sf_dir)
+    expected = F.when(F.col("id") % 11 == 0, F.slice("spectrum", 1, 5)).otherwise(F.transform("spectrum", lambda x: F.round(x, 4)))
+    return px.select("id", V.within(F.col("spectrum"), expected, 4e-5).cast("int").alias("passed"))
+
+
+@query
+def l2_above(spark, sf_dir) -> DataFrame:
+    v = V.l2_normalized_above(F.transform("spectrum", lambda x: x * F.when(F.col("id") % 3 == 0, 0.0).otherwise(1.0)), 0.5)
+    return D.raster(spark, sf_dir).select("id", r(F.get(v, F.lit(0))).alias("v0"), r(V.total(v)).alias("v_sum"))
+
+
+@query
+def nearest_norm(spark, sf_dir) -> DataFrame:
+    """Nearest other row by difference of norms, as a search on one axis."""
+    norm = F.round(F.sqrt(V.dot(F.col("spectrum"), F.col("spectrum"))), 6)
+    px = D.raster(spark, sf_dir).select("id", norm.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return nearest.knn(_queries(px), px, 1).select("id", "nbr", r(F.abs("dx")).alias("gap"))
+
+
+@query
+def idle_window(spark, sf_dir) -> DataFrame:
+    s = D.telemetry(spark, sf_dir)
+    starts = s.select(F.lit("idle").alias("name"), F.col("s").alias("start")).where("id % 10 = 0" if "id" in s.columns else "true").distinct()
+    t = runs.idle_power(s, starts, 3600.0)
+    return t.select(r("start").alias("start"), "n", r("mean_power").alias("mean_power"))
+
+
+@query
+def rounds_all_agree(spark, sf_dir) -> DataFrame:
+    t = runs.all_rounds_agree(D.timings(spark, sf_dir), ["stage"], ["rep"], "ms", 0.1)
+    return t.select("stage", "n", "n_agree", F.col("all_agree").cast("int").alias("all_agree"))
+
+
+@query
+def config_ratio(spark, sf_dir) -> DataFrame:
+    t = runs.ratio_to_config(D.timings(spark, sf_dir).withColumn("rep", F.col("rep").cast("string")), ["stage"], "rep", "0", "ms")
+    return t.select("stage", "rep", r("mean").alias("mean"), r("ratio").alias("ratio"))
+
+
+@query
+def overhead_vs_benchmark(spark, sf_dir) -> DataFrame:
+    wall = D.timings(spark, sf_dir).withColumn("n_items", F.lit(64))
+    bench = spark.createDataFrame([("view", 100.0), ("click", 200.0), ("error", None)], "stage string, us double")
+    t = runs.overhead_against(wall, bench, ["stage"])
+    return t.select("stage", r("wall_us").alias("wall_us"), r("overhead_us").alias("overhead_us"), r("ratio").alias("ratio"))
+
+
+@query
+def finite_gap(spark, sf_dir) -> DataFrame:
+    x = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 0, F.lit(float("inf"))).when(F.col("event_id") % 11 != 0, F.col("ms"))
+    return validate.finite_summary(D.timings(spark, sf_dir).withColumn("x", x), ["stage"], "x").select("stage", "n", r("mean").alias("mean"), r("median").alias("median"))

@@ -124,7 +124,7 @@ SELECT day, kind, {z('sum(len)', 4)} AS busy, {z('sum(total)', 4)} AS total, cou
     "telemetry_parse": f"""SELECT event_id, CAST(epoch_us(date_trunc('second', ts)) // 1000000 - 28800 AS BIGINT) AS t, CAST(user_id AS INT) AS ram_mb, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS INT) END AS power_mw, {z('value')} AS tj, 5 AS util_pct FROM events WHERE event_id % 7 <> 0""",
     "log_scrape": f"SELECT event_id, {z('value')} AS p50, CAST(user_id AS INT) AS sm_mhz, {z('value')} AS power_w FROM events",
     "temperature_max": f"WITH {TELE} SELECT day, round(max(CASE WHEN kind = 'error' THEN power END), 6) + 0.0 AS tj_max, count(*) FILTER (kind = 'error') AS n FROM s GROUP BY day",
-    "cold_start": f"WITH {TOTALS} SELECT stage, {z('median(t)')} AS median, {z('min(t)')} AS least, {z('max(t)')} AS most, count(*) AS n FROM tot GROUP BY stage",
+    "cold_start": f"WITH {TOTALS} SELECT stage, {z('median(t)')} AS median, {z('min(t)')} AS least, {z('max(t)')} AS most, count(*) AS n, {z('arg_min(t, rep)')} AS first, {z('arg_max(t, rep)')} AS last FROM tot GROUP BY stage",
     "histogram": "SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY p_type, p_brand",
     "near_optimal_pick": "WITH b AS (SELECT *, min(p_retailprice) OVER (PARTITION BY p_type) AS m FROM part) SELECT p_type, p_retailprice, p_size, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_retailprice, p_partkey) AS n FROM b WHERE p_retailprice <= m * 1.05) WHERE n = 1",
     "group_ffill": f"WITH {TIMES}, g AS (SELECT user_id, event_id, CASE WHEN event_id % 4 = 0 THEN stage END AS g FROM t) SELECT user_id, event_id, last_value(g IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS grp FROM g",
@@ -138,4 +138,29 @@ SELECT stage, {z('a')} AS wall, {z('b')} AS device, {z('a - b')} AS overhead, {z
 SELECT stage, rep, {z('f')} AS fwd, {z('r')} AS rev, {z('(f + r) / 2')} AS mean, {z('abs(f - r) / abs(f)')} AS relative, CAST(coalesce(abs(f - r) / abs(f) < 0.05, false) AS INT) AS agrees FROM m""",
     "layout_rows": "SELECT c_custkey AS key, 'balance' AS variant, c_acctbal AS value FROM customer UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS DOUBLE) FROM customer",
     "deterministic_runs": f"WITH {TIMES}, c AS (SELECT stage, rep, count(*) AS n FROM t GROUP BY stage, rep) SELECT stage, count(DISTINCT n) AS n_counts, CAST(bool_and(n > 100) AS INT) AS all_busy, CAST(count(DISTINCT n) = 1 AS INT) AS same FROM c GROUP BY stage",
+    "accuracy_report_full": f"""WITH {PX}, t AS (SELECT id, v AS a, list_transform(v, lambda x: round(x, 2)) AS b FROM px),
+n AS (SELECT id, list_transform(a, lambda x: x / (sqrt(list_dot_product(a, a)) + 1e-12)) AS v, list_transform(b, lambda x: x / (sqrt(list_dot_product(b, b)) + 1e-12)) AS w FROM t),
+a AS (SELECT id, other FROM (SELECT p.id, q.id AS other, row_number() OVER (PARTITION BY p.id ORDER BY list_dot_product(p.v, q.v) DESC, q.id) AS k FROM n p JOIN n q ON p.id <> q.id) WHERE k = 1),
+b AS (SELECT id, other, k FROM (SELECT p.id, q.id AS other, row_number() OVER (PARTITION BY p.id ORDER BY list_dot_product(p.w, q.w) DESC, q.id) AS k FROM n p JOIN n q ON p.id <> q.id) WHERE k <= 5),
+g AS (SELECT avg(CAST(coalesce(k <= 1, false) AS INT)) AS top_1, avg(CAST(coalesce(k <= 5, false) AS INT)) AS top_5 FROM a LEFT JOIN b ON a.id = b.id AND a.other = b.other),
+e AS (SELECT list_dot_product(v, w) / ((sqrt(list_dot_product(v, v)) + 1e-12) * (sqrt(list_dot_product(w, w)) + 1e-12)) AS c, list_transform(range(1, 65), lambda i: abs(v[i] - w[i])) AS d, list_dot_product(v, v) AS r2 FROM n),
+s AS (SELECT count(*) AS n, {z('avg(c)')} AS mean_cosine, {z('min(c)')} AS min_cosine, {z('max(list_max(d))')} AS max_abs, {z('sum(list_sum(d)) / sum(len(d))')} AS mean_abs, {z('sqrt(sum(list_dot_product(d, d))) / sqrt(sum(r2))')} AS relative_l2 FROM e)
+SELECT s.*, {z('top_1')} AS top_1, {z('top_5')} AS top_5 FROM s, g""",
+    "build_max_abs": f"""WITH {PX}, b AS (SELECT d AS build, id, list_transform(v, lambda x: round(x, d)) AS v FROM px, (VALUES (1), (2), (3)) k(d))
+SELECT p.build AS a, q.build AS b, count(*) AS n, {z('max(list_max(list_transform(range(1, 65), lambda i: abs(p.v[i] - q.v[i]))))')} AS max_abs FROM b p JOIN b q ON p.id = q.id AND p.build < q.build GROUP BY p.build, q.build""",
+    "unknown_names": "SELECT DISTINCT event_type || '_' || (user_id % 7) AS name FROM events WHERE user_id % 7 = 3 OR event_type LIKE 'view%'",
+    "patch_verdict": f"WITH {PX} SELECT id, CAST(id % 11 <> 0 AND list_max(list_transform(v, lambda x: abs(x - round(x, 4)))) <= 4e-5 AS INT) AS passed FROM px",
+    "l2_above": f"""WITH {PX}, s AS (SELECT id, list_transform(v, lambda x: x * CASE WHEN id % 3 = 0 THEN 0.0 ELSE 1.0 END) AS v FROM px),
+u AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 0.5)) AS w FROM s) SELECT id, {z('w[1]')} AS v0, {z('list_sum(w)')} AS v_sum FROM u""",
+    "nearest_norm": f"""WITH {PX}, n AS (SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS x FROM px)
+SELECT id, nbr, {z('gap')} AS gap FROM (SELECT p.id, q.id AS nbr, abs(q.x - p.x) AS gap, row_number() OVER (PARTITION BY p.id ORDER BY (q.x - p.x) * (q.x - p.x), q.id) AS k FROM n p JOIN n q ON p.id % 20 = 0 AND p.id <> q.id) WHERE k = 1""",
+    "idle_window": f"""WITH {TELE}, a AS (SELECT DISTINCT s AS "start" FROM s WHERE id % 10 = 0)
+SELECT {z('"start"')} AS "start", count(*) AS n, {z('avg(power)')} AS mean_power FROM a JOIN s ON s.s >= "start" AND s.s < "start" + 3600 GROUP BY a."start" """,
+    "rounds_all_agree": f"""WITH {TIMES}, m AS (SELECT stage, rep, avg(ms) FILTER (round = 'fwd') AS f, avg(ms) FILTER (round = 'rev') AS r FROM t GROUP BY stage, rep),
+a AS (SELECT stage, coalesce(abs(f - r) / abs(f) < 0.1, false) AS ok FROM m) SELECT stage, count(*) AS n, count(*) FILTER (ok) AS n_agree, CAST(bool_and(ok) AS INT) AS all_agree FROM a GROUP BY stage""",
+    "config_ratio": f"""WITH {TIMES}, p AS (SELECT stage, rep, round, avg(ms) AS v FROM t GROUP BY stage, rep, round), m AS (SELECT stage, rep, avg(v) AS m FROM p GROUP BY stage, rep)
+SELECT m.stage, CAST(m.rep AS VARCHAR) AS rep, {z('m.m')} AS mean, {z('b.m / m.m')} AS ratio FROM m LEFT JOIN m b ON b.stage = m.stage AND b.rep = 0""",
+    "overhead_vs_benchmark": f"""WITH {TIMES}, w AS (SELECT stage, median(1000 * ms / 64) AS w FROM t GROUP BY stage)
+SELECT w.stage, {z('w')} AS wall_us, {z('w - us')} AS overhead_us, {z('w / us')} AS ratio FROM w LEFT JOIN (VALUES ('view', 100.0), ('click', 200.0)) b(stage, us) ON b.stage = w.stage""",
+    "finite_gap": f"WITH {TIMES}, x AS (SELECT stage, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 THEN ms END AS x FROM t) SELECT stage, count(x) AS n, {z('avg(x)')} AS mean, {z('median(x)')} AS median FROM x GROUP BY stage",
 }
