@@ -429,7 +429,7 @@ def similar_pairs(prints: DataFrame, width: int, segments: int, similarity: floa
     above: one in 700 at exactly the similarity) are left out; the rest is verified
     on the whole sets. Pairs already joined by verified ones aren't needed. Crowded
     buckets give few edges at first; then, in rounds, each text is verified against
-    its nearest of other components there, eight times as many each round, until
+    its nearest of other components there, 64 at first and eight times as many each further round, until
     none has more. So an edge that fails costs no text its other candidates.
 
     What is left of a bucket by then is mostly one component. Rows outside it are
