@@ -131,7 +131,7 @@ def _encoder(name: str, words: int) -> Encoder:
     return Encoder(name, words, words * 12 // 5)
 
 
-def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, remembered: int = 250_000) -> DataFrame:
+def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, remembered: int = 250_000, keep: bool = True) -> DataFrame:
     """The tokenized pieces of each document (key, piece, start, length, ids_crc32); a document of one id (0) if the text is null or empty."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
 
@@ -149,6 +149,9 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int,
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["_key", "piece", "start", "length", "ids_crc32"])
+        if not keep:
+            _encoder.cache_clear()
+            _tokenizer.cache_clear()
 
     kind = rows.schema["_key"].dataType.simpleString()
     return rows.mapInArrow(cut, f"_key {kind}, piece int, start long, length long, ids_crc32 long")
@@ -302,16 +305,19 @@ def slots(plan_: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, tokenizer: str = "word_bpe_49k.json", remembered: int = 250_000) -> DataFrame:
+def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, tokenizer: str = "word_bpe_49k.json", remembered: int = 250_000, keep: bool = True) -> DataFrame:
     """Every piece of every document with its sequence_id and its offset there, gapless from 0.
 
     Only the number of pieces of each length goes to the driver: at most capacity
     rows. The plan made from it is as bounded; pieces are matched to its places by
     their rank among those of equal length. Null and empty texts are documents of
     one id; repeated rows and null keys are packed like any others; an empty table
-    gives no rows; other columns of docs are ignored.
+    gives no rows; very long texts are whole; other columns of docs are ignored.
+    remembered: so many words' ids a worker holds (twice at most); fewer take less
+    memory and more time. keep: whether it keeps them, and the tokenizer, for its
+    next task.
     """
-    table = written(pieces(docs, key, text, tokenizer, capacity).withColumn("_p", F.spark_partition_id()))
+    table = written(pieces(docs, key, text, tokenizer, capacity, remembered, keep).withColumn("_p", F.spark_partition_id()))
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
     place = slots(plan(counts, capacity))
 

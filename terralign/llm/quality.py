@@ -159,6 +159,7 @@ def filtered(docs: DataFrame, model: Model | None, text: str = "text", least: fl
                 score = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
                 batch = batch.filter(pa.array(score >= least))
             yield batch
+        _terms.clear()  # later stages have the worker's memory
 
     return docs.mapInArrow(run, docs.schema)
 

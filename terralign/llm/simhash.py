@@ -492,7 +492,7 @@ def similar_pairs(prints: DataFrame, width: int, segments: int, similarity: floa
 
     tested = written(ordered(met.where("a is not null").select("a", F.coalesce("b", "cls").alias("b"))))
     found = written(checked(tested), rows=200)
-    limit, whole = 8, open_rows.isEmpty()
+    limit, whole = 64, open_rows.isEmpty()
     while not whole:
         roots = components(found).withColumnRenamed("node", "cls")
         labelled = open_rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -515,7 +515,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     empty table stays empty; other columns pass through, whatever their names.
     """
     width, segments = plan_segments(docs.count(), similarity)
-    rows = written(_prints(docs, key, text, words, words_of(width, segments)))
+    rows = written(_prints(docs, key, text, words, words_of(width, segments)), rows=1000)
     found = components(similar_pairs(rows, width, segments, similarity)).withColumnRenamed("node", "cls")
     first = rows.select("_id", "_h", "cls").join(found, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min(F.struct("_id", "_h")).alias("f"))
     kept = first.select(F.col("f._id").alias("_id"), F.col("f._h").alias("_kept"))
