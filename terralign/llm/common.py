@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,13 +20,23 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/terralign-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove all tables of written() of this application: for long sessions, once the results that read them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, kept when executors are lost.
 
     rows: at most so many rows to an Arrow batch, for Python work on wide rows.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/terralign/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     if rows:

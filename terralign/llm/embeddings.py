@@ -218,8 +218,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     and zero vectors, those with null or non-finite components, and those of another
     length than most link with nothing. Equal vectors link with each other and are
     compared once. Rows with equal keys and vectors count as rows; an empty table
-    gives no rows; a null key never links; other columns are ignored.
+    gives no rows; a null key never links; a key column without integers raises;
+    other columns are ignored.
     """
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must hold integers: the smallest stands for its group")
     rows = written(df.select(F.col(key).cast("long").alias("id"), pack(F.col(vector).cast(T.ArrayType(T.DoubleType()))).alias("v")))
     lengths = rows.where("v is not null").groupBy(F.length("v").alias("l")).count().orderBy(F.desc("count"), "l").first()
     good = rows.where((F.length("v") == (lengths["l"] if lengths else 0)) & F.col("id").isNotNull())

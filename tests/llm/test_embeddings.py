@@ -53,3 +53,8 @@ def test_against_brute_force(spark, monkeypatch, cell_rows):
 
 def test_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_text_keys_raise(spark):
+    with pytest.raises(TypeError):
+        embeddings.near_duplicates(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
