@@ -28,13 +28,18 @@ def _found(line: Column, pattern: str, kind: str) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).cast(kind)
 
 
-def telemetry(line: Column, utc_offset: str = "+0000") -> Column:
-    """One telemetry line as (t, ram_mb, power_mw, tj, util_pct); null unless time and memory are there, the rest may be null."""
+def telemetry_fields(line: Column, utc_offset: str = "+0000") -> list[Column]:
+    """t, ram_mb, power_mw, tj and util_pct of a telemetry line, each null if it isn't there. As columns of their own, each is parsed once."""
     stamp = F.nullif(F.regexp_extract(line, r"^(\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2})", 1), F.lit(""))
     t = F.try_to_timestamp(F.concat(stamp, F.lit(utc_offset)), F.lit("MM-dd-yyyy HH:mm:ssxx"))
     ram = _found(line, r"RAM (\d+)/\d+MB", "int")
-    rest = [_found(line, r"VDD_IN (\d+)mW", "int").alias("power_mw"), _found(line, r"tj@([\d.]+)C", "double").alias("tj"), _found(line, r"GR3D_FREQ (\d+)%", "int").alias("util_pct")]
-    return F.when(t.isNotNull() & ram.isNotNull(), F.struct(t.alias("t"), ram.alias("ram_mb"), *rest))
+    return [t.alias("t"), ram.alias("ram_mb"), _found(line, r"VDD_IN (\d+)mW", "int").alias("power_mw"), _found(line, r"tj@([\d.]+)C", "double").alias("tj"), _found(line, r"GR3D_FREQ (\d+)%", "int").alias("util_pct")]
+
+
+def telemetry(line: Column, utc_offset: str = "+0000") -> Column:
+    """One telemetry line as (t, ram_mb, power_mw, tj, util_pct); null unless time and memory are there, the rest may be null."""
+    t, ram, *rest = telemetry_fields(line, utc_offset)
+    return F.when(t.isNotNull() & ram.isNotNull(), F.struct(t, ram, *rest))
 
 
 def classify(name: Column, rules: Sequence[tuple[str, str, str]]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terralign.contract import Contract
@@ -78,8 +79,18 @@ def sample(points: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def split(samples: DataFrame, key: str, calibration: int, validation: int) -> DataFrame:
     """samples with split: 'calibration' for the first, 'validation' for the next, else 'rest', in order of key."""
     first = samples.select(F.col(key).alias("_k")).orderBy("_k").limit(calibration + validation)
-    from pyspark.sql import Window as W
-
     placed = first.withColumn("_n", F.row_number().over(W.orderBy("_k")))  # at most calibration + validation rows
     name = F.when(F.col("_n").isNull(), "rest").when(F.col("_n") <= calibration, "calibration").otherwise("validation")
     return samples.join(placed, samples[key] == placed["_k"], "left").withColumn("split", name).drop("_k", "_n")
+
+
+def pixel_index(valid: DataFrame) -> DataFrame:
+    """valid (scene, row, col, ...) with idx: a compact row-major index from 0 within each scene.
+
+    By way of each row's count, so no scene is sorted as a whole: what is gathered
+    by scene is one number a row.
+    """
+    before = W.partitionBy("scene").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
+    starts = valid.groupBy("scene", "row").agg(F.count("*").alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(W.partitionBy("scene", "row").orderBy("col"))
+    return valid.withColumn("_k", place).join(starts, ["scene", "row"]).withColumn("idx", F.col("_at") + F.col("_k") - 1).drop("_k", "_at")

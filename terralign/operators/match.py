@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralign.functions.vectors import is_finite
+from terralign.functions.vectors import is_finite, max_abs_difference
+from terralign.operators.quantiles import quantiles
 
 Score = Callable[[Column, Column], Column]
 
@@ -68,3 +69,22 @@ def match_margin(points: DataFrame, pixels: DataFrame, radius: int, score: Score
     two = made.groupBy("id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("s"))), 1, 2).alias("t"))
     told = points.select("id").join(two, "id", "left")
     return told.select("id", F.get("t", F.lit(0)).alias("top1"), F.get("t", F.lit(1)).alias("top2"), (F.get("t", F.lit(0)) - F.get("t", F.lit(1))).alias("margin"))
+
+
+def differing(found: DataFrame, a: str, b: str) -> Column:
+    """Whether two named scores of window_match() chose different pixels; null where either chose none."""
+    return (F.col(f"{a}.row") != F.col(f"{b}.row")) | (F.col(f"{a}.col") != F.col(f"{b}.col"))
+
+
+def agreement(found: DataFrame, a: str, b: str) -> DataFrame:
+    """Of window_match() with two scores: n, the share of points with the same pixel, and mean and median of a's displacement less b's where both are finite."""
+    rows = found.select((~differing(found, a, b)).cast("int").alias("same"), (F.col(f"{a}.displacement") - F.col(f"{b}.displacement")).alias("gap"))
+    gaps = quantiles(rows, [], "gap", {"median_gap": 0.5}, {"n": F.count("*"), "agreement": F.avg("same"), "mean_gap": F.avg("gap")})
+    return gaps.select("n", "agreement", "mean_gap", "median_gap")
+
+
+def spectrum_errors(found: DataFrame, name: str, pixels: DataFrame, truth: DataFrame) -> DataFrame:
+    """id and error: the largest difference between a point's own spectrum (truth: id, spectrum) and that of the pixel (row, col, spectrum) chosen for it."""
+    chosen = found.select("id", F.col(f"{name}.row").alias("row"), F.col(f"{name}.col").alias("col")).where("row is not null")
+    own = chosen.join(truth.select("id", F.col("spectrum").alias("_truth")), "id")
+    return own.join(pixels.select("row", "col", "spectrum"), ["row", "col"]).select("id", max_abs_difference(F.col("_truth"), F.col("spectrum")).alias("error"))

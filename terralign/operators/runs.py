@@ -158,3 +158,19 @@ def cold_start(rows: DataFrame, by: Sequence[str], order: str, value: str) -> Da
     """Median, least, most and number of start-up times by group, and all of them in order (a few a configuration)."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
     return quantiles(rows, by, value, {"median": 0.5}, {"least": F.min(value), "most": F.max(value), "n": F.count("*"), "all": listed})
+
+
+def peak(samples: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Largest value (most) and number of values (n) by group; nulls don't count."""
+    return samples.groupBy(*by).agg(F.max(value).alias("most"), F.count(value).alias("n"))
+
+
+def histogram(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """How many rows (n) each combination of values has."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def same_counts(rows: DataFrame, by: Sequence[str], run: str, least: int = 0) -> DataFrame:
+    """Whether the runs of a group have as many rows: n_counts different numbers, same (one only), all_busy (each above least)."""
+    n = rows.groupBy(*by, run).agg(F.count("*").alias("_n"))
+    return n.groupBy(*by).agg(F.countDistinct("_n").alias("n_counts"), F.bool_and(F.col("_n") > least).alias("all_busy"), (F.countDistinct("_n") == 1).alias("same"))

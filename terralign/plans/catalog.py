@@ -140,14 +140,8 @@ def window_cover(spark, sf_dir) -> DataFrame:
 
 @query
 def pixel_index(spark, sf_dir) -> DataFrame:
-    """Compact row-major index of valid pixels, by way of each row's count: no sort of the whole grid."""
-    from pyspark.sql import Window as W
-
-    valid = grid.masked(D.raster(spark, sf_dir), D.CONTRACT)
-    before = W.orderBy("row").rowsBetween(W.unboundedPreceding, -1)
-    starts = valid.groupBy("row").agg(F.count("*").alias("n")).withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    k = F.row_number().over(W.partitionBy("row").orderBy("col"))
-    return valid.withColumn("k", k).join(starts, "row").select("row", "col", (F.col("at") + F.col("k") - 1).alias("idx"))
+    """Compact row-major index of valid pixels."""
+    return grid.pixel_index(grid.masked(D.raster(spark, sf_dir), D.CONTRACT)).select("row", "col", "idx")
 
 
 # Matching
@@ -189,28 +183,23 @@ def match_margin(spark, sf_dir) -> DataFrame:
 @query
 def match_agreement(spark, sf_dir) -> DataFrame:
     points, pixels, _ = _sides(spark, sf_dir)
-    found = match.window_match(points, pixels, D.RADIUS, BOTH, own=False)
-    same = (F.col("plain.row") == F.col("spatial.row")) & (F.col("plain.col") == F.col("spatial.col"))
-    gap = F.col("plain.displacement") - F.col("spatial.displacement")
-    t = validate.finite_summary(found.select(gap.alias("gap"), same.cast("int").alias("same")), [], "gap")
-    return found.agg(F.count("*").alias("n"), r(F.avg(same.cast("int"))).alias("agreement")).crossJoin(t.select(r("mean").alias("mean_gap"), r("median").alias("median_gap")))  # a row each
+    t = match.agreement(match.window_match(points, pixels, D.RADIUS, BOTH, own=False), "plain", "spatial")
+    return t.select("n", r("agreement").alias("agreement"), r("mean_gap").alias("mean_gap"), r("median_gap").alias("median_gap"))
 
 
 @query
 def spectrum_error(spark, sf_dir) -> DataFrame:
     points, pixels, px = _sides(spark, sf_dir)
-    found = match.window_match(points, pixels, D.RADIUS, {"best": match.cosine_score}, own=False).select("id", F.col("best.row").alias("row"), F.col("best.col").alias("col"))
-    own = found.join(px.select("id", F.col("spectrum").alias("truth")), "id")
-    error = V.max_abs_difference(F.col("truth"), F.col("spectrum"))
-    each = own.join(px.select("row", "col", "spectrum"), ["row", "col"]).select(error.alias("e"))
-    return validate.finite_summary(each, [], "e").select("n", r("mean").alias("mean"), r("median").alias("median"))
+    found = match.window_match(points, pixels, D.RADIUS, {"best": match.cosine_score}, own=False)
+    t = validate.finite_summary(match.spectrum_errors(found, "best", px, px), [], "error")
+    return t.select("n", r("mean").alias("mean"), r("median").alias("median"))
 
 
 @query
 def near_tie_check(spark, sf_dir) -> DataFrame:
     points, pixels, _ = _sides(spark, sf_dir)
     found = match.window_match(points, pixels, D.RADIUS, BOTH, own=False)
-    differing = found.where((F.col("plain.row") != F.col("spatial.row")) | (F.col("plain.col") != F.col("spatial.col")))
+    differing = found.where(match.differing(found, "plain", "spatial"))
     return validate.near_ties(differing, match.match_margin(points, pixels, D.RADIUS, own=False), 0.02).select("n", "n_near", F.col("all_near").cast("int").alias("all_near"))
 
 
@@ -375,8 +364,8 @@ def telemetry_parse(spark, sf_dir) -> DataFrame:
     power = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit(" VDD_IN "), F.col("user_id").cast("string"), F.lit("mW"))).otherwise("")
     ram = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit(" RAM "), F.col("user_id").cast("string"), F.lit("/7620MB"))).otherwise("")
     line = F.concat(stamp, ram, F.lit(" tj@"), F.col("value").cast("string"), F.lit("C"), power, F.lit(" GR3D_FREQ 5%"))
-    parsed = e.select("event_id", T.telemetry(line, "+0800").alias("p")).where("p is not null")
-    return parsed.select("event_id", F.unix_seconds("p.t").alias("t"), "p.ram_mb", "p.power_mw", r("p.tj").alias("tj"), "p.util_pct")
+    parsed = e.select("event_id", *T.telemetry_fields(line, "+0800")).where("t is not null and ram_mb is not null")
+    return parsed.select("event_id", F.unix_seconds("t").alias("t"), "ram_mb", "power_mw", r("tj").alias("tj"), "util_pct")
 
 
 @query
@@ -390,7 +379,7 @@ def log_scrape(spark, sf_dir) -> DataFrame:
 @query
 def temperature_max(spark, sf_dir) -> DataFrame:
     t = D.telemetry(spark, sf_dir).select("day", F.when(F.col("kind") == "error", F.col("power")).alias("tj"))
-    return t.groupBy("day").agg(r(F.max("tj")).alias("tj_max"), F.count("tj").alias("n"))
+    return runs.peak(t, ["day"], "tj").select("day", r("most").alias("tj_max"), "n")
 
 
 @query
@@ -401,7 +390,7 @@ def cold_start(spark, sf_dir) -> DataFrame:
 
 @query
 def histogram(spark, sf_dir) -> DataFrame:
-    return D.table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
+    return runs.histogram(D.table(spark, sf_dir, "part"), ["p_type", "p_brand"])
 
 
 @query
@@ -463,8 +452,8 @@ def layout_rows(spark, sf_dir) -> DataFrame:
 @query
 def deterministic_runs(spark, sf_dir) -> DataFrame:
     """Whether every repetition of a stage took part and took the same number of calls."""
-    t = D.timings(spark, sf_dir).groupBy("stage", "rep").agg(F.count("*").alias("n"))
-    return t.groupBy("stage").agg(F.countDistinct("n").alias("n_counts"), F.bool_and(F.col("n") > 100).cast("int").alias("all_busy"), (F.countDistinct("n") == 1).cast("int").alias("same"))
+    t = runs.same_counts(D.timings(spark, sf_dir), ["stage"], "rep", 100)
+    return t.select("stage", "n_counts", F.col("all_busy").cast("int").alias("all_busy"), F.col("same").cast("int").alias("same"))
 
 
 # Reports in full
