@@ -1,10 +1,13 @@
+import pathlib
 import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from terralign.llm import queries
+import corpus_pipeline
+from terralign.llm import decontam, linededup, lm, packing, pii, quality, queries, sharding, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +58,45 @@ def test_line_dedup_matches_sql_on_planted_runs(spark, tmp_path):
 
 def test_ten_operators_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+TABLES = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "benchmark": "item_id long, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
+@pytest.mark.parametrize("name", [*sorted(queries.QUERIES), "pipeline"])
+def test_empty_tables(spark, tmp_path, name):
+    for table, schema in TABLES.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    query = corpus_pipeline.run if name == "pipeline" else queries.QUERIES[name]
+    assert query(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_with_private_names_pass_through(spark):
+    """Every name that an operator uses for itself, as a column of the caller's."""
+    source = "".join(p.read_text() for p in pathlib.Path(queries.__file__).parent.glob("*.py"))
+    names = sorted({*re.findall(r'"(_[a-zA-Z]\w*)"', source), "words", "cls", "w", "s", "root", "fp", "component", "lines", "first", "last", "runs", "y", "score", "node"})
+    names = [n for k, n in enumerate(names) if n.lower() not in {m.lower() for m in names[:k]}]
+    long = " ".join(f"t{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, long), (2, "call 988-555-2485 or " + long), (3, long), (4, None)], "doc_id long, text string")
+    docs = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    items = spark.createDataFrame([(9, "nothing of this is in any of the documents at all so they stay")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    made = {
+        "line_dedup": linededup.deduped(docs),
+        "near_dedup": simhash.representatives(docs),
+        "decontamination": decontam.decontaminated(docs, items),
+        "pii": pii.pseudonymized(docs, "k"),
+        "quality": quality.filtered(docs, quality.trained(docs, labels, F.lit(True)), least=0.0),
+    }
+    for stage, df in made.items():
+        rows = df.collect()
+        assert len(rows) == (4 if stage != "near_dedup" else 2), stage
+        assert all(r[n] == f"own {n}" for r in rows for n in names), stage
+    assert simhash.near_duplicates(docs).count() == packing.packed(docs).count() == lm.scored(docs, F.lit(True)).count() == 4
+    assert toxicity.scored(docs, toxicity.trained(docs, labels, F.lit(True))).count() == sharding.sharded(docs, "doc_id").count() == 4
+    assert decontam.overlaps(docs, docs.select(F.col("doc_id").alias("item_id"), *docs.columns[1:])).count() == 9
