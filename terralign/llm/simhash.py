@@ -208,6 +208,8 @@ WIDE, STRIP = 48, 64
 ROW_COST = 400
 #: Rows of an outsized bucket that all others are compared with first.
 HUBS = 8
+#: Hashes that are compared at a time, as columns of a matrix.
+COLUMNS = 2048
 CANDIDATE = ["key", "cls", "w0", "w1", "a", "b"]
 
 
@@ -285,27 +287,54 @@ def _twice(own: np.ndarray, near: int, distance: int) -> list[tuple[int, int]]:
     return star_places(own, own, near) + star_places(own, own, distance)
 
 
-def _apart(w: np.ndarray, cls: np.ndarray, root: np.ndarray, left: int, same: bool, distance: int, limit: int) -> list[tuple[int, int]]:
-    """Pairs of classes within distance whose roots differ, between the first left rows and the rest (or within all, if same).
+def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets of left and of right (hashes in order) have the similarity (Jaccard) or more, by products of their incidence matrices.
 
-    A pair belongs to its end of the root with fewer rows here. Each row gives its
-    limit nearest pairs; one that has more also gives (cls, cls).
+    Only hashes that both sides have are columns, so many at a time.
     """
-    if (root == root[0]).all():
-        return []
-    _, of, counts = np.unique(root, return_inverse=True, return_counts=True)
-    rank = np.empty(len(cls), np.int64)
-    rank[np.lexsort((cls, counts[of]))] = np.arange(len(cls))
-    side, out = np.arange(len(cls)) >= left, []
-    for at in range(len(cls)):
-        rest = np.flatnonzero((root != root[at]) & (rank > rank[at]) & (same | (side != side[at])))
-        bits = differing(w[rest], w[at])
-        near, bits = rest[bits <= distance], bits[bits <= distance]
-        if len(near) > limit:
-            near = near[np.argsort(bits, kind="stable")[:limit]]
-            out.append((int(cls[at]), int(cls[at])))
-        out += [(int(cls[at]), int(cls[x])) for x in near]
-    return out
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    columns = np.intersect1d(*flat)
+    same = np.zeros((len(left), len(right)), np.float32)
+    if len(columns):
+        at = [np.searchsorted(columns, x) for x in flat]
+        hit = [columns[np.minimum(i, len(columns) - 1)] == x for i, x in zip(at, flat, strict=True)]
+        for lo in range(0, len(columns), COLUMNS):
+            parts = []
+            for n, i, row, ok in zip(sizes, at, rows, hit, strict=True):
+                here = ok & (i >= lo) & (i < lo + COLUMNS)
+                part = np.zeros((len(n), min(COLUMNS, len(columns) - lo)), np.float32)
+                part[row[here], i[here] - lo] = 1
+                parts.append(part)
+            same += parts[0] @ parts[1].T
+    return (same > 0) & (same >= similarity * (sizes[0][:, None] + sizes[1][None, :] - same))
+
+
+def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Edges (row, column) of a matrix of links that join all that its links join, one at most for each end. same: rows and columns are the same ends."""
+    n, m = linked.shape
+    free_rows, free_columns, edges = np.ones(n, bool), np.ones(m, bool), []
+    for first in range(n):
+        if not free_rows[first]:
+            continue
+        free_rows[first] = False
+        if same:
+            free_columns[first] = False
+        frontier = [(first, True)]
+        while frontier:
+            at, is_row = frontier.pop()
+            if is_row:
+                near = np.flatnonzero(linked[at] & free_columns)
+                free_columns[near] = False
+                edges += [(at, int(x)) for x in near]
+            else:
+                near = np.flatnonzero(linked[:, at] & free_rows)
+                edges += [(int(x), at) for x in near]
+            if same or not is_row:
+                free_rows[near] = False
+            frontier += [(int(x), same or not is_row) for x in near]
+    return edges
 
 
 def _close(w0: np.ndarray, w1: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -321,23 +350,20 @@ def _close(w0: np.ndarray, w1: np.ndarray, distance: int) -> tuple[np.ndarray, n
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], near: int, distance: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes within buckets of rows (key, cls, w0, w1) sorted by key, as (a, b); what isn't complete by that as (key, cls, w0, w1, a).
+    """Pairs of classes within buckets of rows (key, cls, w0, w1) sorted by key, as (a, b).
 
     A bucket gives every pair within distance. If a text has BUCKET of them or more
     there, the bucket gives edges that join all that is linked, at most two for each
-    row, and its linked rows for further rounds. In order of class, crowded buckets
-    of one group give mostly the same edges. Of buckets of more than block rows all
-    rows come out for further rounds, each with its nearest leader within distance
-    as a (null if there is none). Up to HUBS rows that had none are leaders.
+    row, with 1 as w0: what it joins is to be compared in full. In order of class,
+    crowded buckets of one group give mostly the same edges. Of buckets of more than
+    block rows all rows come out, as (key, cls), each with its nearest leader within
+    distance as a (null if there is none). Up to HUBS rows that had none are leaders.
     """
 
     def rows(**given) -> pa.RecordBatch:
         n = len(next(iter(given.values())))
         return pa.RecordBatch.from_arrays([pa.array(given[k], pa.int64()) if k in given else pa.nulls(n, pa.int64()) for k in CANDIDATE], names=CANDIDATE)
 
-    def kept(key: np.ndarray, cls: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-        return rows(key=key, cls=cls, w0=np.ascontiguousarray(w[:, 0]), w1=np.ascontiguousarray(w[:, 1]))
-
     def outsized(key: np.ndarray, cls: np.ndarray, w: np.ndarray, leaders: list[int], prints: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """The rows of a part of one bucket with their leaders; leaders (classes) and prints grow."""
         least, nearest = np.full(len(cls), 129, np.int64), np.zeros(len(cls), np.int64)
@@ -353,10 +379,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], near: int, distance: int, blo
             leaders.append(int(cls[far[0]]))
             prints.append(w[far[0]])
             compared(len(leaders) - 1)
-        for led in (least <= distance, least > distance):
-            if led.any():
-                part = kept(key[led], cls[led], w[led])
-                yield part if (least[led] > distance).any() else pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(nearest[led]), part.column(5)], names=CANDIDATE)
+        led = least <= distance
+        if led.any():
+            yield rows(key=key[led], cls=cls[led], a=nearest[led])
+        if not led.all():
+            yield rows(key=key[~led], cls=cls[~led])
 
     def complete(key: np.ndarray, cls: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
         def given(left: np.ndarray, right: np.ndarray, bucket: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
@@ -371,8 +398,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], near: int, distance: int, blo
                 own = np.unique(np.concatenate([left[bucket == b], right[bucket == b]]))
                 prints = w[own]
                 found = own[np.array(_twice(prints, near, distance), np.int64).reshape(-1, 2)]
-                yield rows(a=cls[found[:, 0]], b=cls[found[:, 1]])
-                yield kept(key[own], cls[own], w[own])
+                yield rows(a=cls[found[:, 0]], b=cls[found[:, 1]], w0=np.ones(len(found), np.int64))
 
         starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
         sizes = np.diff(starts, append=len(key))
@@ -421,20 +447,20 @@ def _candidates(batches: Iterator[pa.RecordBatch], near: int, distance: int, blo
     yield from complete(*held)
 
 
-def similar_pairs(prints: DataFrame, width: int, segments: int, similarity: float = 0.8, block: int = 2048) -> DataFrame:
-    """Pairs of classes (a, b) of rows of _prints whose shingle sets have the similarity (Jaccard) or more.
+def similar_pairs(prints: DataFrame, width: int, segments: int, similarity: float = 0.8, block: int = 8192, weight: int = 1 << 18) -> DataFrame:
+    """Pairs of classes (a, b) of rows of _prints whose shingle sets have the similarity (Jaccard) or more: enough to join all that such pairs join.
 
     Classes meet where a segment differs by at most one bit; those whose first two
     words differ by more bits than texts of the similarity should (three deviations
     above: one in 700 at exactly the similarity) are left out; the rest is verified
-    on the whole sets. Pairs already joined by verified ones aren't needed. Crowded
-    buckets give few edges at first; then, in rounds, each text is verified against
-    its nearest of other components there, 64 at first and eight times as many each further round, until
-    none has more. So an edge that fails costs no text its other candidates.
-
-    What is left of a bucket by then is mostly one component. Rows outside it are
-    cut into blocks and meet all others; rows of it don't meet each other, so a
-    group that holds a third of all rows costs a pass and not its square.
+    on the whole sets. Crowded buckets give few edges at first. What their edges
+    join is a cluster, and its classes are then compared in full, set by set, within
+    blocks; so an edge that fails costs no text its other candidates, and no pairs
+    are written out.
+
+    Most classes of a large cluster are one component by then. Those outside it meet
+    all others; those of it don't meet each other, so a group of near copies that
+    holds a third of all rows costs a pass and not its square.
     """
     share = share_of(similarity)
     near, distance = round(128 * share), int(np.ceil(128 * share + 3 * np.sqrt(128 * share * (1 - share))))
@@ -447,30 +473,47 @@ def similar_pairs(prints: DataFrame, width: int, segments: int, similarity: floa
     keyed = classes.repartition(n).select(F.explode(F.array(*made)).alias("key"), "cls", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1"))
     schema = ", ".join(f"{c} long" for c in CANDIDATE)
     met = written(keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(lambda b: _candidates(b, near, distance, block), schema))
-    open_rows = met.where("key is not null").select("key", "cls", "w0", "w1")
 
     def blocks(labelled: DataFrame) -> DataFrame:
-        """Pairs of blocks of the buckets of rows (key, cls, w0, w1, root) that hold several roots, each side as lists."""
-        by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
-        most = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-        few, rare = F.col("n") <= block, F.col("root") != F.col("top.root")
-        cut = labelled.join(most, "key").withColumn("k", F.ceil((F.col("n") - F.col("top.c")) / block).cast("int")).withColumn("m", F.ceil(F.col("top.c") / block).cast("int"))
+        """Pairs of blocks of the units of rows (unit, cls, w0, w1, root, s) that hold several roots, each side as lists.
+
+        A block has about weight hashes, a set counting as 256 at least.
+        """
+        size = F.greatest(F.size("s"), F.lit(256))
+        by_root = labelled.groupBy("unit", "root").agg(F.sum(size).alias("c"))
+        most = by_root.groupBy("unit").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+        few, rare = F.col("n") <= weight, F.col("root") != F.col("top.root")
+        cut = labelled.join(most, "unit").withColumn("k", F.ceil((F.col("n") - F.col("top.c")) / weight).cast("int")).withColumn("m", F.ceil(F.col("top.c") / weight).cast("int"))
         deal = lambda parts: F.pmod(F.xxhash64("cls"), F.col(parts)).cast("int")
         cut = cut.withColumn("x", F.when(few, 0).when(rare, deal("k")).otherwise(F.col("k") + deal("m")))
         meets = F.when(few, F.array(F.lit(0))).when(rare, F.sequence(F.lit(0), F.col("k") + F.col("m") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
         pairs = cut.withColumn("y", F.explode(meets))
-        entry = F.struct("cls", "w0", "w1", "root")
-        both = pairs.groupBy("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list(F.when(F.col("x") <= F.col("y"), entry)).alias("l"), F.collect_list(F.when(F.col("x") > F.col("y"), entry)).alias("r"))
-        return both.select("lo", "hi", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lr" for c in ("cls", "w0", "w1", "root")))
+        entry = F.struct("cls", "w0", "w1", "root", "s")
+        both = pairs.groupBy("unit", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list(F.when(F.col("x") <= F.col("y"), entry)).alias("l"), F.collect_list(F.when(F.col("x") > F.col("y"), entry)).alias("r"))
+        return both.select("lo", "hi", "l", "r")
 
-    def joined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                lo, hi = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                l, r = ([batch.column(side + k)[row].values.to_numpy(zero_copy_only=False) for k in range(4)] for side in (2, 6))
-                cls, w0, w1, root = (np.concatenate(x) for x in zip(l, r, strict=True))
-                edges = np.array(_apart(np.stack([w0, w1], axis=1), cls, root, len(l[0]), lo == hi, distance, limit), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+                within = batch.column(0)[row] == batch.column(1)[row]
+                sides = []
+                for k in (2, 2 if within else 3):
+                    held = batch.column(k)[row].values
+                    sets = held.field("s")
+                    sides.append([*(held.field(c).to_numpy() for c in ("cls", "w0", "w1", "root")), [sets[i].values.to_numpy() for i in range(len(sets))]])
+                (lc, l0, l1, lr, ls), (rc, r0, r1, rr, rs) = sides
+                if not len(lc) or not len(rc):
+                    continue
+                bits = np.bitwise_count((l0[:, None] ^ r0).view(np.uint64)) + np.bitwise_count((l1[:, None] ^ r1).view(np.uint64))
+                open_ = (bits <= distance) & (lr[:, None] != rr)
+                if open_.any():
+                    on, to = open_.any(axis=1), open_.any(axis=0)
+                    if within:
+                        on = to = on | to
+                    on, to = np.flatnonzero(on), np.flatnonzero(to)
+                    linked_ = _similar([ls[i] for i in on], [rs[i] for i in to], similarity) & open_[np.ix_(on, to)]
+                    edges = np.array(_forest(linked_, within), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(lc[on[edges[:, 0]]]), pa.array(rc[to[edges[:, 1]]])], names=["a", "b"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -490,17 +533,15 @@ def similar_pairs(prints: DataFrame, width: int, segments: int, similarity: floa
     def ordered(edges: DataFrame) -> DataFrame:
         return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
-    tested = written(ordered(met.where("a is not null").select("a", F.coalesce("b", "cls").alias("b"))))
-    found = written(checked(tested), rows=200)
-    limit, whole = 64, open_rows.isEmpty()
-    while not whole:
-        roots = components(found).withColumnRenamed("node", "cls")
-        labelled = open_rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        offered = written(blocks(labelled).mapInArrow(lambda b, n=limit: joined(b, n), "a long, b long"), rows=32)
-        new = written(ordered(offered).join(tested, ["a", "b"], "left_anti"))
-        found, tested = found.unionAll(written(checked(new), rows=200)), tested.unionAll(new)
-        whole, limit = offered.where("a = b").isEmpty(), 8 * limit
-    return found
+    crowded = met.where("w0 = 1").select("a", "b")
+    found = written(checked(ordered(met.where("a is not null").select("a", F.coalesce("b", "cls").alias("b")))), rows=200)
+    if met.where("w0 = 1 or key is not null").isEmpty():
+        return found
+    roots = components(found).withColumnRenamed("node", "cls")
+    units = components(crowded).select(F.col("root").alias("unit"), F.col("node").alias("cls")).unionAll(met.where("key is not null").select(F.xxhash64(F.lit("key"), "key").alias("unit"), "cls"))
+    sets = prints.join(units.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("w").alias("w"), F.first("s").alias("s"))
+    labelled = units.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(sets, "cls").select("unit", "cls", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1"), "root", "s")
+    return found.unionAll(written(blocks(labelled).mapInArrow(joined, "a long, b long"), rows=4))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

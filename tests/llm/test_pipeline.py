@@ -15,7 +15,7 @@ def sets(text, n=5):
 def test_representatives_against_brute_force(spark, monkeypatch, block):
     if block < 64:
         pairs = simhash.similar_pairs
-        monkeypatch.setattr(simhash, "similar_pairs", lambda *a, **k: pairs(*a, **k, block=block))
+        monkeypatch.setattr(simhash, "similar_pairs", lambda *a, **k: pairs(*a, **k, block=block, weight=256 * block))
         monkeypatch.setattr(simhash, "BUCKET", 4)
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(5000)}"
@@ -59,7 +59,7 @@ def test_representatives_against_brute_force(spark, monkeypatch, block):
 def test_true_pairs_among_near_misses(spark, monkeypatch, block):
     """A family just below the similarity, with a few pairs above it: no text is lost behind an edge that fails."""
     pairs = simhash.similar_pairs
-    monkeypatch.setattr(simhash, "similar_pairs", lambda *a, **k: pairs(*a, **k, block=block))
+    monkeypatch.setattr(simhash, "similar_pairs", lambda *a, **k: pairs(*a, **k, block=block, weight=256 * block))
     monkeypatch.setattr(simhash, "BUCKET", 4)
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(10**6)}"
