@@ -48,32 +48,40 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Edges that one task takes at least, in components().
+EDGES = 250_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node, root), root the smallest node.
 
     Alternates the large-star and small-star steps, each one aggregation and one
-    equi-join on the node, until no edge changes. Nodes without edges are not
-    returned; empty edges give an empty result; null ends are dropped.
+    equi-join on the node, until no edge changes. Few edges are handled by few tasks,
+    so that the rounds don't write a file for each of many empty partitions. Nodes
+    without edges are not returned; empty edges give an empty result; null ends are
+    dropped.
     """
     spark = edges.sparkSession
     low, high = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
     now = checkpointed(edges.where("a is not null and b is not null and a <> b").select(low, high).distinct())
-    mark = None
+    tasks = max(8, -(-now.count() // EDGES))
+    few = (lambda df: df.coalesce(tasks)) if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")) else (lambda df: df)
+    now, mark = few(now), None
     for _ in range(max_rounds):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        best = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(best, "u").where("v > u and v <> m").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        best = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(best, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        now = checkpointed(small.unionAll(best.select(F.col("m").alias("lo"), "hi")).distinct())
+        best = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = few(both.join(best, "u").where("v > u and v <> m").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct())
+        best = few(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        small = few(large.join(best, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
+        now = checkpointed(few(small.unionAll(best.select(F.col("m").alias("lo"), "hi")).distinct()))
         found = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if found == mark:
             break
         mark = found
     else:
         raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
-    star = now.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
-    roots = star.select(F.col("root").alias("node"), "root").distinct()
+    star = few(now.groupBy("hi").agg(F.min("lo").alias("root"))).select(F.col("hi").alias("node"), "root")
+    roots = few(star.select(F.col("root").alias("node"), "root").distinct())
     return spark.createDataFrame([], "node long, root long").unionAll(star).unionAll(roots)
 
 
