@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators and, where SQL can express them, their DuckDB counterparts."""
 
-from terralign.llm import decontam, embeddings, linededup, lm, packing, pii, quality, sharding, simhash, toxicity
+from terralign.llm import decontam, embeddings, linededup, lm, packing, pii, quality, sharding, simhash, substring, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_embeddings": embeddings.query,
     "op9_simhash": simhash.query,
     "op10_language_model": lm.query,
+    "op11_substring_dedup": substring.query,
 }
 
 ORACLES: dict[str, str] = {
