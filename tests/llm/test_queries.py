@@ -57,13 +57,14 @@ def test_line_dedup_matches_sql_on_planted_runs(spark, tmp_path):
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 12))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == [*range(1, 12), 13]
 
 
 TABLES = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "labels": "doc_id long, quality int, toxic int",
     "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
     "embeddings": "vec_id long, embedding array<float>, label int",
 }
 
