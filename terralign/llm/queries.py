@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators and, where SQL can express them, their DuckDB counterparts."""
 
-from terralign.llm import decontam, embeddings, linededup, lm, packing, pii, quality, sharding, simhash, substring, toxicity, trie
+from terralign.llm import decontam, embeddings, linededup, lm, packing, pii, quality, search, sharding, simhash, substring, toxicity, trie
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -14,12 +14,14 @@ QUERIES = {
     "op9_simhash": simhash.query,
     "op10_language_model": lm.query,
     "op11_substring_dedup": substring.query,
+    "op12_lexical_search": search.query,
     "op13_conversation_trie": trie.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.ORACLE,
     "op7_sharding": sharding.ORACLE,
+    "op12_lexical_search": search.ORACLE,
     "op13_conversation_trie": trie.ORACLE,
     "op8_embeddings": """WITH RECURSIVE u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
