@@ -193,12 +193,15 @@ def reduce_by_dominance(left: Lengths, capacity: int) -> list[tuple[tuple[int, .
     """Martello and Toth's reduction: take out sets of pieces that some optimal packing holds, as (lengths, how often).
 
     Longest piece first. A set that contains the piece dominates every other one
-    that does if whatever the other holds beside it could take the place of what
-    the set holds. So these are fixed: a piece with which nothing fits, alone; a
-    piece and one that fills the sequence; a piece with which at most one other
-    fits, and the longest that does; and, where at most two others fit, the longest
-    single piece if no fitting pair has more in total, or the pair that fills it
-    exactly. Stops at no piece: what no rule fixes is left for best fit.
+    that does if what the other holds beside it can be dealt to the places of what
+    the set holds beside it, several to a place if they fit there together: then, in
+    any packing with the other set, the two can change places, and no sequence more
+    is needed. So these are fixed: a piece with which nothing fits, alone; a piece
+    and one that fills the sequence (all else fits into its place); a piece with which
+    at most one other fits, and the longest that does; and, where at most two others
+    fit, the longest single piece if no fitting pair has more in total, or a pair that
+    fills the sequence and dominates every single piece and every pair (see
+    _dominating_pair). Stops at no piece: what no rule fixes is left for best fit.
     """
     fixed: list[tuple[tuple[int, ...], int]] = []
 
@@ -218,13 +221,14 @@ def reduce_by_dominance(left: Lengths, capacity: int) -> list[tuple[tuple[int, .
                 one = len(few) < 2 or sum(few[:2]) > room
                 two = not one and (len(few) < 3 or sum(few) > room)
                 pair = _best_pair(left, room) if best and two else None
+                wide = _dominating_pair(left, room) if pair and sum(pair) == room else None
                 left.put(a, 1)
                 times = best and (n // 2 if best == a else min(n, left.n[best]))
                 if best is None:
                     fix((a,), n)
                 elif best == room or one or pair and best >= sum(pair):
                     fix((a, best), times)
-                elif pair and sum(pair) == room:
+                elif pair and sum(pair) == room and (pair := wide):
                     items = (a, *pair)
                     fix(items, min(left.n[x] // items.count(x) for x in set(items)))
                 else:
@@ -233,6 +237,32 @@ def reduce_by_dominance(left: Lengths, capacity: int) -> list[tuple[tuple[int, .
     return fixed
 
 
+def _dominating_pair(left: Lengths, room: int) -> tuple[int, int] | None:
+    """Pieces p >= q that together fill room, and to whose places whatever one or two pieces fit into room can be dealt.
+
+    A single piece must fit into p. A pair x >= y fits piece by piece if y <= q (its x is at
+    most p then, as a single piece), and else must fit into p as a whole; for each y
+    the longest x that fits beside it tells.
+    """
+    longest = left.at_most(room)
+    for p in reversed(left.sorted[: bisect_left(left.sorted, room)]):
+        q = room - p
+        if p < q or p < longest:
+            break
+        if left.n.get(q, 0) < 1 + (p == q):
+            continue
+        for y in left.sorted[bisect_left(left.sorted, q + 1) :]:
+            if 2 * y > room:
+                return p, q
+            x = left.at_most(room - y)
+            if x > y or x == y and left.n[y] > 1:
+                if x + y > p:
+                    break
+        else:
+            return p, q
+    return None
+
+
 def _best_pair(left: Lengths, room: int) -> tuple[int, int] | None:
     """Two pieces that together fill most of room."""
     best = None

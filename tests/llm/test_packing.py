@@ -43,6 +43,23 @@ def test_reduction_keeps_the_optimum(seed):
     assert sum(n for _, n in fixed) + optimum(rest, capacity) == optimum(items, capacity)
 
 
+def test_reduction_keeps_the_optimum_where_pairs_fill():
+    """2,500 instances of 6 to 12 pieces about a third of a sequence long; the pair rule fires in hundreds of them."""
+    rng, fired = random.Random(7), 0
+    instances = [(20, [4, 4, 4, 5, 6, 6, 6, 10, 11, 12, 14, 16])]
+    for _ in range(2500):
+        capacity = rng.choice([12, 20, 30])
+        low = rng.choice([capacity // 5, capacity // 4, capacity // 3])
+        instances.append((capacity, [rng.randint(low, rng.choice([capacity // 2, capacity])) for _ in range(rng.randint(6, 12))]))
+    for capacity, items in instances:
+        left = packing.Lengths({x: items.count(x) for x in items})
+        fixed = packing.reduce_by_dominance(left, capacity)
+        rest = [x for x, n in left.n.items() for _ in range(n)]
+        assert sum(n for _, n in fixed) + optimum(rest, capacity) == optimum(items, capacity), (capacity, items)
+        fired += any(len(s) == 3 for s, _ in fixed)
+    assert fired > 200
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_plan_places_everything(seed):
     rng = random.Random(seed)
