@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terralign.llm.common import spare, written
+from terralign.llm.common import looked_up, spare, written
 
 
 def _lines(text: Column) -> Column:
@@ -19,17 +19,18 @@ def _measured(text: Column) -> Column:
     return F.filter(every, lambda x: x["w"] > 0)
 
 
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """The windows of documents (_key, _h, lines, n: words): _key, _h, x and y (hashes of the content), fp, place, prev, first, last.
+def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """The fingerprints of documents (_key, _h, lines, n: words): _key, _h, fp, at, windows.
 
     A window is the fewest lines that hold min_words from a line on, or up to a line.
     Every line of a run of min_words lies in such a window inside the run, whatever
     stands around it: the one from the line on, the one up to it, or the one from the
     run's first line on. So a line is in a run that stands elsewhere just when one of
-    its windows does. fp is the window's fingerprint, its least line hash, and place
-    a hash of where that line stands: whatever repeats a window repeats fp with it.
-    first and last are line numbers of the text, prev that of the line with words
-    before.
+    its windows does. Winnowing: each window selects its least line hash (the first of
+    equal ones), and the selected lines alone are fingerprints: fp, the hash, and at,
+    the line's number. windows has those that selected it: x and y (hashes of how many
+    lines stand before the fingerprint, of these, and of those after it), first and
+    last (line numbers of the text), and prev (of the line with words before first).
     """
     doc = W.partitionBy("_key", "_h")
     one = lines.select("_key", "_h", "n", F.posexplode("lines").alias("p", "l")).select("_key", "_h", "n", "p", F.col("l.i").alias("i"), F.col("l.h").alias("h"), F.col("l.w").cast("long").alias("w"))
@@ -41,28 +42,37 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
 
     def window(number: int, held: str, start: Column, prev: str, first: str, last: str) -> Column:
         least = F.array_min(held)
-        place = F.xxhash64("_key", "_h", start + F.array_position(held, least))
-        return F.struct(F.xxhash64(F.lit(number), held).alias("x"), F.hash(F.lit(number), held).alias("y"), least.alias("fp"), place.alias("place"), F.col(prev).alias("prev"), F.col(first).alias("first"), F.col(last).alias("last"))
+        place = F.array_position(held, least)
+        sides = F.lit(number), place, F.slice(held, F.lit(1), place - 1), F.slice(held, place + 1, F.size(held))
+        return F.struct(least.alias("fp"), (start + place - 1).alias("at"), F.struct(F.xxhash64(*sides).alias("x"), F.hash(*sides).alias("y"), F.col(prev).alias("prev"), F.col(first).alias("first"), F.col(last).alias("last")).alias("window"))
 
     onward, back = window(0, "ahead", F.col("p"), "prev", "i", "last"), window(1, "behind", F.col("p") + 1 - F.size("behind"), "prev0", "first", "i")
     both = F.array(F.when(F.col("n") - F.col("c") >= min_words, onward), F.when(F.col("e") >= min_words, back))
-    return told.select("_key", "_h", F.explode(both).alias("m")).where("m is not null").select("_key", "_h", "m.*")
+    told = told.select("_key", "_h", F.explode(both).alias("m")).where("m is not null").select("_key", "_h", "m.*")
+    # One row for each line that was selected: of the same document, so without a shuffle.
+    return told.groupBy("_key", "_h", "at").agg(F.first("fp").alias("fp"), F.collect_list("window").alias("windows"))
 
 
 def repeats(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """Runs of lines to delete: _key, _h (hash of the text), runs. Documents without any are left out.
 
-    Winnowing: every window selects its least line hash as a fingerprint. Places that
-    share a fingerprint are joined; each match is extended both ways to its whole
-    window, and windows whose content stands earlier are joined to runs.
+    Fingerprints that stand in one place only are done with. Where a fingerprint
+    stands again, its places are joined on it; they match as far as the lines before and
+    after it are the same, which the windows around them tell: those equal in fingerprint
+    and in both sides. Windows that stand earlier, merged where they touch, are
+    the maximal runs that go. Fingerprints and windows that hold many rows are not
+    brought together (see looked_up).
     """
     lines = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), _measured(F.col(text)).alias("lines"))
     lines = lines.withColumn("n", F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["w"])).where(F.col("n") >= min_words).dropDuplicates(["_key", "_h"])
-    marks = written(windows(lines, min_words))
-    shared = marks.groupBy("fp").agg(F.min("place").alias("_a"), F.max("place").alias("_b")).where("_a <> _b").select("fp")
-    marks = marks.join(shared, "fp", "left_semi")
-    first = marks.groupBy("x", "y").agg(F.min(F.struct("_key", "_h", "first")).alias("f"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = marks.join(first, ["x", "y"]).where(~F.struct("_key", "_h", "first").eqNullSafe(F.col("f"))).select("_key", "_h", "prev", "first", "last").distinct()
+    marks = written(fingerprints(lines, min_words))
+    shared = written(marks.groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1"))
+    met = looked_up(marks, shared, ["fp"], "_n").where("_n is not null")
+    met = written(met.select("_key", "_h", "fp", F.explode("windows").alias("m")).select("_key", "_h", "fp", "m.*"))
+    same = ["fp", "x", "y"]
+    first = written(met.groupBy(*same).agg(F.min(F.struct("_key", "_h", "first")).alias("f"), F.count("*").alias("_n")).where("_n > 1"))
+    later = looked_up(met, first, same, "_n").where(F.col("_n").isNotNull() & ~F.struct("_key", "_h", "first").eqNullSafe(F.col("f")))
+    later = later.select("_key", "_h", "prev", "first", "last").distinct()
     doc = W.partitionBy("_key", "_h").orderBy("first", "last")
     reached = F.max("last").over(doc.rowsBetween(W.unboundedPreceding, -1))
     goes_on = F.coalesce(F.col("prev") <= reached, F.lit(False)) | F.coalesce(F.col("first") <= reached, F.lit(False))
@@ -74,11 +84,11 @@ def repeats(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """docs with repeated runs of lines cut out of text, and n_lines, n_removed.
 
-    A run of whole lines with min_words words or more (lines compared trimmed, blank
-    ones skipped) goes where the same run stands earlier, by key and then by place;
-    its first place keeps it. Runs are found exactly, by fingerprints that no repeated
-    run is without, and windows (see there) of which each stands at its first place or goes. Blank lines inside what goes, go. Shorter
-    repeats stay. Null keys come first; a null text has no lines and stays null; an
+    A run of whole lines with min_words words or more (lines compared without blanks at
+    their ends, but with tabs and the like; blank ones skipped) goes where the same run
+    stands earlier, by key and then by place; its first place keeps it. Runs are found
+    exactly: no repeated run is without a fingerprint, and each window around it stands
+    at its first place or goes. Blank lines inside what goes, go. Shorter repeats stay. Null keys come first; a null text has no lines and stays null; an
     empty text stays; very long texts are whole; rows equal in key and text are one document, with one result
     for each; an empty table gives no rows; other columns pass through,
     those named n_lines or n_removed as _own_n_lines and _own_n_removed.

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from terralign.llm import linededup
 
@@ -114,3 +115,26 @@ def test_very_long_text(spark):
     docs = [(1, "\n".join(lines)), (2, "\n".join(["own words"] + lines[7000:7010] + ["others"])), (3, "y" * 500_000)]
     got = {r.doc_id: r for r in linededup.deduped(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[1].n_removed == 0 and got[2].text == "own words\nothers" and got[3].n_removed == 0
+
+
+def test_fingerprints_decide(spark, monkeypatch):
+    """Windows that differ in nothing but their fingerprint meet as soon as fingerprints are blanked; few lines are fingerprints."""
+    rng = random.Random(4)
+    docs = [(d, "\n".join(passage(rng, 120, 5))) for d in range(6)]
+    both = passage(rng, 10, 9)  # a window holds 6 lines
+    docs += [(10, "\n".join(both)), (11, "\n".join(both))]
+    lines = both[:6]
+    docs += [(20 + k, "\n".join([*lines[: k % 6], *passage(rng, 1, 9), *lines[k % 6 + 1 :]])) for k in range(90)]  # one line of the six is another
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    gone = {r.doc_id for r in linededup.deduped(df).where("n_removed > 0").collect()}
+    assert gone == {11}
+    real, seen = linededup.fingerprints, []
+
+    def blanked(lines, min_words):
+        out = real(lines, min_words)
+        seen.append(out.where("_key < 6").count() / 720)
+        return out.withColumn("fp", F.lit(0).cast("long"))
+
+    monkeypatch.setattr(linededup, "fingerprints", blanked)
+    assert {r.doc_id for r in linededup.deduped(df).where("n_removed > 0").collect()} > gone
+    assert seen[0] < 0.45  # of all lines; windows hold ten here
