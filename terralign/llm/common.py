@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from terralign.operators.lineage import checkpoint_folder
 from terralign.operators.lineage import cut as checkpointed
+from terralign.operators.lookup import looked_up
+
+__all__ = ["checkpointed", "components", "forget", "looked_up", "ranked", "spare", "written"]
 
 
 def spare(df: DataFrame, name: str) -> str:
@@ -48,25 +51,6 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Keys that looked_up() broadcasts at most.
-HOT = 4096
-
-
-def looked_up(df: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """df (a written table, or cheap to read twice) left-joined with table, whose keys are unique and whose column weight counts the rows of df that have them.
-
-    Keys that hold more than one in HOT of all counted rows (fewer than HOT of them, whatever the data) are
-    broadcast, so that their rows stay where they are; the others meet by shuffle.
-    Rows with a null key find nothing.
-    """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = table.where(F.col(weight) > max(total // HOT, 1000))
-    if not hot.limit(1).count():
-        return df.join(table, keys, "left")
-    cold = table.where(F.col(weight) <= max(total // HOT, 1000))
-    return df.join(F.broadcast(hot), keys).unionByName(df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left"))
-
-
 #: Edges that one task takes at least, in components().
 EDGES = 250_000
 
