@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terralign.operators import scan
 from terralign.operators.quantiles import quantiles
 
 
@@ -59,24 +59,27 @@ def energy(samples: DataFrame, phases: DataFrame, idle: str = "idle", trim: floa
 
 
 def busy(intervals: DataFrame, by: Sequence[str], lo: Column, hi: Column) -> DataFrame:
-    """Length of the union of intervals (start, stop) cut to [lo, hi], their sum, and how many lie wholly inside, by group.
+    """Length of the union of intervals (start, stop) cut to [lo, hi], their sum, the islands, and how many lie wholly inside, by group.
 
-    Gaps and islands: sorted by start, an interval opens an island where it starts
-    after everything before it has stopped.
+    Gaps and islands, as a scan over slices of any group: sorted by start, an interval
+    opens an island where it starts after everything before it has stopped, and adds
+    to the union what it reaches beyond that. Equal intervals are counted first. Intervals with
+    a null or NaN end, or of no length within [lo, hi], don't count.
     """
-    cut = intervals.withColumn("_whole", ((F.col("start") >= lo) & (F.col("stop") <= hi)).cast("int")).withColumn("_a", F.greatest("start", lo)).withColumn("_b", F.least("stop", hi)).where("_a < _b")
-    order = W.partitionBy(*by).orderBy("_a", "_b")
-    cut = cut.withColumn("_before", F.max("_b").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    whole = (F.col("start") >= lo) & (F.col("stop") <= hi)
+    clipped = intervals.where(~F.isnan("start") & ~F.isnan("stop")).select(*by, whole.cast("int").alias("_whole"), F.greatest("start", lo).alias("_a"), F.least("stop", hi).alias("_b")).where("_a < _b")
+    each = clipped.groupBy(*by, "_a", "_b").agg(F.count("*").alias("_n"), F.sum("_whole").alias("_whole"))
+    told = scan.scanned(each, by, ["_a", "_b"], {"_before": scan.greatest(F.col("_b"))})
     new = F.col("_before").isNull() | (F.col("_a") > F.col("_before"))
     length = F.when(new, F.col("_b") - F.col("_a")).otherwise(F.greatest(F.col("_b") - F.col("_before"), F.lit(0.0)))
-    return cut.groupBy(*by).agg(F.sum(length).alias("busy"), F.sum(F.col("_b") - F.col("_a")).alias("total"), F.sum(new.cast("long")).alias("n_islands"), F.sum("_whole").cast("long").alias("n_whole"))
+    return told.groupBy(*by).agg(F.sum(length).alias("busy"), F.sum((F.col("_b") - F.col("_a")) * F.col("_n")).alias("total"), F.sum(new.cast("long")).alias("n_islands"), F.sum("_whole").cast("long").alias("n_whole"))
 
 
 def previous_config(totals: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
-    """Each configuration against the one before and the first: diff, speedup."""
-    w = W.partitionBy(*by).orderBy(order)
-    first = F.first_value(value).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return totals.withColumn("previous", F.lag(value).over(w)).withColumn("diff", F.col(value) - F.col("previous")).withColumn("speedup", first / F.col(value))
+    """Each configuration against the one before and the first: diff, speedup (null where value is 0). order tells the rows of a group apart."""
+    at = [F.col(order)]
+    told = scan.scanned(totals, by, [order], {"previous": scan.previous(F.col(value), at), "_first": scan.first(F.col(value), at)})
+    return told.withColumn("diff", F.col(value) - F.col("previous")).withColumn("speedup", F.try_divide("_first", value)).drop("_first")
 
 
 def near_optimal(rows: DataFrame, by: Sequence[str], cost: str, memory: str, within: float = 0.05) -> DataFrame:
@@ -88,16 +91,16 @@ def near_optimal(rows: DataFrame, by: Sequence[str], cost: str, memory: str, wit
 
 
 def filled_forward(rows: DataFrame, by: Sequence[str], order: str, group: str) -> DataFrame:
-    """group of each row, or of the last row before that has one."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(group, F.last(group, ignorenulls=True).over(w))
+    """group of each row, or of the last row before that has one. order tells the rows of by apart."""
+    told = scan.scanned(rows, by, [order], {"_filled": scan.latest(F.col(group), [F.col(order)])})
+    return told.withColumn(group, F.col("_filled")).select(*rows.columns)
 
 
 def until_threshold(rows: DataFrame, by: Sequence[str], gain: str, key: str, threshold: float) -> DataFrame:
-    """Rows by gain, largest first, until their sum reaches threshold: what a greedy choice takes."""
-    w = W.partitionBy(*by).orderBy(F.desc(gain), key)
-    summed = rows.withColumn("rank", F.row_number().over(w)).withColumn("before", F.coalesce(F.sum(gain).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    return summed.where(F.col("before") < threshold)
+    """Rows by gain, largest first, until their sum reaches threshold: what a greedy choice takes. Equal gains in order of key."""
+    values = {"rank": scan.total(F.lit(1).cast("long"), F.lit(0).cast("long")), "before": scan.total(F.col(gain), F.lit(0.0))}
+    told = scan.scanned(rows, by, [F.desc(gain), F.asc(key)], values)
+    return told.withColumn("rank", (F.col("rank") + 1).cast("int")).where(F.col("before") < threshold)
 
 
 def pairwise(rows: DataFrame, by: Sequence[str], key: str, value: str) -> DataFrame:
