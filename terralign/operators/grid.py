@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from terralign.contract import Contract
 from terralign.functions.raster import valid_pixel
+from terralign.operators.tiles import dense, tiled
 
 
 def band_stats(raster: DataFrame) -> DataFrame:
@@ -33,21 +38,42 @@ def masked(raster: DataFrame, contract: Contract) -> DataFrame:
     return raster.where(valid_pixel(F.col("spectrum"), contract))
 
 
-def patches(raster: DataFrame, centres: DataFrame, bands: int, size: int = 3) -> DataFrame:
+def patches(raster: DataFrame, centres: DataFrame, bands: int, size: int = 3, side: int = 32) -> DataFrame:
     """Square patches around pixels (scene, row, col): patch, flat in (band, row, column) order, 0 outside the grid.
 
-    raster should be standardized first, so that what is filled in is the band mean.
-    Each pixel is sent to the centres that can see it: one equi-join, one grouping.
+    raster (one row per pixel) should be standardized first, so that what is filled in
+    is the band mean. Pixels and centres meet in tiles of side pixels: a centre goes to
+    its own tile and a pixel also to the tiles that it borders on, so a spectrum is moved
+    once and (2 size / side of them) again. A tile becomes one dense block, of which the
+    patches are windows. Null spectra and bands count as 0. Repeated centres give one
+    patch; a centre of whose patch no pixel exists, or with a null place, gives none.
     """
     if size % 2 == 0:
         raise ValueError("a patch has an odd size")
     h = size // 2
-    offsets = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in range(-h, h + 1) for dc in range(-h, h + 1)))
-    wanted = centres.select("scene", "row", "col").withColumn("o", F.explode(offsets)).select("scene", F.col("row").alias("r0"), F.col("col").alias("c0"), (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), ((F.col("o.dr") + h) * size + F.col("o.dc") + h).alias("slot"))
-    seen = wanted.join(raster.select("scene", "row", "col", "spectrum"), ["scene", "row", "col"])
-    cells = seen.groupBy("scene", "r0", "c0").agg(F.map_from_entries(F.collect_list(F.struct("slot", "spectrum"))).alias("m"))
-    flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda s: F.coalesce(F.get(F.try_element_at("m", s), b).cast("double"), F.lit(0.0)))))
-    return cells.select("scene", F.col("r0").alias("row"), F.col("c0").alias("col"), flat.alias("patch"))
+    schema = StructType([*(StructField(c, centres.schema[c].dataType) for c in ("scene", "row", "col")), StructField("patch", ArrayType(DoubleType()))])
+
+    def cut(key: tuple, pixels: pa.Table, wanted: pa.Table) -> pa.Table:
+        empty = pa.Table.from_arrays([wanted.column(c).slice(0, 0) for c in ("scene", "row", "col")] + [pa.array([], pa.list_(pa.float64()))], names=schema.names)
+        if not pixels.num_rows or not wanted.num_rows:
+            return empty
+        top, left = key[1].as_py() * side - h, key[2].as_py() * side - h
+        block, there = np.zeros((side + 2 * h, side + 2 * h, bands)), np.zeros((side + 2 * h, side + 2 * h), bool)
+        r, c = (pixels.column(n).to_numpy() - o for n, o in (("row", top), ("col", left)))
+        there[r, c] = True
+        block[r, c] = dense(pixels.column("spectrum"), bands, 0.0)
+        own = wanted.group_by(["scene", "row", "col"], use_threads=False).aggregate([])
+        at = tuple(own.column(n).to_numpy() - o - h for n, o in (("row", top), ("col", left)))
+        seen = np.flatnonzero(sliding_window_view(there, (size, size))[at].any(axis=(1, 2)))
+        flat = sliding_window_view(block, (size, size), axis=(0, 1))[at[0][seen], at[1][seen]].reshape(len(seen), -1)
+        made = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+        own = own.take(pa.array(seen))
+        return pa.Table.from_arrays([*(own.column(c) for c in ("scene", "row", "col")), made], names=schema.names)
+
+    pixels = tiled(raster.select("scene", "row", "col", "spectrum"), side, h)
+    wanted = tiled(centres.select("scene", "row", "col"), side, 0)
+    wanted = wanted.toDF(*wanted.columns)  # columns of its own, where both come from one raster
+    return pixels.groupBy("scene", "_tr", "_tc").cogroup(wanted.groupBy("scene", "_tr", "_tc")).applyInArrow(cut, schema)
 
 
 def standardized_patches(raster: DataFrame, contract: Contract, bands: int) -> DataFrame:

@@ -43,6 +43,29 @@ def test_standardized_patches_match_numpy(spark, seed):
         grid.patches(None, None, 5, 4)
 
 
+@pytest.mark.parametrize("size,side", [(3, 4), (5, 32), (3, 2)])
+def test_patches_across_tiles(spark, size, side):
+    """Several scenes, holes, negative places, null spectra and bands, repeated centres, centres beside and off the grid."""
+    rng, h = np.random.default_rng(size), size // 2
+    cells = {(s, r, c): rng.standard_normal(3).tolist() for s in "ab" for r in range(-3, 9) for c in range(7) if rng.random() < 0.8}
+    cells[("a", 0, 0)], cells[("a", 1, 1)] = None, [1.0, None, 2.0]
+    centres = [(s, r, c) for s, r, c in cells if rng.random() < 0.5] * 2 + [("a", 9, 3), ("a", 40, 40), ("z", 0, 0), (None, 0, 0), ("b", None, 1)]
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], RASTER).repartition(3)
+    got = {(r.scene, r.row, r.col): list(r.patch) for r in grid.patches(df, spark.createDataFrame(centres, "scene string, row int, col int"), 3, size, side).collect()}
+    want = {}
+    for s, r, c in set(centres):
+        if None not in (s, r, c) and (near := [(s, r + a, c + b) for a in range(-h, h + 1) for b in range(-h, h + 1)]) and any(k in cells for k in near):
+            want[s, r, c] = [((cells.get(k) or [0.0] * 3)[band] or 0.0) for band in range(3) for k in near]
+    assert got == want
+
+
+def test_patches_move_a_spectrum_about_once(spark):
+    raster_ = spark.range(96 * 96).select(F.lit("s").alias("scene"), F.expr("cast(id div 96 as int)").alias("row"), F.expr("cast(id % 96 as int)").alias("col"))
+    from terralign.operators.tiles import tiled
+
+    assert tiled(raster_, 32, 1).count() <= 1.15 * 96 * 96 and tiled(raster_, 64, 1).count() <= 1.3 * 96 * 96
+
+
 def test_affine_floor_and_errors(spark):
     df = spark.createDataFrame([(-0.5, -0.5), (3.0, 0.0), (0.0, 9.99)], "x double, y double")
     row, col = raster.pixel((0, 1, 0, 10, 0, -1), F.col("x"), F.col("y"))
