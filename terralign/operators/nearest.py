@@ -2,69 +2,170 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terralign.operators.lineage import cut
+from terralign.operators.scan import dealt_out
 
 
 def bounding_box(points: DataFrame) -> DataFrame:
     return points.agg(*(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))))
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, per_cell: int | None = None, last: bool = False) -> DataFrame:
+#: Points of a slice, about, and slices at most.
+SLICE, SLICES = 20_000, 8192
+#: Points of a block within a slice.
+BLOCK = 32
+FOUND = "id long, rank int, nbr long, d2 double, dx double, dy double, dz double"
+
+
+def _curve(box: dict) -> Column:
+    """The place of (x, y, z) along a Z-order curve through the box: 20 bits an axis, interleaved."""
+
+    def spread(v: Column) -> Column:
+        for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    code = F.lit(0).cast("long")
+    for i, c in enumerate("xyz"):
+        low, span = box[f"min_{c}"], max(box[f"max_{c}"] - box[f"min_{c}"], 1e-300)
+        unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c) - low) / span))
+        code = code.bitwiseOR(F.shiftleft(spread(F.floor(unit * ((1 << 20) - 1)).cast("long")), i))
+    return code
+
+
+def _gap(lows: np.ndarray, highs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Square of the distance from a place to each box: no more than that to any point in it, in floating point too."""
+    d = np.maximum(np.maximum(lows - at, at - highs), 0.0)
+    return d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+
+
+class Blocks:
+    """Points of a slice, in blocks with bounding boxes."""
+
+    def __init__(self, ids: np.ndarray, xyz: np.ndarray):
+        self.ids, self.xyz = ids, xyz
+        self.first = np.arange(0, len(ids), BLOCK)
+        self.lows, self.highs = np.minimum.reduceat(xyz, self.first), np.maximum.reduceat(xyz, self.first)
+        self.examined = 0
+
+    def nearest(self, own: int, at: np.ndarray, k: int, sign: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places and d2 of the k nearest within most: from the blocks next to it first, then from all that can hold a nearer one."""
+        gap = _gap(self.lows, self.highs, at)
+        few = min(len(gap), k // BLOCK + 2)
+        blocks = np.argpartition(gap, few - 1)[:few]
+        while True:
+            places = (self.first[blocks][:, None] + np.arange(BLOCK)).ravel()
+            places = places[places < len(self.ids)]
+            places = places[self.ids[places] != own]
+            d = self.xyz[places] - at
+            d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+            self.examined += len(places)
+            if len(blocks) == len(gap) or few < 0:
+                break
+            within = min(most, np.partition(d2, k - 1)[k - 1]) if len(d2) >= k else most
+            blocks, few = np.flatnonzero(gap <= within), -1
+            if not len(blocks):
+                return blocks, np.zeros(0)
+        near = np.flatnonzero(d2 <= most)
+        near = near[np.lexsort((sign * self.ids[places[near]], d2[near]))[:k]]
+        return places[near], d2[near]
+
+
+def _in_slices(visits: DataFrame, dealt: DataFrame, k: int, sign: int) -> DataFrame:
+    """The k nearest of each visit (slice, id, x, y, z, most) in the slice's points (_slice, nbr, x, y, z, _code): FOUND. Visits of a slice that many make are cut into parts, each with its points."""
+    schema = pa.schema([("id", pa.int64()), ("rank", pa.int32()), ("nbr", pa.int64()), *((c, pa.float64()) for c in ("d2", "dx", "dy", "dz"))])
+
+    def search(points: pa.Table, asked: pa.Table) -> pa.Table:
+        made: list[list[np.ndarray]] = [[] for _ in schema]
+        if points.num_rows and asked.num_rows:
+            points = points.sort_by([("_code", "ascending"), ("nbr", "ascending")])
+            xyz = np.stack([points.column(c).to_numpy() for c in "xyz"], axis=1)
+            blocks = Blocks(points.column("nbr").to_numpy(), xyz)
+            for own, most, *at in zip(*(asked.column(c).to_numpy() for c in ("id", "most", "x", "y", "z")), strict=True):
+                place = np.array(at)
+                near, d2 = blocks.nearest(own, place, k, sign, most)
+                d = xyz[near] - place
+                for out, x in zip(made, (np.full(len(near), own), np.arange(1, len(near) + 1), blocks.ids[near], d2, d[:, 0], d[:, 1], d[:, 2]), strict=True):
+                    out.append(x)
+        return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else [], f.type) for x, f in zip(made, schema, strict=True)], schema=schema)
+
+    parts = visits.groupBy(F.col("_slice").alias("_of")).agg(F.ceil(F.count("*") / SLICE).alias("_parts"))
+    numbered = visits.join(parts, F.col("_slice") == F.col("_of")).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts"))).drop("_of", "_parts")
+    held = dealt.join(parts, F.col("_slice") == F.col("_of")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_of", "_parts")
+    return held.groupBy("_slice", "_part").cogroup(numbered.toDF(*numbered.columns).groupBy("_slice", "_part")).applyInArrow(search, FOUND)
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int, last: bool = False) -> DataFrame:
     """The k nearest of points (id, x, y, z) to each of queries (id, ...), itself aside: id, rank from 1, nbr, d2, dx, dy, dz.
 
-    Ordered by (d2, nbr), or with last by d2 and nbr from the largest. The query is
-    left out by its id, so duplicates stay. Points lie in cubic cells; a query looks
-    at its own cell and the 26 around it, and is done when its k-th distance is no
-    more than a cell's side, else it looks again among cells twice as wide. So a far
-    outlier makes 27 rows a round and not all cells on its way. Each round is one
-    equi-join on the cell, and keeps k rows a query.
+    Ordered by (d2, nbr), or with last by d2 and nbr from the largest. The query is left
+    out by its id, so duplicates stay. Points with a null, NaN or infinite coordinate or a
+    null id are nobody's neighbours, and such queries have none. Ids of points are
+    unique, and so are ids of queries (but repeated rows are one query).
+
+    Points are dealt to slices by ranges of a Z-order curve, so a slice holds as many
+    points where they are dense as where they are sparse; of points in one place, only k
+    + 1 can be neighbours of one query, and more are left out. Each query visits its own
+    slice first. The distance of its k-th neighbour there bounds the rest: then it visits
+    the slices whose bounding boxes reach into that ball, with the bound. The boxes (at
+    most SLICES) are broadcast. What moves is a point once or twice and a query for each visit.
     """
-    box = bounding_box(points.where("x is not null and y is not null and z is not null")).first()
-    n = points.count()
-    schema = "id long, rank int, nbr long, d2 double, dx double, dy double, dz double"
-    spark = points.sparkSession
-    if not n or box["min_x"] is None:
-        return spark.createDataFrame([], schema)
-    span = queries.agg(*(f(c).alias(f"{m}_{c}") for c in "xyz" for m, f in (("min", F.min), ("max", F.max)))).first()
-    spans = [max(box[f"max_{c}"] - box[f"min_{c}"], 1e-9) for c in "xyz"]
-    reach = max(max(box[f"max_{c}"], span[f"max_{c}"] or 0) - min(box[f"min_{c}"], span[f"min_{c}"] or 0) for c in "xyz")
-    used = [s for s in spans if s > 1e-6 * max(spans)]
-    side = max((math.prod(used) * (per_cell or k) / n) ** (1 / len(used)), 1e-9)
-    order = ["d2", F.desc("nbr") if last else F.asc("nbr")]
-    left, done = queries.select("id", "x", "y", "z"), []
-    while True:
-        whole = side > reach
-        cell = lambda c, d=0, w=side: (F.floor((F.col(c) - box[f"min_{c}"]) / w) + d).cast("long")
-        held = points.select(F.col("id").alias("nbr"), *(F.col(c).alias(f"p{c}") for c in "xyz"), *(cell(c).alias(f"c{c}") for c in "xyz"))
-        around = left
-        for c in "xyz":
-            around = around.withColumn(f"c{c}", F.explode(F.sequence(cell(c, -1), cell(c, 1))))
-        met = around.join(held, ["cx", "cy", "cz"]).where("id <> nbr").select("id", "nbr", *((F.col(f"p{c}") - F.col(c)).alias(f"d{c}") for c in "xyz"))
-        met = met.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
-        ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("rank") <= k)
-        if whole:
-            done.append(ranked)
-            break
-        of = W.partitionBy("id")
-        ranked = ranked.withColumn("_n", F.count("*").over(of)).withColumn("_d", F.max("d2").over(of))
-        sure = cut(ranked.where((F.col("_n") == k) & (F.sqrt("_d") <= side)).drop("_n", "_d"))
-        done.append(sure)
-        left = cut(left.join(sure.select("id").distinct(), "id", "left_anti"))
-        if left.isEmpty():
-            break
-        side *= 2
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("id", "rank", "nbr", "d2", "dx", "dy", "dz")
+    finite = lambda d: d.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xyz") + " and id is not null")
+    place = [F.col(c).cast("double").alias(c) for c in "xyz"]
+    spark, sign = points.sparkSession, -1 if last else 1
+    asked = finite(queries.select(F.col("id").cast("long").alias("id"), *place))
+    order = F.desc("nbr") if last else F.asc("nbr")
+    some = finite(points.select(F.col("id").cast("long").alias("id"), *place)).withColumnRenamed("id", "nbr")
+    some = some.withColumn("_n", F.row_number().over(W.partitionBy("x", "y", "z").orderBy(order))).where(F.col("_n") <= k + 1).drop("_n")
+    told = points.agg(*(f(F.when((F.abs(c) < float("inf")), F.col(c).cast("double"))).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))), F.count("*").alias("n")).first()
+    if told["min_x"] is None or told["min_y"] is None or told["min_z"] is None:
+        return spark.createDataFrame([], FOUND)
+    n = min(SLICES, -(-told["n"] // max(SLICE, 4 * k)))
+    dealt = dealt_out(some.withColumn("_code", _curve(told)), [], ["_code", "nbr"], n)
+    edges = [*(f(c).alias(f"{m}_{c}") for m, f in (("min", F.min), ("max", F.max)) for c in "xyz"), F.min("_code").alias("first")]
+    boxes = dealt.groupBy("_slice").agg(*edges).orderBy("_slice").collect()  # at most SLICES
+    if not boxes:
+        return spark.createDataFrame([], FOUND)
+    shared = spark.sparkContext.broadcast(([r["_slice"] for r in boxes], np.array([r["first"] for r in boxes]), *(np.array([[r[f"{m}_{c}"] for c in "xyz"] for r in boxes]) for m in ("min", "max"))))
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices, first, _, _ = shared.value
+        for batch in batches:
+            at = np.maximum(np.searchsorted(first, batch.column("_code").to_numpy(), side="right") - 1, 0)
+            columns = [batch.column(c) for c in ("id", "x", "y", "z")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(batch.num_rows, np.inf)), pa.array(np.array(slices, np.int32)[at])], names=["id", "x", "y", "z", "most", "_slice"])
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices, _, lows, highs = shared.value
+        for batch in batches:
+            ids, most, own = (batch.column(c).to_numpy() for c in ("id", "most", "_slice"))
+            xyz = np.stack([batch.column(c).to_numpy() for c in "xyz"], axis=1)
+            rows, to = [], []
+            for i in range(len(ids)):
+                reached = np.flatnonzero(_gap(lows, highs, xyz[i]) <= most[i])
+                reached = reached[np.array(slices)[reached] != own[i]]
+                rows.append(np.full(len(reached), i))
+                to.append(reached)
+            rows, to = np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, int), *to])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), *(pa.array(xyz[rows, c]) for c in range(3)), pa.array(most[rows]), pa.array(np.array(slices, np.int32)[to])], names=["id", "x", "y", "z", "most", "_slice"])
+
+    visit = "id long, x double, y double, z double, most double, _slice int"
+    first = cut(asked.distinct().withColumn("_code", _curve(told)).mapInArrow(home, visit))
+    near = cut(_in_slices(first, dealt, k, sign))
+    bound = near.where(F.col("rank") == k).groupBy("id").agg(F.max("d2").alias("_bound"))
+    reach = first.join(bound, "id", "left").withColumn("most", F.coalesce("_bound", "most")).select(*first.columns)
+    more = _in_slices(cut(reach.mapInArrow(beyond, visit)), dealt, k, sign)
+    both = near.unionByName(more).withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d2", order)))
+    return both.where(F.col("rank") <= k).select("id", "rank", "nbr", "d2", "dx", "dy", "dz")
 
 
 def neighbour_offsets(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:

@@ -53,8 +53,9 @@ def gate(report: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def near_ties(differing: DataFrame, margin: DataFrame, tolerance: float) -> DataFrame:
-    """Whether every differing match (id) has a margin (id, margin) below 3 tolerances: n, n_near, all_near (true of none)."""
-    both = differing.select("id").join(margin, "id", "left")
+    """Whether every differing match (id) has a margin (id, margin) below 3 tolerances: n, n_near, all_near (true of none). By scene too, where both name one."""
+    keys = ["id", "scene"] if "scene" in differing.columns and "scene" in margin.columns else ["id"]
+    both = differing.select(*keys).join(margin, keys, "left")
     near = F.coalesce(F.col("margin") < 3 * tolerance, F.lit(False))
     return both.agg(F.count("*").alias("n"), F.count_if(near).alias("n_near"), F.coalesce(F.bool_and(near), F.lit(True)).alias("all_near"))
 

@@ -108,6 +108,39 @@ def test_window_match_equals_brute_force(spark, seed):
         assert got[i] == (min(near)[1] if near else None)
 
 
+def test_tiles_match_as_columns_do(spark, monkeypatch):
+    """Tile products give what the joined pairs give: several tiles and scenes, equal ids in two scenes, ties, odd vectors and places."""
+    monkeypatch.setattr(match, "SIDE", 6)
+    rng = np.random.default_rng(9)
+    pixels = [(s, r, c, rng.integers(-2, 3, 4).astype(float).tolist()) for s in "ab" for r in range(-4, 14) for c in range(11) if rng.random() < 0.7]
+    pixels += [("a", 20, 20, None), ("a", 20, 21, [1.0, None, 1.0, 1.0]), ("a", 20, 22, [1.0]), ("a", 21, 21, [math.nan] * 4)]
+    points = [(i, s, int(r), int(c), rng.integers(-2, 3, 4).astype(float).tolist()) for s in "ab" for i, (r, c) in enumerate(rng.integers(-6, 16, (60, 2)))]
+    points += [(900, "a", 20, 21, [1.0] * 4), (901, "a", 0, 0, None), (902, None, 0, 0, [1.0] * 4), (903, "a", None, 0, [1.0] * 4), (904, "c", 0, 0, [1.0] * 4)]
+    q = spark.createDataFrame(points, "id int, scene string, row int, col int, v array<double>").repartition(3)
+    p = spark.createDataFrame(pixels, "scene string, row int, col int, v array<double>")
+    scores = {"a": match.cosine_score, "b": match.penalized_score(0.3, 2)}
+    for own in (True, False):
+        fast = match.window_match(q, p, 2, scores, own).select("id", "scene", "a", "b")
+        joined = match.window_match(q, p, 2, scores | {"c": lambda k, d: F.lit(1.0)}, own).select("id", "scene", "a", "b")
+        assert sorted(map(str, fast.collect())) == sorted(map(str, joined.collect()))
+        assert fast.count() == len(points) and fast.where("a is not null").count() > 60
+    two = match.candidates(q, p, 2).where("cosine is not null and not isnan(cosine)").groupBy("scene", "id").agg(F.sort_array(F.collect_list("cosine"), False).alias("s"))
+    want = {(r.scene, r.id): list(r.s) for r in two.collect()}
+    for r in match.match_margin(q, p, 2).collect():
+        s = want.get((r.scene, r.id), [])
+        assert (r.top1, r.top2) == ((s + [None, None])[0], (s + [None, None])[1]) and r.margin == (s[0] - s[1] if len(s) > 1 else None)
+
+
+def test_spectrum_errors_of_two_scenes(spark):
+    """The same ids and places in two scenes: one error a point, of its own scene."""
+    pixels = [(s, 0, c, [float(c + k), 1.0]) for k, s in ((0, "a"), (10, "b")) for c in range(3)]
+    p = spark.createDataFrame(pixels, "scene string, row int, col int, spectrum array<double>").withColumn("v", F.col("spectrum"))
+    q = p.where("col = 1").withColumn("id", F.lit(7))
+    found = match.window_match(q, p, 1, {"best": match.cosine_score}, own=False)
+    got = sorted((r.scene, r.id, r.error) for r in match.spectrum_errors(found, "best", p, q).collect())
+    assert got == [("a", 7, 1.0), ("b", 7, 1.0)]
+
+
 @pytest.mark.parametrize("shape", ["grid", "random", "flat", "far"])
 def test_knn_equals_brute_force(spark, shape):
     rng = np.random.default_rng(1)
@@ -122,6 +155,50 @@ def test_knn_equals_brute_force(spark, shape):
         assert [n for _, n in sorted(got[i])] == [j for _, j in order]
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_knn_in_many_slices(spark, monkeypatch, last):
+    """Dense and sparse places, far points, duplicates beyond a slice, odd coordinates: as by brute force, whatever the slices."""
+    monkeypatch.setattr(nearest, "SLICE", 40)
+    rng = np.random.default_rng(4)
+    xyz = np.r_[rng.standard_normal((300, 3)) * 1e-3, rng.standard_normal((200, 3)), rng.standard_normal((20, 3)) * 1e6, np.tile([5.0, 5.0, 5.0], (150, 1)), rng.integers(0, 3, (80, 3))].astype(float)
+    rows = [(i, *map(float, p)) for i, p in enumerate(xyz)]
+    odd = [(10_000, math.nan, 0.0, 0.0), (10_001, None, 0.0, 0.0), (10_002, 0.0, math.inf, 0.0), (None, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows + odd, "id long, x double, y double, z double").repartition(3)
+    asked = df.where("id % 5 = 0 or id >= 10000").unionAll(spark.createDataFrame([(20_000, 1e9, -1e9, 0.0)], df.schema))
+    got = {}
+    for r in nearest.knn(asked, df, 6, last).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.nbr, r.d2))
+    assert set(got) == {*range(0, len(xyz), 5), 20_000}
+    for i, found in got.items():
+        d = xyz - (xyz[i] if i < 20_000 else np.array([1e9, -1e9, 0.0]))
+        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+        want = sorted((v, -j if last else j) for j, v in enumerate(d2) if j != i)[:6]
+        assert [(n, v) for _, n, v in sorted(found)] == [(abs(j), v) for v, j in want]
+
+
+def test_knn_looks_at_few_points(spark, monkeypatch):
+    """10^5 points of which half lie in a thousandth of the space: a query visits few slices and compares few points."""
+    monkeypatch.setattr(nearest, "SLICE", 2000)
+    rng = np.random.default_rng(5)
+    xyz = np.r_[rng.random((50_000, 3)), 0.3 + 0.01 * rng.random((50_000, 3))]
+    blocks = nearest.Blocks(np.arange(3000), xyz[-3000:][np.lexsort(xyz[-3000:].T)])
+    df = spark.createDataFrame(np.c_[np.arange(len(xyz)), xyz].tolist(), "id double, x double, y double, z double").withColumn("id", F.col("id").cast("long"))
+    real, rows = nearest._in_slices, []
+
+    def counted(visits, dealt, k, sign):
+        rows.append(visits.count())
+        return real(visits, dealt, k, sign)
+
+    monkeypatch.setattr(nearest, "_in_slices", counted)
+    asked = df.where("id % 50 = 0")
+    assert nearest.knn(asked, df, 15).groupBy("id").count().where("count = 15").count() == 2000
+    assert rows[0] == 2000 and sum(rows) < 10 * 2000  # of 50 slices
+    order = np.lexsort(np.floor(blocks.xyz * 3000).T)
+    near = nearest.Blocks(blocks.ids[order], blocks.xyz[order])
+    near.nearest(7, near.xyz[1500], 15, 1, np.inf)
+    assert near.examined < 3000
+
+
 def test_offsets_pad_and_keep_duplicates(spark):
     schema = "id long, x double, y double, z double"
     lone = spark.createDataFrame([(7, 1.0, 2.0, 3.0)], schema)
