@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terralign.operators.lineage import cut
 from terralign.operators.scan import dealt_out
+from terralign.operators.tiles import dense
 
 
 def bounding_box(points: DataFrame) -> DataFrame:
@@ -207,33 +209,147 @@ def tie_census(neighbours: DataFrame, k: int, other: DataFrame | None = None) ->
     return both.agg(*counts, changed(F.array_sort).alias("n_set_changed"), changed(lambda c: c).alias("n_order_changed"))
 
 
-def all_pairs_top(queries: DataFrame, base: DataFrame, k: int, block: int = 2048, metric: str = "dot") -> DataFrame:
-    """The k best of base (id, v) for each of queries (id, v), itself aside: id, rank, other, score. metric: dot, or linf (negated).
+#: Vectors that serve as pivots, at most, and of the sample that they are chosen from.
+PIVOTS, SAMPLE = 1024, 4096
+TOP = "id long, other long, score double"
+
+
+def _distance(rows: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
+    """From each row to each pivot: Euclidean for dot, else the largest difference of a component."""
+    if metric == "dot":
+        square = (rows**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * rows @ pivots.T
+        return np.sqrt(np.maximum(square, 0.0))
+    return np.stack([np.abs(rows - p).max(axis=1) for p in pivots], axis=1)
+
+
+def _bound(rows: np.ndarray, pivots: np.ndarray, radius: np.ndarray, metric: str) -> np.ndarray:
+    """The highest score that a vector of each pivot's cell can have with each row, with some room for rounding."""
+    if metric == "dot":  # x.v = x.p + x.(v - p), and that is at most |x| times the radius
+        size = np.sqrt((rows**2).sum(axis=1))
+        best = rows @ pivots.T + size[:, None] * radius[None, :]
+        return best + 1e-7 * (1 + size[:, None] * (radius + np.sqrt((pivots**2).sum(axis=1)))[None, :])
+    gap = _distance(rows, pivots, metric)
+    return radius[None, :] - gap + 1e-9 * (1 + gap)
+
+
+def _spread(sample: np.ndarray, most: int, metric: str) -> np.ndarray:
+    """At most so many rows of a sample, each the one farthest from those taken before, so that no cluster of it is without one."""
+    away, taken = np.full(len(sample), np.inf), []
+    while len(taken) < most:
+        at = int(away.argmax())
+        if away[at] == 0:
+            break
+        taken.append(at)
+        away = np.minimum(away, _distance(sample, sample[at : at + 1], metric)[:, 0])
+        away[at] = 0
+    return sample[taken]
 
-    Both sides are cut into blocks; every pair of blocks is one task of matrix
-    arithmetic that keeps k rows a query, and the lists of k are merged. So no task
-    holds more than two blocks, and no pair is written out.
+
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    return dense(column, width, np.nan)
+
+
+def all_pairs_top(queries: DataFrame, base: DataFrame, k: int, block: int = 2048, metric: str = "dot") -> DataFrame:
+    """The k best of base (id, v) for each of queries (id, v), itself aside: id, rank, other, score. metric: dot, or linf (negated). Equal scores in order of other.
+
+    At most PIVOTS vectors of a sample of base, far from each other, are pivots; every
+    vector joins the nearest one's cell, and a cell is known by its radius. The score that a cell can have with a query is
+    bounded by its pivot and radius. Each query first visits one part of its best cell; the
+    k-th score found there is a floor, and then it visits only cells whose bound reaches
+    it. Cells are stored in parts of about block vectors, and visits of a part are cut
+    into groups of about block queries, so a task holds two blocks and does matrix
+    arithmetic. Written are base once (and again for each further group of visits), and
+    a query for each visit: near-right-angled vectors, which nothing bounds, meet all
+    with all.
+
+    Ids are unique on either side. Null vectors, and those with a null, NaN or infinite
+    component or of another length than most of the sample, have no score with any.
     """
-    nq, nb = (-(-max(d.count(), 1) // block) for d in (queries, base))
-    q = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nq)).alias("i"), F.lit(True).alias("is_q")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("j", F.col("j").cast("long"))
-    b = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nb)).alias("j"), F.lit(False).alias("is_q")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("i", F.col("i").cast("long"))
-
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = frame[frame.is_q], frame[~frame.is_q]
-        out = []
-        if len(x) and len(y):
-            y = y.sort_values("id")
-            a, c = (np.stack([np.asarray(v, float) for v in d.v]) for d in (x, y))
-            ids = y.id.to_numpy()
-            for lo in range(0, len(x), 256):
-                part, own = a[lo : lo + 256], x.id.to_numpy()[lo : lo + 256]
-                score = part @ c.T if metric == "dot" else -np.stack([np.abs(c - r).max(axis=1) for r in part])
-                score[own[:, None] == ids[None, :]] = -np.inf
+    spark = base.sparkSession
+    own = base.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    n = own.count()
+    # the least hashes: a sample that doesn't depend on partitions
+    taken = own.where(F.size("v") > 0).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    taken = [r["v"] for r in taken if None not in r["v"] and np.isfinite(r["v"]).all()]
+    if not taken:
+        return spark.createDataFrame([], "id long, rank int, other long, score double")
+    width = Counter(map(len, taken)).most_common(1)[0][0]
+    pivots = _spread(np.array([v for v in taken if len(v) == width], float), max(1, min(PIVOTS, int(2 * n**0.5))), metric)
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _vectors(batch.column(1), width)
+            whole = np.flatnonzero(np.isfinite(v).all(axis=1) & (pc.list_value_length(batch.column(1)).to_numpy() == width))
+            away = _distance(v[whole], shared.value, metric)
+            cell = away.argmin(axis=1) if len(whole) else np.zeros(0, np.int64)
+            kept = batch.take(pa.array(whole))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell.astype(np.int32)), pa.array(away[np.arange(len(whole)), cell])], names=["id", "v", "cell", "away"])
+
+    dealt = cut(own.mapInArrow(celled, "id long, v array<double>, cell int, away double"))
+    cells = dealt.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).orderBy("cell").collect()  # at most PIVOTS
+    if not cells:
+        return spark.createDataFrame([], "id long, rank int, other long, score double")
+    numbers, sizes = np.array([r["cell"] for r in cells]), np.array([r["n"] for r in cells])
+    parts = -(-sizes // block)
+    known = spark.sparkContext.broadcast((numbers, np.array([r["radius"] for r in cells]), parts, sizes))
+    cut_up = F.broadcast(spark.createDataFrame([(int(c), int(p)) for c, p in zip(numbers, parts, strict=True)], "cell int, _of int"))
+    blocks = dealt.join(cut_up, "cell").select("cell", F.pmod(F.xxhash64("id"), "_of").cast("int").alias("part"), F.col("id").alias("other"), F.col("v").alias("w"))
+    asked = queries.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+
+    def visiting(first: bool):
+        """Visits of queries (id, v, least): the best cell's part, or all parts of the cells that reach least."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, radius, parts, sizes = known.value
+            for batch in batches:
+                v = _vectors(batch.column(1), width)
+                whole = np.isfinite(v).all(axis=1) & (pc.list_value_length(batch.column(1)).to_numpy() == width)
+                rows, to, part = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
+                bounds = _bound(np.where(whole[:, None], v, 0.0), shared.value[numbers], radius, metric)
+                if first:
+                    full = np.where(sizes > k, bounds, -np.inf)  # a cell with k others, if there is one
+                    rows, to = [np.flatnonzero(whole)], [full.argmax(axis=1)[whole]]
+                    part = [batch.column(0).to_numpy()[whole] % parts[to[0]]]
+                else:
+                    i, c = np.nonzero((bounds >= batch.column(2).to_numpy()[:, None]) & whole[:, None])
+                    rows, to = [np.repeat(i, parts[c])], [np.repeat(c, parts[c])]
+                    part = [np.arange(len(rows[0])) - np.repeat(np.cumsum(parts[c]) - parts[c], parts[c])]
+                kept = batch.take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(numbers[np.concatenate(to)].astype(np.int32)), pa.array(np.concatenate(part).astype(np.int32))], names=["id", "v", "cell", "part"])
+
+        return run
+
+    def scored(theirs: pa.Table, mine: pa.Table) -> pa.Table:
+        made: list[list[np.ndarray]] = [[], [], []]
+        if theirs.num_rows and mine.num_rows:
+            theirs = theirs.sort_by("other")
+            base_, others = dense(theirs.column("w"), width, np.nan), theirs.column("other").to_numpy()
+            ids, v = mine.column("id").to_numpy(), dense(mine.column("v"), width, np.nan)
+            for lo in range(0, len(ids), 256):
+                part, own = v[lo : lo + 256], ids[lo : lo + 256]
+                score = part @ base_.T if metric == "dot" else -np.stack([np.abs(base_ - r).max(axis=1) for r in part])
+                score[own[:, None] == others[None, :]] = -np.inf
                 order = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 s = np.take_along_axis(score, order, axis=1)
-                out.append(pd.DataFrame({"id": np.repeat(own, order.shape[1]), "other": ids[order].ravel(), "score": s.ravel()}))
-        got = pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "score": []})
-        return got[np.isfinite(got.score.astype(float))].astype({"id": "int64", "other": "int64", "score": "float64"})
-
-    parts = q.unionByName(b).groupBy("i", "j").applyInPandas(best, "id long, other long, score double")
-    return parts.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))).where(F.col("rank") <= k).select("id", "rank", "other", "score")
+                good = np.isfinite(s).ravel()
+                for out, x in zip(made, (np.repeat(own, order.shape[1]), others[order].ravel(), s.ravel()), strict=True):
+                    out.append(x[good])
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(made, kinds, strict=True)], names=["id", "other", "score"])
+
+    def met(visits: DataFrame) -> DataFrame:
+        visits = cut(visits)
+        groups = visits.groupBy("cell", "part").agg(F.ceil(F.count("*") / block).alias("_groups"))
+        mine = visits.join(groups, ["cell", "part"]).withColumn("_group", F.pmod(F.xxhash64("id"), "_groups")).drop("_groups")
+        theirs = blocks.join(groups, ["cell", "part"]).withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1))).drop("_groups")
+        keys = ["cell", "part", "_group"]
+        return theirs.groupBy(*keys).cogroup(mine.toDF(*mine.columns).groupBy(*keys)).applyInArrow(scored, TOP)
+
+    best = W.partitionBy("id").orderBy(F.desc("score"), "other")
+    kind = "id long, v array<double>, cell int, part int"
+    top = met(asked.mapInArrow(visiting(True), kind)).withColumn("rank", F.row_number().over(best))
+    floor = cut(top.where(F.col("rank") == k).select(F.col("id").alias("_id"), F.col("score").alias("_least")))
+    again = asked.join(floor, F.col("id") == F.col("_id"), "left").select("id", "v", F.coalesce("_least", F.lit(float("-inf"))).alias("least"))
+    out = met(again.mapInArrow(visiting(False), kind)).withColumn("rank", F.row_number().over(best))
+    return out.where(F.col("rank") <= k).select("id", "rank", "other", "score")

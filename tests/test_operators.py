@@ -210,6 +210,39 @@ def test_offsets_pad_and_keep_duplicates(spark):
     assert nearest.knn(lone.limit(0), lone.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["dot", "linf"])
+def test_all_pairs_visit_few_cells_of_clustered_vectors(spark, monkeypatch, metric):
+    """30 clusters: what is written is base, queries, and the few visits whose bound reaches the floor; results as by brute force."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((30, 16)) * 10
+    v = np.concatenate([c + 0.01 * rng.standard_normal((40, 16)) for c in centres])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    real, written = nearest.cut, []
+
+    def counted(d):
+        out = real(d)
+        if "v" in d.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearest, "cut", counted)
+    got = {(r.id, r["rank"]): r.other for r in nearest.all_pairs_top(df, df, 3, block=32, metric=metric).collect()}
+    score = v @ v.T if metric == "dot" else -np.abs(v[:, None] - v[None]).max(axis=2)
+    for i in range(len(v)):
+        order = [j for j in np.argsort(-score[i], kind="stable") if j != i][:3]
+        assert np.allclose([score[i, got[i, r + 1]] for r in range(3)], score[i, order], atol=1e-12)
+    assert written[0] == written[1] == len(v) and written[2] < 4 * len(v)  # all with all would be 38 parts each
+
+
+def test_all_pairs_leave_odd_vectors_out(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(9)] + [(20, None), (21, [math.nan, 1.0]), (22, [1.0]), (23, [1.0, None]), (24, [math.inf, 0.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = nearest.all_pairs_top(df, df, 20, block=2).collect()
+    assert {(r.id, r.other) for r in got} == {(i, j) for i in range(9) for j in range(9) if i != j}
+    assert nearest.all_pairs_top(df.limit(0), df, 2).count() == nearest.all_pairs_top(df, df.limit(0), 2).count() == 0
+
+
 def test_all_pairs_in_blocks(spark):
     v = np.random.default_rng(0).standard_normal((70, 4))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
