@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from terralign.functions.vectors import is_finite, max_abs_difference
+from terralign.operators.lineage import cut
 from terralign.operators.quantiles import quantiles
 from terralign.operators.tiles import dense, tiled
 
@@ -169,6 +170,7 @@ def differing(found: DataFrame, a: str, b: str) -> Column:
 def agreement(found: DataFrame, a: str, b: str) -> DataFrame:
     """Of window_match() with two scores: n, the share of points with the same pixel, and mean and median of a's displacement less b's where both are finite."""
     rows = found.select((~differing(found, a, b)).cast("int").alias("same"), (F.col(f"{a}.displacement") - F.col(f"{b}.displacement")).alias("gap"))
+    rows = cut(rows)  # matched once, not for each pass over the gaps
     gaps = quantiles(rows, [], "gap", {"median_gap": 0.5}, {"n": F.count("*"), "agreement": F.avg("same"), "mean_gap": F.avg("gap")})
     return gaps.select("n", "agreement", "mean_gap", "median_gap")
 

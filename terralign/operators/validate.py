@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from terralign.functions.vectors import cosine, dot, is_finite, max_abs_difference, sum_abs_difference
+from terralign.operators.lineage import cut
 from terralign.operators.nearest import all_pairs_top
 from terralign.operators.quantiles import quantiles
 
@@ -31,18 +33,46 @@ def rank_agreement(ref: DataFrame, test: DataFrame, k: int) -> DataFrame:
 def margins(ref: DataFrame) -> DataFrame:
     """Best less second-best similarity to the other rows: mean, median, tenth percentile, least."""
     two = all_pairs_top(ref, ref, 2).groupBy("id").agg((F.max("score") - F.min("score")).alias("m"), F.count("*").alias("n")).where("n = 2")
+    two = cut(two)  # all pairs are compared once, not for each pass over the margins
     return quantiles(two, [], "m", {"median": 0.5, "p10": 0.1}, {"n": F.count("*"), "mean": F.avg("m"), "least": F.min("m")}).select("n", "mean", "median", "p10", "least")
 
 
+def _digest(rows: DataFrame, name: str, seed: int) -> Column:
+    """64 bits of a column's value, nulls inside arrays and structs included. Equal values have equal ones (NaN is NaN, -0.0 is 0.0, as for <=>)."""
+    x, kind = F.col(name), rows.schema[name].dataType
+    if isinstance(kind, ArrayType) and not isinstance(kind.elementType, (ArrayType, MapType, StructType)):
+        return F.xxhash64(F.lit(seed), x.isNull(), F.size(x), F.transform(x, lambda v: v.isNull()), x)
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.xxhash64(F.lit(seed), F.to_json(F.struct(x), {"ignoreNullFields": "false"}))
+    return F.xxhash64(F.lit(seed), x.isNull(), x)
+
+
 def equality(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """For each column: rows on both sides, missing on either, and differing (null equals null, bit for bit)."""
-    left = a.select(*key, *(F.col(c).alias(f"_a_{c}") for c in columns), F.lit(1).alias("_in_a"))
-    right = b.select(*key, *(F.col(c).alias(f"_b_{c}") for c in columns), F.lit(1).alias("_in_b"))
-    both = left.join(right, list(key), "full")
+    """For each column: rows on both sides, missing on either, and differing (null equals null).
+
+    Rows meet by key with a digest of 128 bits for all columns together: 16 bytes cross
+    the shuffle, however wide the columns. Only where these differ are digests of the single
+    columns compared; no wide column is moved. Rows with a null in key are missing
+    on the other side; of repeated keys every pair counts.
+    """
+    key, columns = list(key), list(columns)
+    spark = a.sparkSession
+    row = lambda d, side: d.select(*key, *(F.xxhash64(F.lit(s), *(_digest(d, c, s) for c in columns)).alias(f"_{side}{s}") for s in (1, 2)), F.lit(1).alias(f"_in_{side}"))
+    both = row(a, "a").join(row(b, "b"), key, "full")
     pair = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
-    told = both.agg(F.count_if(pair).alias("_both"), F.count_if(~pair).alias("_missing"), *(F.count_if(pair & ~F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}"))).alias(c) for c in columns))
-    stack = ", ".join(f"'{c}', `{c}`" for c in columns)
-    return told.selectExpr("_both as n_both", "_missing as n_missing", f"stack({len(columns)}, {stack}) as (name, n_differing)").select("name", "n_both", "n_missing", "n_differing", ((F.col("n_differing") == 0) & (F.col("n_missing") == 0)).alias("equal"))
+    other = pair & ((F.col("_a1") != F.col("_b1")) | (F.col("_a2") != F.col("_b2")))
+    met = cut(both.groupBy(other.alias("_other")).agg(F.count_if(pair).alias("_both"), F.count_if(~pair).alias("_missing")))
+    found = met.collect()  # two rows
+    n_both, n_missing, apart = sum(r["_both"] for r in found), sum(r["_missing"] for r in found), sum(r["_both"] for r in found if r["_other"])
+    counts = dict.fromkeys(columns, 0)
+    if apart:
+        keys = cut(both.where(other).select(*key).distinct())
+        each = lambda d, side: d.select(*key, *(F.struct(*(_digest(d, c, s) for s in (1, 2))).alias(f"_{side}_{i}") for i, c in enumerate(columns))).join(keys, key, "left_semi")
+        pairs = each(a, "a").join(each(b, "b"), key)
+        told = pairs.agg(*(F.count_if(F.col(f"_a_{i}") != F.col(f"_b_{i}")).alias(f"_{i}") for i in range(len(columns)))).first()
+        counts = {c: told[f"_{i}"] for i, c in enumerate(columns)}
+    rows = [(c, n_both, n_missing, n, n == 0 and n_missing == 0) for c, n in counts.items()]
+    return spark.createDataFrame(rows, "name string, n_both long, n_missing long, n_differing long, equal boolean")
 
 
 def gate(report: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -95,4 +125,4 @@ def unknown_names(requested: DataFrame, known: DataFrame, name: str = "name") ->
 def finite_summary(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Count, mean and exact median of the finite values of a column by group; nulls, NaN and infinities are left out."""
     ok = F.when(is_finite(F.col(value)), F.col(value))
-    return quantiles(rows.withColumn(value, ok), by, value, {"median": 0.5}, {"n": F.count(value), "mean": F.avg(value)})
+    return quantiles(cut(rows.select(*by, ok.alias(value))), by, value, {"median": 0.5}, {"n": F.count(value), "mean": F.avg(value)})

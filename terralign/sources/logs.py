@@ -11,12 +11,15 @@ from terralign.functions.text import p50_line, telemetry
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats envi and las known to a session."""
+    """Make the formats envi, las, numbers and sqlite known to a session, and let filters reach such sources."""
+    from terralign.sources.dumps import NumbersSource
     from terralign.sources.envi import EnviSource
     from terralign.sources.las import LasSource
+    from terralign.sources.trace import SqliteSource
 
-    spark.dataSource.register(EnviSource)
-    spark.dataSource.register(LasSource)
+    for source in (EnviSource, LasSource, NumbersSource, SqliteSource):
+        spark.dataSource.register(source)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def telemetry_log(spark: SparkSession, path: str, utc_offset: str = "+0000") -> DataFrame:
@@ -73,29 +76,29 @@ def load_scene(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def trace_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A profiler trace exported to Parquet: its ranges (start, stop, text) and its device intervals (kind, start, stop)."""
-    ranges = spark.read.parquet(f"{path}/ranges.parquet").select("start", F.col("end").alias("stop"), "text")
-    kinds = [spark.read.parquet(f"{path}/{k}.parquet").select(F.lit(k).alias("kind"), "start", F.col("end").alias("stop")) for k in ("kernels", "memcpys")]
-    return ranges, kinds[0].unionByName(kinds[1])
+def trace_tables(spark: SparkSession, path: str, lo: int | None = None, hi: int | None = None, partitions: int = 8) -> tuple[DataFrame, DataFrame]:
+    """A profiler's trace: its ended, named ranges (start, stop, text) and its device intervals (kind, start, stop).
 
+    path: the profiler's SQLite file, or a folder of Parquet exports. With lo or hi only
+    what overlaps [lo, hi] is read; of a SQLite file the bounds are SQLite's work, and each table
+    is read in ranges of rowid.
+    """
 
-def raw_dump(spark: SparkSession, path: str, kind: str = "<f4", row: int = 1) -> DataFrame:
-    """Files of bare numbers as rows (file, i, v) of row numbers each; a file that isn't whole rows raises.
+    def table(name: str, of: str, columns: str) -> DataFrame:
+        if path.endswith((".sqlite", ".db")):
+            rows = spark.read.format("sqlite").schema(columns).options(path=path, table=of, partitions=str(partitions)).load()
+        else:
+            rows = spark.read.parquet(f"{path}/{name}.parquet")
+        rows = rows.where(F.col("end").isNotNull())
+        rows = rows if lo is None else rows.where(F.col("end") > lo)
+        return rows if hi is None else rows.where(F.col("start") < hi)
+
+    ranges = table("ranges", "NVTX_EVENTS", "start long, end long, text string").where("text is not null").select("start", F.col("end").alias("stop"), "text")
+    device = {"kernels": "CUPTI_ACTIVITY_KIND_KERNEL", "memcpys": "CUPTI_ACTIVITY_KIND_MEMCPY"}
+    kinds = [table(k, of, "start long, end long").select(F.lit(k).alias("kind"), "start", F.col("end").alias("stop")) for k, of in device.items()]
+    return ranges, kinds[0].unionByName(kinds[1])
 
-    A file is one task's work and is held in memory there: dumps are small by nature.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        size = np.dtype(kind).itemsize * row
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(content) % size:
-                    raise ValueError(f"{name} is not made of rows of {row}")
-                x = np.frombuffer(content, kind).astype(float)
-                n = len(x) // row
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(n)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * row, pa.int32()), pa.array(x))], names=["file", "i", "v"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, i long, v array<double>")
+
+def raw_dump(spark: SparkSession, path: str, kind: str = "<f4", row: int = 1, partition_bytes: int = 32 << 20) -> DataFrame:
+    """A file of bare numbers, or a folder of them, as rows (file, i, v) of row numbers each; a file that isn't whole rows raises. Large files are cut at row borders, small ones packed together."""
+    return spark.read.format("numbers").options(path=path, kind=kind, row=str(row), bytesPerPartition=str(partition_bytes)).load()

@@ -330,3 +330,22 @@ def test_projection(spark):
     df = spark.createDataFrame([forward(*p, 51) for p in places], "e double, n double")
     got = df.select(*projection.utm_to_lonlat(F.col("e"), F.col("n"), 51)).collect()
     assert np.allclose([tuple(g) for g in got], places, atol=1e-9)
+
+
+def test_equality_compares_digests(spark):
+    """Nulls within arrays, NaN, signed zeros, nested values, missing and repeated keys; wide columns don't cross the shuffle."""
+    schema = "k int, a array<double>, s struct<x:int,y:array<string>>, n double"
+    one = [(1, [1.0, None], (1, ["p"]), 0.0), (2, [None, 1.0], (None, None), math.nan), (3, None, None, 1.0), (4, [], (1, ["p"]), 2.0), (5, [1.0], (2, []), None), (None, [1.0], None, 1.0), (7, [1.0], None, 1.0), (7, [2.0], None, 1.0)]
+    two = [(1, [None, 1.0], (1, ["p"]), -0.0), (2, [None, 1.0], (None, None), math.nan), (3, [], (None, None), 1.5), (4, [], (1, ["q"]), 2.0), (5, [1.0], (2, []), None), (None, [1.0], None, 1.0), (7, [1.0], None, 1.0), (8, None, None, None)]
+    a, b = (spark.createDataFrame(x, schema) for x in (one, two))
+    columns = ["a", "s", "n"]
+    left = a.select("k", *(F.col(c).alias(f"x{c}") for c in columns), F.lit(1).alias("ina"))
+    right = b.select("k", *(F.col(c).alias(f"y{c}") for c in columns), F.lit(1).alias("inb"))
+    pairs = left.join(right, "k", "full")
+    there = F.col("ina").isNotNull() & F.col("inb").isNotNull()
+    want = {c: (pairs.where(there).count(), pairs.where(~there).count(), pairs.where(there & ~F.col(f"x{c}").eqNullSafe(F.col(f"y{c}"))).count()) for c in columns}
+    got = {r.name: (r.n_both, r.n_missing, r.n_differing) for r in validate.equality(a, b, ["k"], columns).collect()}
+    assert got == want and want["a"][2] == 3 and want["n"][2] == 1
+    same = {r.name: r.equal for r in validate.equality(a.where("k < 6"), a.where("k < 6"), ["k"], columns).collect()}
+    assert same == dict.fromkeys(columns, True)
+    assert not any(r.n_both or r.n_missing for r in validate.equality(a.limit(0), b.limit(0), ["k"], columns).collect())

@@ -1,10 +1,11 @@
+import sqlite3
 import struct
 
 import numpy as np
 import pytest
 
 from terralign.operators import encode
-from terralign.sources import envi, las, logs
+from terralign.sources import dumps, envi, las, logs, trace
 
 
 def write_envi(folder, cube, interleave="bsq", kind="<f4", offset=0):
@@ -107,7 +108,58 @@ def test_encoder(spark):
         encode.checked(df, "v", "array<float>", 3).collect()
 
 
+def test_sqlite_trace(spark, tmp_path):
+    """Read in 8 ranges of rowid, with the time bounds in SQLite."""
+    path = str(tmp_path / "t 1.sqlite")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE NVTX_EVENTS (start INTEGER, end INTEGER, text TEXT, other BLOB)")
+    con.execute("CREATE TABLE CUPTI_ACTIVITY_KIND_KERNEL (start INT NOT NULL, end INT NOT NULL, x REAL)")
+    con.execute("CREATE TABLE CUPTI_ACTIVITY_KIND_MEMCPY (start INT, end INT)")
+    con.executemany("INSERT INTO NVTX_EVENTS VALUES (?, ?, ?, ?)", [(10 * k, None if k % 5 == 0 else 10 * k + 8, None if k % 7 == 0 else f"é {k}", b"x") for k in range(1000)])
+    con.executemany("INSERT INTO CUPTI_ACTIVITY_KIND_KERNEL VALUES (?, ?, ?)", [(k, k + 3, k / 2) for k in range(5000)])
+    con.commit()
+    con.close()
+    logs.register(spark)
+    ranges, device = logs.trace_tables(spark, path)
+    assert ranges.rdd.getNumPartitions() == 8
+    assert {(r.start, r.stop, r.text) for r in ranges.collect()} == {(10 * k, 10 * k + 8, f"é {k}") for k in range(1000) if k % 5 and k % 7}
+    assert device.groupBy("kind").count().collect() == [("kernels", 5000)]
+    some, few = logs.trace_tables(spark, path, 1000, 1100)
+    assert {r.start for r in some.collect()} == {10 * k for k in range(100, 110) if k % 5 and k % 7}
+    assert sorted(r.start for r in few.collect()) == list(range(998, 1100))
+    reader = trace.SqliteReader({"path": path, "table": "CUPTI_ACTIVITY_KIND_KERNEL"}, few.sparkSession.createDataFrame([], "start long, end long").schema)
+    left = list(reader.pushFilters([trace.GreaterThan(("end",), 4000), trace.LessThan(("start",), 4100), trace.EqualTo(("start", "x"), 1)]))
+    assert len(left) == 1 and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 4100 - 3998
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan sqlite") == 2 and "Filter (" not in plan  # no filter is left to Spark
+    whole = spark.read.format("sqlite").options(path=path, table="NVTX_EVENTS", partitions="3").load()
+    assert whole.dtypes == [("start", "bigint"), ("end", "bigint"), ("text", "string"), ("other", "binary")] and whole.count() == 1000
+    with pytest.raises(Exception, match="no table"):
+        spark.read.format("sqlite").options(path=path, table="none").load().count()
+
+
+def test_large_dumps_in_pieces(spark, tmp_path):
+    """A 200 MB file is read in pieces of 8 MB by tasks that hold 4 MB; small files share a partition; borders are those of rows."""
+    n = 5_000_000
+    np.arange(n * 10).astype("<f4").tofile(tmp_path / "big.f32")
+    logs.register(spark)
+    got = logs.raw_dump(spark, str(tmp_path / "big.f32"), row=10, partition_bytes=8 << 20)
+    assert got.rdd.getNumPartitions() == 24
+    assert got.where("abs(v[0] - 10 * i) <= 2 and size(v) = 10").select("i").distinct().count() == n  # floats of 24 bits
+    (tmp_path / "many").mkdir()
+    for k in range(30):
+        np.full(3 * (k % 4), k, ">i2").tofile(tmp_path / f"many/{k:02}.bin")
+    (tmp_path / "many/_ignored").write_bytes(b"1")
+    small = logs.raw_dump(spark, str(tmp_path / "many"), ">i2", 3, partition_bytes=60)
+    assert small.rdd.getNumPartitions() == 5  # of 44 rows of 6 bytes
+    rows = small.collect()
+    assert sorted((r.file[-6:-4], r.i, tuple(r.v)) for r in rows) == [(f"{k:02}", i, (k, k, k)) for k in range(30) for i in range(k % 4)]
+    with pytest.raises(ValueError):
+        dumps.dealt([("x", 7)], 4, 100)
+
+
 def test_dumps_traces_and_cache(spark, tmp_path):
+    logs.register(spark)
     np.arange(6, dtype="<f4").tofile(tmp_path / "a.bin")
     got = logs.raw_dump(spark, str(tmp_path / "a.bin"), row=3).orderBy("i").collect()
     assert [r.v for r in got] == [[0.0, 1.0, 2.0], [3.0, 4.0, 5.0]]
