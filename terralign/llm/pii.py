@@ -32,7 +32,7 @@ CALLED = rf"\+(?:[17]|{THREE}|(?!{THREE}|[17])[0-9]{{2}})"
 #: What is looked for, in this order. Formats only; the functions below decide what is valid. No group repeats without
 #: a bound: Java's matcher recurses for each turn. A domain has 253 characters at most.
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-][A-Za-z0-9.-]{0,252}(?<=[A-Za-z0-9-])\.[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+\u00C0-\u04FF-])[A-Za-z0-9._%+\u00C0-\u04FF-]{1,64}@[A-Za-z0-9-][A-Za-z0-9.-]{0,252}(?<=[A-Za-z0-9-])\.[A-Za-z]{2,24}",
     "iban": r"(?<![\p{L}\p{N}])(?:(?:" + "|".join(_of_length(*x) for x in IBANS.items()) + r")(?![\p{L}\p{N}])|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]))",
     "card": r"(?<![\p{L}\p{N}.-])(?:[0-9]{13,19}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])",
@@ -99,14 +99,28 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+#: First and last of the kinds of characters that are permuted: digits, small and capital letters of ASCII, Latin-1, Latin Extended-A, Greek and Cyrillic.
+KINDS = ("09", "az", "AZ", "àö", "øÿ", "ÀÖ", "ØÞ", "Āſ", "αω", "ΑΡ", "ΣΩ", "ая", "АЯ", "ѐџ", "ЀЏ")
+
+
 def _alphabet(c: Column) -> Column:
-    """(base, radix) of a character: digits, small and capital letters; others stand for themselves."""
+    """(base, radix) of a character: those of its kind; others stand for themselves."""
     code = F.ascii(c)
 
     def of(base: int, radix: int) -> Column:
         return F.struct(F.lit(base).alias("base"), F.lit(radix).alias("radix"))
 
-    return F.when(code.between(48, 57), of(48, 10)).when(code.between(97, 122), of(97, 26)).when(code.between(65, 90), of(65, 26)).otherwise(of(0, 1))
+    out, more = of(0, 1), of(0, 1)
+    for first, last in reversed(KINDS[3:]):
+        more = F.when(code.between(ord(first), ord(last)), of(ord(first), ord(last) - ord(first) + 1)).otherwise(more)
+    out = F.when(code > 127, more).otherwise(out)
+    for first, last in reversed(KINDS[:3]):
+        out = F.when(code.between(ord(first), ord(last)), of(ord(first), ord(last) - ord(first) + 1)).otherwise(out)
+    return out
+
+
+def _char(code: Column) -> Column:
+    return F.when(code < 256, F.chr(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
 
 
 def _letters(text: Column, key: Cipher, tweak: Column) -> Column:
@@ -114,7 +128,7 @@ def _letters(text: Column, key: Cipher, tweak: Column) -> Column:
     chars = _chars(text)
     radices = F.transform(chars, lambda c: _alphabet(c)["radix"])
     values = F.transform(chars, lambda c: F.when(_alphabet(c)["radix"] > 1, F.ascii(c) - _alphabet(c)["base"]).otherwise(0))
-    return F.array_join(F.zip_with(chars, feistel(values, radices, key, tweak), lambda c, v: F.when(_alphabet(c)["radix"] > 1, F.chr(_alphabet(c)["base"] + v)).otherwise(c)), "")
+    return F.array_join(F.zip_with(chars, feistel(values, radices, key, tweak), lambda c, v: F.when(_alphabet(c)["radix"] > 1, _char(_alphabet(c)["base"] + v)).otherwise(c)), "")
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -254,7 +268,8 @@ def pseudonym(hit: Column, key: Cipher) -> Column:
 def pseudonymized(docs: DataFrame, secret: str | Column, text: str = "text", changed: str = "n_changed", back: bool = False) -> DataFrame:
     """docs with the personal data in text replaced, and changed: how many values are others now.
 
-    E-mail addresses (their local part), IBANs (mod 97), payment cards (Luhn),
+    E-mail addresses (their local part; the domain stays, and so do letters beyond Cyrillic,
+    before which a name begins), IBANs (mod 97), payment cards (Luhn),
     telephone numbers, US social security numbers, IPv4 addresses and dates (1900 to
     2099) that are valid get a pseudonym of the same format, valid as well. It
     depends on secret and the value alone, so equal values stay equal everywhere and
