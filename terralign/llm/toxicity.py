@@ -104,21 +104,21 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(labelled: DataFrame, epochs: int = 5, shard_rows: int = 8000) -> dict[int, float]:
+def fit(labelled: DataFrame, epochs: int = 5, shard_rows: int = 8000, shard_chars: int = 64_000_000) -> dict[int, float]:
     """Sparse weights from a bounded sample (y, _text).
 
-    One shard, and task, for each shard_rows documents runs FTRL over its own; the
-    shards' weights are averaged by coordinate. A task holds the distinct features of
-    its texts as 32-bit numbers: at most shard_rows times 2^BITS, and in practice a
-    few for each word. The L1 strength is a hundredth of a shard's
+    One shard, and task, for each shard_rows documents or shard_chars characters (whichever
+    makes more shards) runs FTRL over its own; the shards' weights are averaged by
+    coordinate. A task holds the distinct features of its texts as 32-bit numbers, a few
+    for each word: so it is bounded by shard_chars, and a single longer text by 2^BITS. The L1 strength is a hundredth of a shard's
     positive documents, 1 to 5: a feature needs evidence of its own to have any
     weight, and small samples cannot give as much. What comes to the driver is at
     most one row for each of 2^BITS coordinates, and few are not 0.
     """
-    n, positive = labelled.agg(F.count("*"), F.sum("y")).first()
+    n, positive, chars = labelled.agg(F.count("*"), F.sum("y"), F.sum(F.char_length("_text"))).first()
     if not n:
         return {}
-    shards = -(-n // shard_rows)
+    shards = max(-(-n // shard_rows), -(-(chars or 0) // shard_chars))
     l1 = min(5.0, max(1.0, (positive or 0) / shards / 100))
     dealt = labelled.select("y", "_text", F.xxhash64("_text").alias("_o"))
     dealt = dealt.withColumn("_s", F.pmod("_o", F.lit(shards)).cast("int")).repartitionById(shards, "_s")

@@ -157,3 +157,14 @@ def test_very_long_text(spark):
     ids = spark.createDataFrame([*labels, (900, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.scored(df, quality.trained(df, ids, F.lit(True))).count() == len(docs) + 2
     assert toxicity.scored(df, toxicity.trained(df, ids, F.lit(True))).count() == len(docs) + 2
+
+
+def test_shards_are_bounded_by_characters(spark):
+    """Long texts make more shards than their number does; what is learnt stays the same kind of model."""
+    rows = [(k % 2, ("bad words here " if k % 2 else "kind lines there ") * 200 + f"x{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "y int, _text string")
+    few, many = toxicity.fit(df), toxicity.fit(df, shard_chars=20_000)
+    docs = df.selectExpr("y", "monotonically_increasing_id() as doc_id", "_text as text")
+    for weights in (few, many):
+        got = {r.doc_id: r.score for r in toxicity.scored(docs, weights).collect()}
+        assert all((got[r.doc_id] > 0.5) == bool(r.y) for r in docs.collect())
