@@ -239,8 +239,12 @@ def names_of(docs: DataFrame, text: str, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def windows_of(docs: DataFrame, size: int) -> DataFrame:
-    """The windows of texts (_row, _text, _names: names that occur again) whose choice is one of these names: name, rest, row, at."""
+def spans_of(docs: DataFrame, size: int) -> DataFrame:
+    """Where texts (_row, _text, _names: names that occur again) hold windows whose choice is one of these names: name, span, row, at, rests.
+
+    Consecutive windows that have chosen the same name in the same place are a span. rests
+    has the rest of each of them, span a hash of all of these; at is the first window's word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,10 +261,20 @@ def windows_of(docs: DataFrame, size: int) -> DataFrame:
                     k = np.searchsorted(again[d], name[lo:hi])
                     take[lo:hi] = again[d][np.minimum(k, len(again[d]) - 1)] == name[lo:hi]
                 window, name, start, end = (x[take] for x in (window, name, start, end))
-                made = [_signed(name), _signed(rests(words, window, start, end, size)), pa.array(rows[number[window]]), pa.array(place[window].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(made, names=["name", "rest", "row", "at"])
+                rest = rests(words, window, start, end, size)
+                new = np.ones(len(window), bool)
+                new[1:] = (window[1:] != window[:-1] + 1) | (start[1:] != start[:-1]) | (name[1:] != name[:-1])
+                first = np.flatnonzero(new)
+                if not len(first):
+                    continue
+                inside = np.arange(len(window)) - np.repeat(first, np.diff(np.append(first, len(window))))
+                span = np.add.reduceat(mixed(rest + inside.astype(U) * U(0x9E3779B97F4A7C15)), first)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(window)).astype(np.int32)), _signed(rest))
+                at = window[first]
+                made = [_signed(name[first]), _signed(span), pa.array(rows[number[at]]), pa.array(place[at].astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(made, names=["name", "span", "row", "at", "rests"])
 
-    return docs.select("_row", "_text", "_names").mapInArrow(run, "name long, rest long, row long, at int")
+    return docs.select("_row", "_text", "_names").mapInArrow(run, "name long, span long, row long, at int, rests array<long>")
 
 
 def _identity(key: str, text: str) -> list:
@@ -279,7 +293,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     2. Spark counts the chosen names over all documents. Windows whose name stands in one
        place only repeat nothing and are done with.
     3. Windows that share a name are equal if the name stands at the same place in them
-       and what is left and right of it is equal: Spark counts these too.
+       and what is left and right of it is equal. Spark counts whole spans of windows
+       around a name; those that occur again are repeated as they are. Of the others, where
+       a name has several, single windows are counted.
 
     Texts that are equal as a whole are compared with others only once.
     """
@@ -296,10 +312,16 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     again = again.groupBy("_row").agg(F.collect_list("name").alias("_names"))
     again = again.join(known.where("_row = _first"), "_row")
     # Rows equal in key and text are joined each, and then counted as the repeats that they are.
-    windows = written(windows_of(base.join(again, who), size), 256)
-
-    equal = written(windows.groupBy("name", "rest").agg(F.count("*").alias("_n")).where("_n > 1"))
-    hits = looked_up(windows, equal, ["name", "rest"], "_n").where("_n is not null")
+    spans = written(spans_of(base.join(again, who), size), 256)
+    kinds = written(spans.groupBy("name", "span").agg(F.count("*").alias("_n"), F.first("rests").alias("rests"), F.min(F.struct("row", "at")).alias("place")))
+    repeats = kinds.where("_n > 1").select("name", "span", "_n")
+    whole = looked_up(spans.select("name", "span", "row", "at", F.size("rests").alias("n")), repeats, ["name", "span"], "_n").where("_n is not null")
+    several = written(kinds.groupBy("name").agg(F.count("*").alias("_kinds")).where("_kinds > 1"))
+    mixed_ = looked_up(kinds.select("name", "_n", "rests", "place"), several, ["name"], "_kinds").where("_kinds is not null")
+    windows = written(mixed_.select("name", "_n", "place", F.posexplode("rests").alias("i", "rest")).select("name", "rest", "_n", F.col("place.row").alias("row"), (F.col("place.at") + F.col("i")).alias("at")))
+    equal = written(windows.groupBy("name", "rest").agg(F.count("*").alias("_m")).where("_m > 1"))
+    single = looked_up(windows.where("_n = 1").select("name", "rest", "row", "at"), equal, ["name", "rest"], "_m").where("_m is not null")
+    hits = whole.select("row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).unionByName(single.select("row", "at"))
     at = hits.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("at")).alias("_at"))
     some = known.where("not _all").join(at, "_row").select(*who, "_all", "_at")
     return known.where("_all").select(*who, "_all", F.lit(None).cast("array<int>").alias("_at")).unionByName(some).dropDuplicates(who)
