@@ -13,16 +13,6 @@ from pyspark.sql import functions as F
 Factory = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
-def stand_in(size: int, width: int, seed: int = 5) -> Factory:
-    """A fixed random projection with tanh. It has no meaning; it only takes a model's place."""
-
-    def make():
-        weights = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32) / np.sqrt(size)
-        return lambda x: np.tanh(x @ weights)
-
-    return make
-
-
 def encode(df: DataFrame, column: str, factory: Factory, batch: int = 2048, out: str = "feature") -> DataFrame:
     """df with out, the encoder's vectors of an array column; null arrays stay null. Filter first: no filter moves below this.
 

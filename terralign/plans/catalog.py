@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralign.functions import projection
 from terralign.functions import raster as R
 from terralign.functions import text as T
 from terralign.functions import vectors as V
-from terralign.operators import grid, match, nearest, runs, validate
+from terralign.operators import encode, grid, match, nearest, runs, validate
 from terralign.plans import tables as D
 from terralign.plans.oracles import ORACLES  # noqa: F401
 
@@ -55,6 +57,14 @@ def geotransform_check(spark, sf_dir) -> DataFrame:
     return D.table(spark, sf_dir, "customer").select("c_custkey", (g[1] * g[5] - g[2] * g[4]).alias("det"))
 
 
+@query
+def utm_lonlat(spark, sf_dir) -> DataFrame:
+    """Map coordinates of zone 33, to 300 km beside its meridian and from the equator to 81 degrees."""
+    c = D.table(spark, sf_dir, "customer").select("c_custkey", (500_000 + 30 * F.col("c_acctbal")).alias("e"), (1000.0 * (F.col("c_custkey") % 9000)).alias("n"))
+    lon, lat = projection.utm_to_lonlat(F.col("e"), F.col("n"), 33)
+    return c.select("c_custkey", r(lon, 8).alias("lon"), r(lat, 8).alias("lat"))
+
+
 @query
 def l2_normalize(spark, sf_dir) -> DataFrame:
     v = V.l2_normalized(F.col("spectrum"))
@@ -87,6 +97,25 @@ def name_tags(spark, sf_dir) -> DataFrame:
     return c.select("c_custkey", part["batch"].alias("batch"), part["date"].alias("date"), part["sid"].alias("sid"), T.tag(F.col("scene")).alias("tag"), T.scene_paths(F.col("scene"), "/data")["raster"].alias("path"))
 
 
+# Encoder
+
+
+def _linear():
+    """A linear encoder with weights of a rule, exact in single precision for what encode_linear gives it."""
+    i, j = np.arange(D.BANDS)[:, None], np.arange(8)[None, :]
+    weights = ((7 * i + 3 * j) % 11 - 5).astype(np.float32)
+    return lambda x: x @ weights
+
+
+@query
+def encode_linear(spark, sf_dir) -> DataFrame:
+    """Checked vectors through an encoder, one a task; every seventh vector is missing and stays so."""
+    steps = F.transform("embedding", lambda x: (F.floor(x * 256) / 256).cast("float"))
+    e = D.table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 != 3, steps).alias("v"))
+    out = encode.encode(encode.checked(e, "v", "array<float>", D.BANDS), "v", _linear, batch=100)
+    return out.select("vec_id", *(F.get("feature", F.lit(k)).cast("double").alias(f"f{k}") for k in range(8)))
+
+
 # Grid
 
 

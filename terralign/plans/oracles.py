@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+from terralign.functions import projection
+
 PX = """px AS (SELECT vec_id AS id, CAST(vec_id // 20 AS INT) AS "row", CAST(vec_id % 20 AS INT) AS col, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ix AS (SELECT *, CASE WHEN abs(v[41] + v[11]) > 1e-12 THEN (v[41] - v[11]) / (v[41] + v[11]) ELSE 0 END AS ndvi, list_sum(v) AS band_sum FROM px),
 valid AS (SELECT * FROM ix WHERE ndvi > 0 AND band_sum > 1e-5)"""
@@ -40,7 +44,33 @@ PATCH = """, cells AS (SELECT c."row", c.col, b AS band, (dr + 1) * 3 + dc + 1 A
 FROM valid c CROSS JOIN (VALUES (-1), (0), (1)) a(dr) CROSS JOIN (VALUES (-1), (0), (1)) e(dc) CROSS JOIN range(64) t(b)
 LEFT JOIN long l ON l."row" = c."row" + dr AND l.col = c.col + dc AND l.band = b LEFT JOIN stats st ON st.band = b)"""
 
+
+
+def _utm() -> str:
+    """The inverse projection step by step: constants of WGS 84 and of the series, then five Newton steps for the latitude."""
+    f = 1 / 298.257223563
+    n, e = f / (2 - f), math.sqrt(f * (2 - f))
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
+    beta = projection._series(n)[1]
+    sums = {
+        k: " ".join(f"- ({b!r}) * {a}({2 * j} * x) * {h}({2 * j} * y)" for j, b in enumerate(beta, 1))
+        for k, (a, h) in {"xi": ("sin", "cosh"), "eta": ("cos", "sinh")}.items()
+    }
+    steps = ""
+    for k in range(5):
+        sigma, guess = f"sinh({e!r} * atanh({e!r} * t / sqrt(1 + t * t)))", "t * sqrt(1 + s * s) - s * sqrt(1 + t * t)"
+        steps += f""", s{k} AS (SELECT *, {sigma} AS s FROM t{k}), g{k} AS (SELECT *, {guess} AS g FROM s{k}),
+t{k + 1} AS (SELECT k, lon, c, t + (c - g) / sqrt(1 + g * g) * (1 + {1 - e * e!r} * t * t) / ({1 - e * e!r} * sqrt(1 + t * t)) AS t FROM g{k})"""
+    return f"""WITH a AS (SELECT c_custkey AS k, (1000.0::DOUBLE * (c_custkey % 9000)) / {0.9996 * radius!r} AS x, (30 * c_acctbal) / {0.9996 * radius!r} AS y FROM customer),
+b AS (SELECT k, x {sums['xi']} AS xi, y {sums['eta']} AS eta FROM a),
+t0 AS (SELECT k, degrees(atan2(sinh(eta), cos(xi))) + 15 AS lon, sin(xi) / sqrt(sinh(eta) * sinh(eta) + cos(xi) * cos(xi)) AS c, c AS t FROM b){steps}
+SELECT k AS c_custkey, round(lon, 8) + 0.0 AS lon, round(degrees(atan(t)), 8) + 0.0 AS lat FROM t5"""
+
+
 ORACLES: dict[str, str] = {
+    "utm_lonlat": _utm(),
+    "encode_linear": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256) / 256) AS v FROM embeddings) SELECT vec_id, "
+    + ", ".join(f"CASE WHEN vec_id % 7 <> 3 THEN list_dot_product(v, list_transform(range(64), lambda i: CAST((7 * i + {3 * j}) % 11 - 5 AS DOUBLE))) END AS f{j}" for j in range(8)) + " FROM v",
     "ndvi_mask": f"WITH {PX} SELECT id, {z('ndvi')} AS ndvi, {z('band_sum')} AS band_sum, CAST(ndvi > 0 AND band_sum > 1e-5 AS INT) AS valid FROM ix",
     "valid_count": f"WITH {PX} SELECT (SELECT count(*) FROM px) AS n_pixels, (SELECT count(*) FROM valid) AS n_valid",
     "pixel_affine": f"""WITH f AS (SELECT c_custkey, ((c_custkey - 12.0) * 25.0 - (c_acctbal + 500.0) * -0.5) / (25.0 * 4.0 - 1.5 * -0.5) AS fr, ((c_acctbal + 500.0) * 4.0 - (c_custkey - 12.0) * 1.5) / (25.0 * 4.0 - 1.5 * -0.5) AS fc FROM customer)

@@ -97,10 +97,20 @@ def test_logs_and_sinks(spark, tmp_path):
         logs.markdown_table(df, 1)
 
 
+def stand_in(size, width, seed=5):
+    """A fixed random projection with tanh, in a model's place."""
+
+    def make():
+        weights = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32) / np.sqrt(size)
+        return lambda x: np.tanh(x @ weights)
+
+    return make
+
+
 def test_encoder(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.0, 0.5])], "id int, v array<float>")
-    got = {r.id: r.feature for r in encode.encode(encode.checked(df, "v", "array<float>", 2), "v", encode.stand_in(2, 3), batch=2).collect()}
-    want = encode.stand_in(2, 3)()(np.array([[1, 2], [0, 0.5]], np.float32))
+    got = {r.id: r.feature for r in encode.encode(encode.checked(df, "v", "array<float>", 2), "v", stand_in(2, 3), batch=2).collect()}
+    want = stand_in(2, 3)()(np.array([[1, 2], [0, 0.5]], np.float32))
     assert got[2] is None and np.allclose([got[1], got[3]], want)
     with pytest.raises(TypeError):
         encode.checked(df, "v", "array<double>", 2)
