@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terralign.llm import decontam, linededup, lm, packing, pii, quality, queries, sharding, simhash, toxicity
+from terralign.llm import decontam, linededup, lm, packing, pii, quality, queries, search, sharding, simhash, substring, toxicity, trie
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,6 +90,7 @@ def test_columns_with_private_names_pass_through(spark):
     made = {
         "line_dedup": linededup.deduped(docs),
         "near_dedup": simhash.representatives(docs),
+        "substring": substring.deduped(docs),
         "decontamination": decontam.decontaminated(docs, items),
         "pii": pii.pseudonymized(docs, "k"),
         "quality": quality.filtered(docs, quality.trained(docs, labels, F.lit(True)), least=0.0),
@@ -99,5 +100,8 @@ def test_columns_with_private_names_pass_through(spark):
         assert len(rows) == (4 if stage != "near_dedup" else 2), stage
         assert all(r[n] == f"own {n}" for r in rows for n in names), stage
     assert simhash.near_duplicates(docs).count() == packing.packed(docs).count() == lm.scored(docs, F.lit(True)).count() == 4
+    assert search.ranked(docs, docs.withColumnRenamed("doc_id", "item_id")).where("item_id = 2").count() == 3
+    turns = docs.selectExpr("doc_id as conv_id", "doc_id as turn", "'user' as role", "*").drop("doc_id")
+    assert trie.trie(trie.paths(turns)).count() == 5 - 1  # the root, and a node for each different text
     assert toxicity.scored(docs, toxicity.trained(docs, labels, F.lit(True))).count() == sharding.sharded(docs, "doc_id").count() == 4
     assert decontam.overlaps(docs, docs.select(F.col("doc_id").alias("item_id"), *docs.columns[1:])).count() == 9
