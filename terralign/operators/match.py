@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -180,3 +180,27 @@ def spectrum_errors(found: DataFrame, name: str, pixels: DataFrame, truth: DataF
     chosen = found.select("id", "scene", F.col(f"{name}.row").alias("row"), F.col(f"{name}.col").alias("col")).where("row is not null")
     own = chosen.join(truth.select("scene", "id", F.col("spectrum").alias("_truth")), ["scene", "id"])
     return own.join(pixels.select("scene", "row", "col", "spectrum"), ["scene", "row", "col"]).select("id", "scene", max_abs_difference(F.col("_truth"), F.col("spectrum")).alias("error"))
+
+
+def variant_report(found: DataFrame, base: DataFrame, names: Sequence[str], pixels: DataFrame, truth: DataFrame) -> DataFrame:
+    """A run of window_match() against another, a row for each named score (variant), over the points (scene, id) of both.
+
+    n points, n_none without a match in found, agreement (share with the same pixel, none
+    being a pixel like any other), means of displacement and cosine, displacement_gap (mean of
+    the absolute difference to base's), and mean and median of the errors of chosen
+    spectra (see spectrum_errors). What isn't finite, or not there, is left out of a
+    statistic; one of nothing is null.
+    """
+    both = found.select("scene", "id", *names).join(base.select("scene", "id", *(F.col(n).alias(f"_base_{n}") for n in names)), ["scene", "id"])
+    sides = F.array(*(F.struct(F.lit(n).alias("variant"), F.col(n).alias("a"), F.col(f"_base_{n}").alias("b")) for n in names))
+    each = cut(both.select("scene", "id", F.explode(sides).alias("s")).select("scene", "id", "s.*"))
+    chosen = each.where("a is not null").select("scene", "id", "variant", F.col("a.row").alias("row"), F.col("a.col").alias("col"))
+    own = chosen.join(truth.select("scene", "id", F.col("spectrum").alias("_truth")), ["scene", "id"])
+    errors = own.join(pixels.select("scene", "row", "col", "spectrum"), ["scene", "row", "col"]).select("scene", "id", "variant", max_abs_difference(F.col("_truth"), F.col("spectrum")).alias("error"))
+    finite = lambda x: F.when(is_finite(x), x)
+    told = each.join(errors, ["scene", "id", "variant"], "left").select(
+        "variant", F.col("a").isNull().alias("none"), (F.col("a.row").eqNullSafe(F.col("b.row")) & F.col("a.col").eqNullSafe(F.col("b.col"))).cast("int").alias("same"),
+        finite(F.col("a.displacement")).alias("moved"), finite(F.abs(F.col("a.displacement") - F.col("b.displacement"))).alias("gap"), finite(F.col("a.cosine")).alias("cosine"), finite(F.col("error")).alias("error"),
+    )
+    means = {"agreement": "same", "displacement_mean": "moved", "displacement_gap": "gap", "cosine_mean": "cosine", "error_mean": "error"}
+    return quantiles(cut(told), ["variant"], "error", {"error_median": 0.5}, {"n": F.count("*"), "n_none": F.count_if("none"), **{n: F.avg(c) for n, c in means.items()}})

@@ -224,6 +224,17 @@ def spectrum_error(spark, sf_dir) -> DataFrame:
     return t.select("n", r("mean").alias("mean"), r("median").alias("median"))
 
 
+@query
+def variant_report(spark, sf_dir) -> DataFrame:
+    """Matching of valid pixels in full precision against a run on rounded spectra."""
+    points, pixels, px = _sides(spark, sf_dir)
+    rounded = px.withColumn("v", V.l2_normalized(F.transform("spectrum", lambda x: F.round(x, 2))))
+    found = match.window_match(points, grid.masked(pixels, D.CONTRACT), 1, BOTH, own=False)
+    base = match.window_match(rounded, grid.masked(rounded, D.CONTRACT), 1, BOTH, own=False)
+    t = match.variant_report(found, base, list(BOTH), px, px)
+    return t.select("variant", "n", "n_none", *(r(c).alias(c) for c in t.columns[3:]))
+
+
 @query
 def near_tie_check(spark, sf_dir) -> DataFrame:
     points, pixels, _ = _sides(spark, sf_dir)

@@ -100,6 +100,17 @@ SELECT id, {z('a')} AS top1, {z('b')} AS top2, {z('a - b')} AS margin FROM odd L
     "match_agreement": f"""WITH {PX}{UNIT}{_match(ANY, 5)} SELECT count(*) AS n, {z('avg(CAST(a."row" = b."row" AND a.col = b.col AS INT))')} AS agreement, {z('avg(a.dist - b.dist)')} AS mean_gap, {z('median(a.dist - b.dist)')} AS median_gap FROM odd LEFT JOIN best a USING (id) LEFT JOIN best2 b USING (id)""",
     "spectrum_error": f"""WITH {PX}{UNIT}{_match(ANY, 5)}, e AS (SELECT list_max(list_transform(range(1, 65), lambda i: abs(t.v[i] - m.v[i]))) AS e FROM best b JOIN px t ON t.id = b.id JOIN px m ON m."row" = b."row" AND m.col = b.col)
 SELECT count(*) AS n, {z('avg(e)')} AS mean, {z('median(e)')} AS median FROM e""",
+    "variant_report": f"""WITH {PX}{UNIT}{_match(VALID, 1)}, px2 AS (SELECT id, "row", col, list_transform(v, lambda x: round(x, 2)) AS v FROM px),
+u2 AS (SELECT *, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS w FROM px2),
+c2 AS (SELECT p.id, q."row", q.col, list_dot_product(p.w, q.w) AS cosine, sqrt(CAST((q."row" - p."row") ** 2 + (q.col - p.col) ** 2 AS DOUBLE)) AS dist
+FROM u2 p JOIN u2 q ON abs(p."row" - q."row") <= 1 AND abs(p.col - q.col) <= 1 WHERE p.id <> q.id AND {VALID}),
+s2 AS (SELECT *, cosine - 0.2 * dist / 5 AS spatial FROM c2),
+other AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, "row", col) AS n, row_number() OVER (PARTITION BY id ORDER BY spatial DESC, "row", col) AS m FROM s2),
+runs AS (SELECT 'plain' AS variant, px.id, a."row" AS r1, a.col AS c1, a.dist AS d1, a.cosine AS k1, b."row" AS r2, b.col AS c2, b.dist AS d2 FROM px LEFT JOIN best a USING (id) LEFT JOIN (SELECT * FROM other WHERE n = 1) b USING (id)
+UNION ALL SELECT 'spatial', px.id, a."row", a.col, a.dist, a.cosine, b."row", b.col, b.dist FROM px LEFT JOIN best2 a USING (id) LEFT JOIN (SELECT * FROM other WHERE m = 1) b USING (id)),
+e AS (SELECT runs.*, CASE WHEN t.v IS NOT NULL AND m.v IS NOT NULL THEN list_max(list_transform(range(1, 65), lambda i: abs(t.v[i] - m.v[i]))) END AS e FROM runs JOIN px t ON t.id = runs.id LEFT JOIN px m ON m."row" = r1 AND m.col = c1)
+SELECT variant, count(*) AS n, count(*) FILTER (r1 IS NULL) AS n_none, {z('avg(CAST(r1 IS NOT DISTINCT FROM r2 AND c1 IS NOT DISTINCT FROM c2 AS INT))')} AS agreement,
+{z('avg(d1)')} AS displacement_mean, {z('avg(abs(d1 - d2))')} AS displacement_gap, {z('avg(k1)')} AS cosine_mean, {z('avg(e)')} AS error_mean, {z('median(e)')} AS error_median FROM e GROUP BY variant""",
     "near_tie_check": f"""WITH {PX}{UNIT}{_match(ANY, 5)}, two AS (SELECT id, max(cosine) FILTER (n = 1) - max(cosine) FILTER (n = 2) AS m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC) AS n FROM c) GROUP BY id),
 x AS (SELECT coalesce(m < 0.06, false) AS near FROM best a JOIN best2 b USING (id) LEFT JOIN two USING (id) WHERE a."row" <> b."row" OR a.col <> b.col)
 SELECT count(*) AS n, count(*) FILTER (near) AS n_near, CAST(coalesce(bool_and(near), true) AS INT) AS all_near FROM x""",

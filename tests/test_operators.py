@@ -349,3 +349,19 @@ def test_equality_compares_digests(spark):
     same = {r.name: r.equal for r in validate.equality(a.where("k < 6"), a.where("k < 6"), ["k"], columns).collect()}
     assert same == dict.fromkeys(columns, True)
     assert not any(r.n_both or r.n_missing for r in validate.equality(a.limit(0), b.limit(0), ["k"], columns).collect())
+
+
+def test_variant_report_leaves_out_what_is_not_finite(spark):
+    """Two scenes, points without a match, a NaN spectrum: each statistic over what is there."""
+    kind = "struct<row:int,col:int,cosine:double,displacement:double,score:double>"
+    hit = lambda r, c, k, d: (r, c, k, d, k)
+    found = spark.createDataFrame([("a", 1, hit(0, 0, 0.5, 1.0)), ("a", 2, None), ("a", 3, hit(0, 1, math.nan, 3.0)), ("b", 1, hit(0, 0, 0.9, 2.0)), ("b", 9, None)], f"scene string, id int, x {kind}")
+    base = spark.createDataFrame([("a", 1, hit(0, 0, 0.4, 4.0)), ("a", 2, None), ("a", 3, None), ("b", 1, hit(0, 1, 0.9, math.inf))], f"scene string, id int, x {kind}")
+    pixels = spark.createDataFrame([("a", 0, 0, [1.0, 5.0]), ("a", 0, 1, [math.nan, 1.0]), ("b", 0, 0, [7.0, 0.0])], "scene string, row int, col int, spectrum array<double>")
+    truth = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("a", 2, [0.0, 0.0]), ("a", 3, [1.0, 1.0]), ("b", 1, [0.0, 0.0])], "scene string, id int, spectrum array<double>")
+    r = match.variant_report(found, base, ["x"], pixels, truth).collect()
+    assert len(r) == 1 and (r[0].variant, r[0].n, r[0].n_none, r[0].agreement) == ("x", 4, 1, 0.5)
+    assert (r[0].displacement_mean, r[0].displacement_gap, r[0].cosine_mean) == (2.0, 3.0, 0.7)
+    assert (r[0].error_mean, r[0].error_median) == (5.0, 5.0)
+    none = match.variant_report(found.where("x is null"), base, ["x"], pixels, truth).first()
+    assert (none.n, none.n_none, none.agreement, none.cosine_mean, none.error_median) == (1, 1, 1.0, None, None)
