@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,14 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalized(v: Column) -> Column:
-    """v / (|v| + 1e-12): the small term is added, so a zero vector stays zero."""
-    return F.transform(v, lambda x: x.cast("double") / (F.sqrt(dot(v, v)) + 1e-12))
+    """v / (|v| + 1e-12): the small term is added, so a zero vector stays zero. The length is computed once, not for each component."""
+    return _divided(v, lambda size: size + 1e-12)
+
+
+def _divided(v: Column, by: Callable[[Column], Column]) -> Column:
+    """v by a number made of its length. The inner array holds the one vector, so that v and its length are values and not computed again."""
+    lengthy = F.transform(F.array(v), lambda x: F.struct(x.alias("v"), by(F.sqrt(dot(x, x))).alias("by")))
+    return F.get(F.transform(lengthy, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["by"])), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -49,8 +57,7 @@ def is_finite(x: Column) -> Column:
 
 def l2_normalized_above(v: Column, least: float = 1e-12) -> Column:
     """v divided by its norm, or by least where the norm is smaller; unlike l2_normalized nothing is added to the norm."""
-    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(least))
-    return F.transform(v, lambda x: x / norm)
+    return _divided(v, lambda size: F.greatest(size, F.lit(least)))
 
 
 def within(a: Column, b: Column, tolerance: float) -> Column:

@@ -162,6 +162,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, last: bool = False) -> Da
 
     visit = "id long, x double, y double, z double, most double, _slice int"
     first = cut(asked.distinct().withColumn("_code", _curve(told)).mapInArrow(home, visit))
+    if len(boxes) == 1:
+        return _in_slices(first, dealt, k, sign).select("id", "rank", "nbr", "d2", "dx", "dy", "dz")
     near = cut(_in_slices(first, dealt, k, sign))
     bound = near.where(F.col("rank") == k).groupBy("id").agg(F.max("d2").alias("_bound"))
     reach = first.join(bound, "id", "left").withColumn("most", F.coalesce("_bound", "most")).select(*first.columns)
@@ -252,21 +254,24 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
 def all_pairs_top(queries: DataFrame, base: DataFrame, k: int, block: int = 2048, metric: str = "dot") -> DataFrame:
     """The k best of base (id, v) for each of queries (id, v), itself aside: id, rank, other, score. metric: dot, or linf (negated). Equal scores in order of other.
 
-    At most PIVOTS vectors of a sample of base, far from each other, are pivots; every
-    vector joins the nearest one's cell, and a cell is known by its radius. The score that a cell can have with a query is
+    Some vectors of a sample of base, far from each other, are pivots (two for each block of
+    base, at most PIVOTS); every vector joins the nearest one's cell, and a cell is known
+    by its radius. The score that a cell can have with a query is
     bounded by its pivot and radius. Each query first visits one part of its best cell; the
     k-th score found there is a floor, and then it visits only cells whose bound reaches
     it. Cells are stored in parts of about block vectors, and visits of a part are cut
     into groups of about block queries, so a task holds two blocks and does matrix
-    arithmetic. Written are base once (and again for each further group of visits), and
-    a query for each visit: near-right-angled vectors, which nothing bounds, meet all
+    arithmetic. Both sides are stored once as they come. Written then are base once (and
+    again for each further group of visits), and a query for each visit: near-right-angled vectors, which nothing bounds, meet all
     with all.
 
     Ids are unique on either side. Null vectors, and those with a null, NaN or infinite
     component or of another length than most of the sample, have no score with any.
     """
     spark = base.sparkSession
-    own = base.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    narrow = lambda d: cut(d.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")))
+    own = narrow(base)  # stored, so that vectors are made once
+    asked = own if queries is base else narrow(queries)
     n = own.count()
     # the least hashes: a sample that doesn't depend on partitions
     taken = own.where(F.size("v") > 0).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
@@ -274,7 +279,7 @@ def all_pairs_top(queries: DataFrame, base: DataFrame, k: int, block: int = 2048
     if not taken:
         return spark.createDataFrame([], "id long, rank int, other long, score double")
     width = Counter(map(len, taken)).most_common(1)[0][0]
-    pivots = _spread(np.array([v for v in taken if len(v) == width], float), max(1, min(PIVOTS, int(2 * n**0.5))), metric)
+    pivots = _spread(np.array([v for v in taken if len(v) == width], float), max(1, min(PIVOTS, 2 * n // block)), metric)
     shared = spark.sparkContext.broadcast(pivots)
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +300,6 @@ def all_pairs_top(queries: DataFrame, base: DataFrame, k: int, block: int = 2048
     known = spark.sparkContext.broadcast((numbers, np.array([r["radius"] for r in cells]), parts, sizes))
     cut_up = F.broadcast(spark.createDataFrame([(int(c), int(p)) for c, p in zip(numbers, parts, strict=True)], "cell int, _of int"))
     blocks = dealt.join(cut_up, "cell").select("cell", F.pmod(F.xxhash64("id"), "_of").cast("int").alias("part"), F.col("id").alias("other"), F.col("v").alias("w"))
-    asked = queries.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
 
     def visiting(first: bool):
         """Visits of queries (id, v, least): the best cell's part, or all parts of the cells that reach least."""
@@ -348,6 +352,9 @@ def all_pairs_top(queries: DataFrame, base: DataFrame, k: int, block: int = 2048
 
     best = W.partitionBy("id").orderBy(F.desc("score"), "other")
     kind = "id long, v array<double>, cell int, part int"
+    if parts.sum() == 1:  # nothing to choose from
+        out = met(asked.withColumn("least", F.lit(float("-inf"))).mapInArrow(visiting(False), kind)).withColumn("rank", F.row_number().over(best))
+        return out.where(F.col("rank") <= k).select("id", "rank", "other", "score")
     top = met(asked.mapInArrow(visiting(True), kind)).withColumn("rank", F.row_number().over(best))
     floor = cut(top.where(F.col("rank") == k).select(F.col("id").alias("_id"), F.col("score").alias("_least")))
     again = asked.join(floor, F.col("id") == F.col("_id"), "left").select("id", "v", F.coalesce("_least", F.lit(float("-inf"))).alias("least"))

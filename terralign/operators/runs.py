@@ -29,7 +29,7 @@ def sum_of_medians(timings: DataFrame, by: Sequence[str], io_stages: Sequence[st
 
 def median_of_sums(timings: DataFrame, by: Sequence[str], run: str = "rep", ms: str = "ms") -> DataFrame:
     totals = timings.groupBy(*by, run).agg(F.sum(ms).alias("_t"))
-    return totals.groupBy(*by).agg(F.median("_t").alias("median"), F.count("*").alias("n_runs"))
+    return quantiles(totals, by, "_t", {"median": 0.5}, {"n_runs": F.count("*")}).select(*by, "median", "n_runs")
 
 
 def sampled_in(samples: DataFrame, phases: DataFrame, before: float, after: float, slot: float = 3600.0, closed: bool = True) -> DataFrame:

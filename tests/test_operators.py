@@ -222,7 +222,7 @@ def test_all_pairs_visit_few_cells_of_clustered_vectors(spark, monkeypatch, metr
 
     def counted(d):
         out = real(d)
-        if "v" in d.columns:
+        if "cell" in d.columns:
             written.append(out.count())
         return out
 
