@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,7 +15,7 @@ from terralign.operators.lineage import checkpoint_folder
 from terralign.operators.lineage import cut as checkpointed
 from terralign.operators.lookup import looked_up
 
-__all__ = ["checkpointed", "components", "forget", "looked_up", "ranked", "spare", "written"]
+__all__ = ["checkpointed", "components", "forget", "looked_up", "noted", "ranked", "removed", "spare", "written"]
 
 
 def spare(df: DataFrame, name: str) -> str:
@@ -27,10 +30,29 @@ def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/terralign-{spark.sparkContext.applicationId}"
 
 
+def removed(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove tables of written(), once the results that read them are stored."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession) -> None:
-    """Remove all tables of written() of this application: for long sessions, once the results that read them are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove all tables of written() of this application: for long sessions."""
+    removed(spark, [_folder(spark)])
+
+
+_noted: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths that written() stores tables at inside the block, in order."""
+    mark = _noted.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _noted.reset(mark)
 
 
 def written(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -40,6 +62,8 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     if rows:

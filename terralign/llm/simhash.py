@@ -255,7 +255,10 @@ def wide_fingerprint(text: str | None, words: int, n: int) -> tuple[list[int], n
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8"))
+    h = np.empty(len(starts), "<u8")
+    for at in range(0, len(starts), CHUNK):
+        h[at : at + CHUNK] = [digest(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)]
+    h = np.unique(h)
     shingles, out = np.unique(h.astype(np.uint32)).view(np.int32), []
     for k in range(n):
         ones = sum(np.unpackbits(h[a : a + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for a in range(0, len(h), CHUNK))

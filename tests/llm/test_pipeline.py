@@ -1,9 +1,11 @@
+import os
 import random
 
 import pytest
+import xxhash
 
 import corpus_pipeline
-from terralign.llm import simhash
+from terralign.llm import common, simhash
 
 
 def sets(text, n=5):
@@ -128,3 +130,29 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     clean = {i for i in ids["near_dedup"] if i >= 160 or i % 10 != 4}
     assert clean == ids["decontamination"] == ids["packing"]
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(r.doc_id for r in seen["packing"])
+
+
+def test_fingerprint_of_a_very_long_text():
+    rng = random.Random(5)
+    text = " ".join(f"W{rng.randrange(40_000)}" for _ in range(150_000))
+    words, shingles = simhash.wide_fingerprint(text, 5, 2)
+    tokens = text.lower().split()
+    h = {xxhash.xxh64_intdigest(" ".join(tokens[i : i + 5]), 42) for i in range(len(tokens) - 4)}
+    assert shingles.view("u4").tolist() == sorted({x & 0xFFFFFFFF for x in h})
+    assert words[0] & (1 << 64) - 1 == sum((2 * sum(x >> bit & 1 for x in h) > len(h)) << bit for bit in range(64))
+
+
+def test_tables_of_finished_stages_are_removed(spark, monkeypatch, tmp_path):
+    def grown(session, docs, _):
+        return common.written(docs.selectExpr("doc_id + 1 as doc_id")).where("doc_id > 1")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", grown), ("b", grown), ("c", grown)])
+    spark.range(5).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(os.listdir(common._folder(spark).removeprefix("file://"))) if common.written(spark.range(1)).count() else set()
+    with common.noted() as outside:
+        common.written(spark.range(1))
+        out = corpus_pipeline.run(spark, str(tmp_path))
+        assert sorted(r.doc_id for r in out.collect()) == [4, 5, 6, 7]
+    left = set(os.listdir(common._folder(spark).removeprefix("file://")))
+    assert len(left - before) == 3  # beside what outside names, the last stage's docs
+    assert len(outside) == 2 and {os.path.basename(x) for x in outside} <= left  # the caller's own, and that of the last stage
