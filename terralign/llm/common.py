@@ -55,23 +55,30 @@ def noted() -> Iterator[list[str]]:
         _noted.reset(mark)
 
 
+#: Spark's setting that removes a query's shuffle files at its end.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, kept when executors are lost.
 
+    The files of its shuffles go once it is stored, not whenever the driver next
+    collects garbage; until then they serve what lost executors must redo.
     rows: at most so many rows to an Arrow batch, for Python work on wide rows.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     if (paths := _noted.get()) is not None:
         paths.append(path)
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    if rows:
-        spark.conf.set(setting, str(rows))
+    settings = {SHUFFLES_GO: "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         df.write.option("parquet.block.size", str(32 << 20)).parquet(path)
     finally:
-        spark.conf.set(setting, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

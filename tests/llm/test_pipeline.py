@@ -1,8 +1,10 @@
 import os
 import random
+import time
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terralign.llm import common, simhash
@@ -156,3 +158,20 @@ def test_tables_of_finished_stages_are_removed(spark, monkeypatch, tmp_path):
     left = set(os.listdir(common._folder(spark).removeprefix("file://")))
     assert len(left - before) == 3  # beside what outside names, the last stage's docs
     assert len(outside) == 2 and {os.path.basename(x) for x in outside} <= left  # the caller's own, and that of the last stage
+
+
+def test_shuffle_files_go_with_the_stored_table(spark):
+    setting = spark.conf.get(common.SHUFFLES_GO)
+    once = spark.range(20_000).selectExpr("id % 500 as k", "id as v").groupBy("k").agg(F.sum("v").alias("v"))
+    both = common.written(once.join(once.withColumnRenamed("v", "w").repartition(3, "k"), "k"))
+    assert both.count() == once.count() == 500 and both.where("v = w").count() == 500
+    again = common.written(both.groupBy("v").count(), rows=100)
+    assert again.count() == 500 and spark.conf.get(common.SHUFFLES_GO) == setting
+    trackers = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    latest = spark.sparkContext._jsc.sc().newShuffleId()
+    common.written(spark.range(900).repartition(4).groupBy("id").count())
+    for _ in range(50):
+        if not any(trackers.containsShuffle(n) for n in range(latest + 1, latest + 3)):
+            break
+        time.sleep(0.1)
+    assert not any(trackers.containsShuffle(n) for n in range(latest + 1, latest + 3))
