@@ -105,3 +105,29 @@ def test_likelihood_rises_with_each_round(spark):
         model = lm.baum_welch(df, model)
         seen.append(lm.forward(model, docs).sum())
     assert all(b > a - 1e-6 for a, b in zip(seen, seen[1:], strict=False)) and seen[-1] > seen[0] + 10
+
+
+def test_every_round_counts_every_training_document(spark):
+    """Scores are those of a model whose last counts sum over all documents, more than any sample that training might start from."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("ab cd ef gh ij kl mn op".split()[i % 2 :: 2]) for _ in range(rng.randint(1, 12)))) for i in range(2600)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.scored(docs, F.lit(True)).collect()}
+    read = lm.read_texts(docs, "doc_id", "text", F.lit(True)).withColumn("slice", F.pmod(F.xxhash64("_key", "seq"), F.lit(4))).collect()
+    seqs = {r["_key"]: np.frombuffer(r["seq"], "<u2") for r in read}
+    frequency, kinds = (np.bincount(x, minlength=lm.CLASSES).astype(float) for x in (np.concatenate(list(seqs.values())), [c for c, _ in {(c, h) for r in read for c, h in zip(r["class"], r["h"], strict=True)}]))
+    model, counts = lm.Hmm.initial(frequency), {}
+    for _ in range(3):
+        for k in range(4):
+            counts[k] = lm.expected(model, [seqs[r["_key"]] for r in read if r["slice"] == k])
+            model = lm.Hmm.of_counts(sum(counts.values()))
+    assert math.isclose(sum(c[: lm.STATES].sum() for c in counts.values()), len(got), rel_tol=1e-5)
+    words = {}
+    for r in read:
+        for h, c, tf in zip(r["h"], r["class"], r["tf"], strict=True):
+            words[h] = (c, words.get(h, (c, 0))[1] + tf)
+    share = {h: math.log10((n + 1) / (frequency[c] + kinds[c] + 1)) for h, (c, n) in words.items()}
+    want = dict(zip(seqs, lm.forward(model, list(seqs.values())), strict=True))
+    for r in read:
+        assert math.isclose(got[r["_key"]].score, want[r["_key"]] + sum(tf * share[h] for h, tf in zip(r["h"], r["tf"], strict=True)), abs_tol=1e-3)
