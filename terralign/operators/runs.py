@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralign.functions.vectors import is_finite
 from terralign.operators import scan
 from terralign.operators.quantiles import quantiles
 
@@ -130,9 +131,31 @@ def unified_layout(rows: DataFrame, variants: Sequence[str]) -> DataFrame:
 
 
 def idle_power(samples: DataFrame, starts: DataFrame, seconds: float = 5.0) -> DataFrame:
-    """Mean power and number of samples in [start, start + seconds) of each of starts (name, start)."""
-    met = sampled_in(samples, starts.select("name", "start", (F.col("start") + seconds).alias("stop")), 0.0, 0.0, closed=False)
-    return met.groupBy("name", "start").agg(F.count("*").alias("n"), F.avg("power").alias("mean_power"))
+    """Mean power and number of samples in [start, start + seconds) of each of starts (name, start); starts without samples are left out.
+
+    No sample meets a start. Time is cut into slots of half a window, so a window is the end of its first
+    slot, from start on, and the beginning of up to three slots after, below its stop. Both are running sums
+    over samples and starts in order, from the slot's end and from its beginning; nothing is subtracted.
+    Times that are null, NaN or infinite are in no window.
+    """
+    whole = lambda d, c: d.where(F.col(c).isNotNull() & is_finite(F.col(c)))
+    slot = lambda c: F.floor(c / (seconds / 2 if seconds > 0 else 1.0)).cast("long")
+    at, stop = F.col("start"), F.col("start") + F.lit(float(seconds))
+    asked = whole(starts.select("name", F.col("start").cast("double").alias("start")), "start").groupBy("name", "start").agg(F.count("*").alias("_times"))
+    if seconds <= 0:
+        asked = asked.where("false")
+    power = F.col("power").cast("double")
+    seen = whole(samples.select(F.col("s").cast("double").alias("s"), power.alias("power")), "s").groupBy("s").agg(F.count("*").alias("_n"), F.count("power").alias("_c"), F.coalesce(F.sum("power"), F.lit(0.0)).alias("_p"))
+    # _back: from the slot's end. There a start comes after the samples of its time, else before those of its stop
+    event = lambda back, slot, place, start, last: F.struct(F.lit(back).alias("_back"), slot.alias("_slot"), ((-place if back else place) + F.lit(0.0)).alias("_place"), F.lit(last).alias("_last"), start.alias("start"))
+    of_sample = F.array(*(event(back, slot(F.col("s")), F.col("s"), F.lit(None).cast("double"), not back) for back in (False, True)))
+    of_start = F.concat(F.array(event(True, slot(at), at, at, True)), F.transform(F.sequence(slot(at) + 1, F.greatest(slot(stop), slot(at) + 1)), lambda k: event(False, k, stop, at, False)))
+    none = [F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_c"), F.lit(0.0).alias("_p")]
+    events = seen.select(F.inline(of_sample), "_n", "_c", "_p").unionByName(asked.select("start").distinct().select(F.inline(of_start), *none))
+    sums = {c: scan.total(F.col(c), F.lit(0.0) if c == "_p" else F.lit(0).cast("long")) for c in ("_n", "_c", "_p")}
+    told = scan.scanned(events, ["_back", "_slot"], ["_place", "_last"], sums).where("start is not null")
+    told = told.groupBy("start").agg(*(F.sum(c).alias(c) for c in sums)).where("_n > 0")
+    return asked.join(told, "start").select("name", "start", (F.col("_n") * F.col("_times")).alias("n"), F.when(F.col("_c") > 0, F.col("_p") / F.col("_c")).alias("mean_power"))
 
 
 def all_rounds_agree(rounds: DataFrame, by: Sequence[str], within: Sequence[str], value: str, most: float) -> DataFrame:

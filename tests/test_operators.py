@@ -312,6 +312,36 @@ def test_all_pairs_of_huge_tiny_and_zero_vectors(spark):
         assert [got[i, r + 1][0] for r in range(3)] == order
 
 
+def test_idle_power_makes_no_pairs(spark, monkeypatch):
+    """As by brute force on ties, edges, repeated rows and odd values; the rows scanned grow with samples and starts, not with their pairs."""
+    rng = random.Random(3)
+    times = [rng.choice([rng.uniform(0, 40), float(rng.randrange(40))]) for _ in range(400)]
+    s = [(t, rng.choice([None, rng.uniform(0, 9), 5.0])) for t in times] + [(-3.0, math.nan), (None, 1.0), (math.nan, 1.0), (math.inf, 1.0), (100.0, None), (1e12, 4.0)]
+    starts = [("a", t) for t in times[:60]] + [("b", times[0]), ("a", times[0]), ("a", -7.9), ("a", 95.5), ("a", None), ("a", math.nan), ("a", 60.0), ("a", 1e12 - 1)]
+    ds, dq = spark.createDataFrame(s, "s double, power double"), spark.createDataFrame(starts, "name string, start double")
+    real, scanned = runs.scan.scanned, []
+
+    def counted(rows, *rest):
+        scanned.append(rows.count())
+        return real(rows, *rest)
+
+    monkeypatch.setattr(runs.scan, "scanned", counted)
+    for small in (1_000_000, 5):
+        monkeypatch.setattr(runs.scan, "SMALL", small)
+        got = {(r.name, r.start): (r.n, r.mean_power) for r in runs.idle_power(ds, dq, 5.0).collect()}
+        want = {}
+        for name, at in {x for x in starts if x[1] is not None and math.isfinite(x[1])}:
+            inside = [p for t, p in s if t is not None and at <= t < at + 5.0]
+            some = [p for p in inside if p is not None]
+            if inside:
+                want[name, at] = (len(inside) * starts.count((name, at)), sum(some) / len(some) if some else None)
+        assert got.keys() == want.keys() and len(got) > 50
+        for k, (n, mean) in want.items():
+            assert got[k][0] == n and (got[k][1] == mean if mean is None else got[k][1] == pytest.approx(mean, abs=1e-9, nan_ok=True)), k
+    assert max(scanned) <= 2 * len(s) + 4 * len(starts)
+    assert runs.idle_power(ds, dq, 0.0).count() == runs.idle_power(ds.limit(0), dq).count() == runs.idle_power(ds, dq.limit(0)).count() == 0
+
+
 def test_sample_and_split(spark):
     df = spark.range(5).withColumnRenamed("id", "k")
     assert grid.sample(df, "k", 5, 1).count() == 5 and grid.sample(df, "k", 9, 1).count() == 5
