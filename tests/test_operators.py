@@ -342,6 +342,20 @@ def test_idle_power_makes_no_pairs(spark, monkeypatch):
     assert runs.idle_power(ds, dq, 0.0).count() == runs.idle_power(ds.limit(0), dq).count() == runs.idle_power(ds, dq.limit(0)).count() == 0
 
 
+def test_full_report_in_rounds(spark, monkeypatch):
+    """Base sent in several rounds, and queries met a few at a time, give the report of all pairs at once."""
+    v = np.random.default_rng(12).standard_normal((300, 16))
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    ref, test = unit(v), unit(np.round(v, 1))
+    monkeypatch.setattr(nearest, "HELD", 70 * 16 * 8)
+    monkeypatch.setattr(nearest, "ROWS", 50)
+    told = validate.full_accuracy_report(*(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>") for m in (ref, test)), (1, 5)).first()
+    order = [np.argsort(-(m @ m.T) + 9 * np.eye(300), axis=1, kind="stable") for m in (ref, test)]
+    for k in (1, 5):
+        assert told[f"top_{k}"] == pytest.approx(np.mean([order[0][i, 0] in order[1][i, :k] for i in range(300)]))
+    assert told.n == 300 and told.max_abs == pytest.approx(np.abs(ref - test).max())
+
+
 def test_sample_and_split(spark):
     df = spark.range(5).withColumnRenamed("id", "k")
     assert grid.sample(df, "k", 5, 1).count() == 5 and grid.sample(df, "k", 9, 1).count() == 5
