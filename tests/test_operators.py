@@ -356,6 +356,28 @@ def test_full_report_in_rounds(spark, monkeypatch):
     assert told.n == 300 and told.max_abs == pytest.approx(np.abs(ref - test).max())
 
 
+def test_margins_hold_few_queries_at_a_time(spark, monkeypatch):
+    """No step takes more than ROWS queries of a batch at once, whatever they visit, and the margins are those of all pairs."""
+    v = np.random.default_rng(13).standard_normal((400, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    monkeypatch.setattr(nearest, "ROWS", 32)
+    seen = spark.sparkContext.accumulator(0)
+    real = nearest._bound
+
+    def bounded(rows, *rest):
+        seen.add(int(len(rows) > 32))
+        return real(rows, *rest)
+
+    monkeypatch.setattr(nearest, "_bound", bounded)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").coalesce(1)
+    real_top = nearest.all_pairs_top
+    monkeypatch.setattr(validate, "all_pairs_top", lambda a, b, k: real_top(a, b, k, block=64))
+    told = validate.margins(df).first()
+    top = -np.sort(-(v @ v.T) + 9 * np.eye(400), axis=1)
+    m = top[:, 0] - top[:, 1]
+    assert told.n == 400 and (told.mean, told.median, told.least) == pytest.approx((m.mean(), np.median(m), m.min())) and seen.value == 0
+
+
 def test_sample_and_split(spark):
     df = spark.range(5).withColumnRenamed("id", "k")
     assert grid.sample(df, "k", 5, 1).count() == 5 and grid.sample(df, "k", 9, 1).count() == 5
